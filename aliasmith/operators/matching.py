@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from aliasmith.functions.ngrams import dice
 from aliasmith.functions.similarity import FIRST_WEIGHT, LAST_WEIGHT, full_name
 from aliasmith.functions.text import first_name, last_name
+from aliasmith.operators.datasets import assemble_features
 from aliasmith.operators.filters import valid_names
 from aliasmith.operators.profiles import pair_features
 from aliasmith.operators.simjoin import EPSILON, gram_order, ordered_grams, similar_texts
@@ -142,7 +143,8 @@ def match_by_model(
     else:
         offered = index.names.select(BLOCK, F.col("name").alias("string2"))
         candidates = salted_join(offered, asked.withColumnRenamed("name", "string1"), [BLOCK])
-    scored = model.transform(pair_features(candidates))
+    vectors = assemble_features(pair_features(candidates), ignored=candidates.columns)
+    scored = model.transform(vectors)
     accepted = scored.where(F.col("prediction") == 1.0).select("string1", "string2", BLOCK)
     held = index.aliases.select("uid", BLOCK, F.col("name").alias("string2"))
     return held.join(accepted, [BLOCK, "string2"]).select("string1", "string2", "uid", BLOCK)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aliasmith.functions.hashing import seeded_hash
@@ -59,43 +59,62 @@ def false_pairs(
     *,
     sample_size: int | None = None,
     rounds: int = 4,
+    anchors_per_pair: int = 10,
     seed: int = 42,
 ) -> DataFrame:
     """``n_pairs / 3`` pairs of names of different entities from each similarity band.
 
-    The lower bands are drawn from random pairs. Similar names of different entities
-    are too rare for that, so the top band is drawn from all of them, found by an exact
-    similarity join. The result has the columns string1, string2, similarity and band;
-    a band with fewer pairs than asked gives what it has (see ``band_shortfall``).
+    ``sample_size`` first draws that many entities. The lower bands are drawn from random
+    pairs. Similar names of different entities are too rare for that, so the top band
+    is drawn from all partners, found by an exact similarity join, of
+    ``anchors_per_pair`` randomly drawn names for each pair asked. The result has the columns
+    string1, string2, similarity and band; a band with fewer pairs than asked gives what
+    it has (see ``band_shortfall``).
     """
     held = aliases.select("uid", "name").distinct()
     if sample_size is not None:
         chosen = seeded_sample(held.select("uid").distinct(), ["uid"], sample_size, seed)
         held = held.join(chosen, "uid", "left_semi")
-    # Two names belong to different entities unless both are held by one and the same.
     names = cut_lineage(held.groupBy("name").agg(F.min("uid").alias("low"), F.max("uid").alias("high")))
-    apart = ~(
-        (F.col("low1") == F.col("high1")) & (F.col("low2") == F.col("high2")) & (F.col("low1") == F.col("low2"))
-    )
+    per_band = n_pairs // (len(BAND_BOUNDS) - 1)
     top = BAND_BOUNDS[-2]
-    order = cut_lineage(gram_order(names, "name"))
-    grams = names.join(ordered_grams(names, "name", order), "name")
-    left = grams.withColumnsRenamed({c: f"{c}1" for c in grams.columns})
-    right = grams.withColumnsRenamed({c: f"{c}2" for c in grams.columns})
-    similar = similar_texts(left, right, top, condition=(F.col("name1") <= F.col("name2")) & apart)
-    similar = similar.where(F.col("similarity") >= top).select("name1", "name2", "similarity")
-    drawn = random_pairs(names, rounds, seed).where(apart).select("name1", "name2").distinct()
+    random = random_pairs(names, rounds, seed).where(_apart()).select("name1", "name2").distinct()
     similarity = dice(char_grams(strip_special(F.col("name1"))), char_grams(strip_special(F.col("name2"))))
-    drawn = drawn.withColumn("similarity", similarity).where(F.col("similarity") < top)
-    banded = drawn.unionByName(similar).select(
+    random = random.withColumn("similarity", similarity).where(F.col("similarity") < top)
+    anchors = seeded_sample(names, ["name"], anchors_per_pair * per_band, seed)
+    similar = _similar_partners(anchors, names, top)
+    banded = random.unionByName(similar).select(
         F.col("name1").alias("string1"),
         F.col("name2").alias("string2"),
         "similarity",
         similarity_band(F.col("similarity")).alias("band"),
     )
-    per_band = n_pairs // (len(BAND_BOUNDS) - 1)
-    order_by = [seeded_hash(["string1", "string2"], seed), F.col("string1"), F.col("string2")]
-    return top_n_per_group(banded, ["band"], order_by, per_band)
+    order = [seeded_hash(["string1", "string2"], seed, "pair"), F.col("string1"), F.col("string2")]
+    return top_n_per_group(banded, ["band"], order, per_band)
+
+
+def _apart() -> Column:
+    """Two names belong to different entities unless one entity alone holds them both.
+
+    Each name comes with the lowest and the highest entity that holds it.
+    """
+    low1, high1, low2, high2 = (F.col(c) for c in ("low1", "high1", "low2", "high2"))
+    return ~((low1 == high1) & (low2 == high2) & (low1 == low2))
+
+
+def _similar_partners(anchors: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
+    """Similar names of other entities for each anchor, each pair once and in text order."""
+    grams = ordered_grams(names, "name", cut_lineage(gram_order(names, "name")))
+    named = cut_lineage(names.join(grams, "name"))
+    left = named.join(anchors.select("name"), "name", "left_semi")
+    found = similar_texts(
+        left.withColumnsRenamed({c: f"{c}1" for c in named.columns}),
+        named.withColumnsRenamed({c: f"{c}2" for c in named.columns}),
+        threshold,
+        condition=_apart(),
+    ).where(F.col("similarity") >= threshold)
+    one, two = F.col("name1"), F.col("name2")
+    return found.select(F.least(one, two).alias("name1"), F.greatest(one, two).alias("name2"), "similarity").distinct()
 
 
 def band_shortfall(pairs: DataFrame, n_pairs: int) -> DataFrame:

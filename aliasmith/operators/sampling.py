@@ -26,7 +26,7 @@ def seeded_sample(df: DataFrame, keys: list[str], n: int, seed: int) -> DataFram
 def hash_split(df: DataFrame, keys: list[str], weights: Sequence[float], seed: int) -> DataFrame:
     """Adds ``split``, the index of the part a key falls in; a key never changes sides."""
     total = sum(weights)
-    draw = seeded_hash(keys, seed)
+    draw = seeded_hash(keys, seed, "split")
     split = F.lit(len(weights) - 1)
     bound = total
     for index in range(len(weights) - 2, -1, -1):
@@ -44,7 +44,7 @@ def train_test_split(
 
 def hash_folds(df: DataFrame, keys: list[str], n_folds: int, seed: int) -> DataFrame:
     """Adds ``fold``, from 0 to ``n_folds - 1``."""
-    return df.withColumn("fold", (seeded_hash(keys, seed) % n_folds).cast("int"))
+    return df.withColumn("fold", (seeded_hash(keys, seed, "fold") % n_folds).cast("int"))
 
 
 def union_labelled(true_pairs: DataFrame, false_pairs: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def balance_classes(df: DataFrame, label: str, keys: list[str], seed: int) -> Da
     """
     prefix = F.shiftright(F.col("_draw"), HASH_BITS - _BUCKET_BITS)
     drawn = cut_lineage(
-        df.withColumn("_draw", seeded_hash(keys, seed)).withColumn("_bucket", prefix.cast("int"))
+        df.withColumn("_draw", seeded_hash(keys, seed, "balance")).withColumn("_bucket", prefix.cast("int"))
     )
     histogram = drawn.groupBy(label, "_bucket").agg(F.count("*").alias("_n"))
     by_class = Window.partitionBy(label).orderBy("_bucket")

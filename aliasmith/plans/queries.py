@@ -64,8 +64,8 @@ def rounded(*names: str) -> list:
 def read_delimited(spark, sf_dir):
     """The watch list written as a delimited file and read back with its schema."""
     path = tables.scratch_folder(spark, "watch-list")
-    files.write_delimited(tables.watch_list(spark, sf_dir), path)
-    return files.read_delimited(spark, path, files.WATCH_LIST)
+    files.write_delimited(tables.watch_list(spark, sf_dir), path, null_mark="null")
+    return files.read_delimited(spark, path, files.WATCH_LIST, null_mark="null")
 
 
 @query

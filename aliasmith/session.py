@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +21,7 @@ def local_session(app: str = "aliasmith", cpus: str = "8", **conf: str) -> Spark
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -54,3 +57,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder, for tables that are read several times."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application.
+
+    A job that is submitted with the package in ``--py-files`` does not need it.
+    """
+    context = spark.sparkContext
+    package = Path(__file__).resolve().parent
+    archive = f"{package.name}.zip"
+    if any(archive in str(path) for path in getattr(context, "_python_includes", [])):
+        return
+    folder = tempfile.mkdtemp(prefix="aliasmith-package-")
+    base = str(Path(folder) / package.name)
+    context.addPyFile(shutil.make_archive(base, "zip", package.parent, package.name))

@@ -34,9 +34,13 @@ def read_delimited(
     separator: str = TABLE_SEPARATOR,
     header: bool = True,
     encoding: str = "UTF-8",
+    null_mark: str = "",
     keep_corrupt: bool = False,
 ) -> DataFrame:
-    """A delimited file with a given schema; malformed lines may be kept in a column."""
+    """A delimited file with a given schema; malformed lines may be kept in a column.
+
+    A field that equals ``null_mark`` is null.
+    """
     if keep_corrupt:
         schema = StructType([*schema.fields, StructField(CORRUPT, StringType())])
     return (
@@ -44,14 +48,18 @@ def read_delimited(
         .option("sep", separator)
         .option("header", header)
         .option("encoding", encoding)
+        .option("nullValue", null_mark)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .csv(path)
     )
 
 
-def write_delimited(df: DataFrame, path: str, separator: str = TABLE_SEPARATOR, header: bool = True) -> None:
-    df.write.mode("overwrite").option("sep", separator).option("header", header).csv(path)
+def write_delimited(
+    df: DataFrame, path: str, separator: str = TABLE_SEPARATOR, header: bool = True, null_mark: str = ""
+) -> None:
+    writer = df.write.mode("overwrite").option("sep", separator).option("header", header)
+    writer.option("nullValue", null_mark).csv(path)
 
 
 def read_alias_lines(spark: SparkSession, path: str) -> DataFrame:
