@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from aliasmith.functions.binding import bind
 from aliasmith.functions.text import strip_special
 
 # A text too short for a bigram stands for itself, so two such texts have
@@ -14,11 +15,15 @@ _SHORT = "#"
 
 def char_grams(text: Column) -> Column:
     """Distinct 2- and 3-grams of a text over the ``strip_special`` alphabet."""
-    bigrams = F.regexp_extract_all(text, F.lit("(?=(..))"), F.lit(1))
-    trigrams = F.regexp_extract_all(text, F.lit("(?=(...))"), F.lit(1))
-    return F.when(F.length(text) < 2, F.array(F.concat(F.lit(_SHORT), text))).otherwise(
-        F.array_distinct(F.concat(bigrams, trigrams))
-    )
+
+    def grams(plain: Column) -> Column:
+        bigrams = F.regexp_extract_all(plain, F.lit("(?=(..))"), F.lit(1))
+        trigrams = F.regexp_extract_all(plain, F.lit("(?=(...))"), F.lit(1))
+        return F.when(F.length(plain) < 2, F.array(F.concat(F.lit(_SHORT), plain))).otherwise(
+            F.array_distinct(F.concat(bigrams, trigrams))
+        )
+
+    return bind(text, grams)
 
 
 def dice(left: Column, right: Column) -> Column:
@@ -30,7 +35,10 @@ def dice(left: Column, right: Column) -> Column:
 
 def ngram_similarity(left: Column, right: Column) -> Column:
     """Dice over the 2- and 3-gram sets of two texts, special characters removed."""
-    return dice(char_grams(strip_special(left)), char_grams(strip_special(right)))
+    sets = F.struct(
+        char_grams(strip_special(left)).alias("left"), char_grams(strip_special(right)).alias("right")
+    )
+    return bind(sets, lambda s: dice(s.getField("left"), s.getField("right")))
 
 
 def gram_code(gram: Column) -> Column:

@@ -29,12 +29,15 @@ def _accent_table() -> tuple[str, str]:
 
 
 _ACCENTED, _PLAIN = _accent_table()
+_NON_ASCII = r"[^\x00-\x7F]"
 
 
 def clean_text(text: Column) -> Column:
     """Accents folded, lower case, ASCII only, hyphens dropped."""
-    folded = F.lower(F.translate(text, _ACCENTED, _PLAIN))
-    return F.replace(F.regexp_replace(folded, r"[^\x00-\x7F]", ""), F.lit("-"), F.lit(""))
+    folded = F.regexp_replace(F.lower(F.translate(text, _ACCENTED, _PLAIN)), _NON_ASCII, "")
+    # Folding looks up every character, so plain ASCII texts go without it.
+    plain = F.when(text.rlike(_NON_ASCII), folded).otherwise(F.lower(text))
+    return F.replace(plain, F.lit("-"), F.lit(""))
 
 
 def strip_special(text: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aliasmith.functions.binding import bind
 from aliasmith.functions.text import LIST_SEPARATOR, has_both_parts, is_valid_name
 
 # Bounds of the similarity bands and the mark of a legal entity.
@@ -48,10 +49,14 @@ def multiword_aliases(df: DataFrame, column: str = "aliases") -> DataFrame:
 def similarity_band(similarity: Column, bounds: Sequence[float] = BAND_BOUNDS) -> Column:
     """Number of the half-open band a similarity lies in, from 1; the last band is closed."""
     last = len(bounds) - 1
-    band = F.when((similarity >= bounds[last - 1]) & (similarity <= bounds[last]), last)
-    for number in range(1, last):
-        band = band.when((similarity >= bounds[number - 1]) & (similarity < bounds[number]), number)
-    return band
+
+    def number_of(value: Column) -> Column:
+        band = F.when((value >= bounds[last - 1]) & (value <= bounds[last]), last)
+        for number in range(1, last):
+            band = band.when((value >= bounds[number - 1]) & (value < bounds[number]), number)
+        return band
+
+    return bind(similarity, number_of)
 
 
 def in_band(similarity: Column, number: int, bounds: Sequence[float] = BAND_BOUNDS) -> Column:

@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from aliasmith.functions.binding import explode_if
 from aliasmith.functions.ngrams import dice
 from aliasmith.functions.similarity import FIRST_WEIGHT, LAST_WEIGHT, full_name
 from aliasmith.functions.text import first_name, last_name
@@ -106,12 +107,10 @@ def similar_names(queries: DataFrame, index: NameIndex, min_similarity: float) -
         found = similar_texts(left, right, first_floor, keys=[BLOCK, "last2"], left_threshold=needed)
     else:
         found = salted_join(right, left, [BLOCK, "last2"]).withColumn("similarity", dice(F.col("grams1"), F.col("grams2")))
+    weighted = full_name(F.col("similarity"), F.col("last_similarity"))
     return found.select(
-        "string1",
-        "string2",
-        BLOCK,
-        full_name(F.col("similarity"), F.col("last_similarity")).alias("similarity"),
-    ).where(F.col("similarity") >= min_similarity)
+        "string1", "string2", BLOCK, explode_if(weighted, lambda s: s >= min_similarity).alias("similarity")
+    )
 
 
 def _similar_in_blocks(asked: DataFrame, index: NameIndex, min_similarity: float) -> DataFrame:

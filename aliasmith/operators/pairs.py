@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aliasmith.functions.binding import explode_if
 from aliasmith.functions.hashing import seeded_hash
-from aliasmith.functions.ngrams import char_grams, dice
+from aliasmith.functions.ngrams import dice
 from aliasmith.functions.text import (
     FALSE_MARK,
     PAIR_SEPARATOR,
     TRUE_MARK,
     has_both_parts,
     parse_label,
-    strip_special,
 )
 from aliasmith.operators.filters import BAND_BOUNDS, similarity_band
 from aliasmith.operators.profiles import pair_features
@@ -75,12 +75,13 @@ def false_pairs(
     if sample_size is not None:
         chosen = seeded_sample(held.select("uid").distinct(), ["uid"], sample_size, seed)
         held = held.join(chosen, "uid", "left_semi")
-    names = cut_lineage(held.groupBy("name").agg(F.min("uid").alias("low"), F.max("uid").alias("high")))
+    owned = cut_lineage(held.groupBy("name").agg(F.min("uid").alias("low"), F.max("uid").alias("high")))
+    order = cut_lineage(gram_order(owned, "name"))
+    names = cut_lineage(owned.join(ordered_grams(owned, "name", order), "name"))
     per_band = n_pairs // (len(BAND_BOUNDS) - 1)
     top = BAND_BOUNDS[-2]
-    random = random_pairs(names, rounds, seed).where(_apart()).select("name1", "name2").distinct()
-    similarity = dice(char_grams(strip_special(F.col("name1"))), char_grams(strip_special(F.col("name2"))))
-    random = random.withColumn("similarity", similarity).where(F.col("similarity") < top)
+    similarity = explode_if(dice(F.col("grams1"), F.col("grams2")), lambda s: s < top).alias("similarity")
+    random = random_pairs(names, rounds, seed).where(_apart()).select("name1", "name2", similarity).distinct()
     anchors = seeded_sample(names, ["name"], anchors_per_pair * per_band, seed)
     similar = _similar_partners(anchors, names, top)
     banded = random.unionByName(similar).select(
@@ -104,12 +105,10 @@ def _apart() -> Column:
 
 def _similar_partners(anchors: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
     """Similar names of other entities for each anchor, each pair once and in text order."""
-    grams = ordered_grams(names, "name", cut_lineage(gram_order(names, "name")))
-    named = cut_lineage(names.join(grams, "name"))
-    left = named.join(anchors.select("name"), "name", "left_semi")
+    left = names.join(anchors.select("name"), "name", "left_semi")
     found = similar_texts(
-        left.withColumnsRenamed({c: f"{c}1" for c in named.columns}),
-        named.withColumnsRenamed({c: f"{c}2" for c in named.columns}),
+        left.withColumnsRenamed({c: f"{c}1" for c in names.columns}),
+        names.withColumnsRenamed({c: f"{c}2" for c in names.columns}),
         threshold,
         condition=_apart(),
     ).where(F.col("similarity") >= threshold)

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aliasmith.functions.binding import bind, explode_if
 from aliasmith.functions.ngrams import GRAM_CODE_RANGE, char_grams, gram_code
 from aliasmith.functions.text import strip_special
 
@@ -90,9 +91,11 @@ def similar_texts(
     if condition is not None:
         joined = joined.where(condition)
     # A pair meets once per shared prefix gram; it is kept at the first gram it shares.
-    common = joined.withColumn("_common", F.array_intersect("grams1", "grams2"))
-    similarity = F.lit(2.0) * F.size("_common") / (size1 + size2)
-    scored = common.where(F.get("_common", F.lit(0)) == F.col("_gram")).withColumn("similarity", similarity)
-    return scored.where(F.col("similarity") >= least - EPSILON).drop(
-        "_threshold", "_size1", "_size2", "_pos1", "_pos2", "_gram", "_common", "grams1", "grams2"
+    similarity = bind(
+        F.array_intersect("grams1", "grams2"),
+        lambda c: F.when(F.get(c, F.lit(0)) == F.col("_gram"), F.lit(2.0) * F.size(c) / (size1 + size2)),
+    )
+    similar = explode_if(similarity, lambda s: s >= least - EPSILON).alias("similarity")
+    return joined.select("*", similar).drop(
+        "_threshold", "_size1", "_size2", "_pos1", "_pos2", "_gram", "grams1", "grams2"
     )

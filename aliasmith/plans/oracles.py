@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from aliasmith.operators.stopwords import SHORT_WORDS
 from aliasmith.plans.queries import FALSE_PAIRS, SAMPLE_SIZE, SEED, STOPWORDS, TRUE_PAIR_SIMILARITY
-from aliasmith.plans.tables import LONG_FORM, LOW_QUALITY, MENTION, PAGE_LANGUAGE
+from aliasmith.plans.tables import LONG_FORM, LOW_QUALITY, PAGE_LANGUAGE
 
+MENTION = r"[a-z]+, ?[a-z]+|\| [a-z]+"
 ANCHORS = 10 * (FALSE_PAIRS // 3)
 
 

@@ -18,9 +18,10 @@ from aliasmith.operators.filters import valid_names
 from aliasmith.operators.matching import BLOCK
 from aliasmith.session import shared_dir
 
-# How a name or a short alias is written in text, what makes a name a
-# low-quality alias, the length of a long form, and the language in an address.
-MENTION = r"[a-z]+, ?[a-z]+|\| [a-z]+"
+# How a name or a short alias is written in text (from the start of a
+# word, each word as a whole), what makes a name a low-quality alias, the length of a
+# long form, and the language in an address.
+MENTION = r"(?<![a-z])[a-z]++, ?[a-z]++|\| [a-z]++"
 LOW_QUALITY = r"^[a-z]{1,2},|,[a-z]{1,2}$"
 LONG_FORM = 16
 PAGE_LANGUAGE = r"^https?://[^/]+/([a-z]+)/"
@@ -30,6 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table with long texts, spread over all cores where its file has fewer splits."""
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -45,7 +53,7 @@ def mentions(text: Column) -> Column:
 
 
 def watch_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", mentions(F.col("text")).alias("found"))
+    documents = text_table(spark, sf_dir, "documents").select("doc_id", "lang", mentions(F.col("text")).alias("found"))
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     rest = F.slice(F.col("found"), 2, F.size("found"))
 
@@ -82,7 +90,7 @@ def alias_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def incoming_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names to match: every ``last, first`` mention in a page, with the page's language."""
-    pages = table(spark, sf_dir, "pages").select(
+    pages = text_table(spark, sf_dir, "pages").select(
         F.regexp_extract("url", PAGE_LANGUAGE, 1).alias(BLOCK), F.explode(mentions(F.col("html"))).alias("name")
     )
     return valid_names(pages).select("name", BLOCK)
@@ -98,7 +106,7 @@ def incoming_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def neighbour_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct pairs of names that follow each other in a document; linear in the text."""
     names = F.filter(mentions(F.col("text")), lambda m: m.contains(","))
-    documents = table(spark, sf_dir, "documents").select(names.alias("names"))
+    documents = text_table(spark, sf_dir, "documents").select(names.alias("names"))
     pairs = F.zip_with(
         "names",
         F.slice("names", 2, F.size("names")),
