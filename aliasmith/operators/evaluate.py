@@ -50,11 +50,15 @@ def auc_scored(df: DataFrame, label: str = LABEL_COLUMN, score: str = "score") -
 def evaluate_setup(
     train: DataFrame, test: DataFrame, stages: Sequence[Estimator | Transformer], destination: str | None = None
 ) -> float:
-    """Train on one table, save if asked, and give the hard-label area under ROC on the other."""
+    """Train on one table, save if asked, and give the hard-label area under ROC on the other.
+
+    Not a number where the test table lacks a class.
+    """
     model: PipelineModel = Pipeline(stages=list(stages)).fit(train)
     if destination is not None:
         model.write().overwrite().save(destination)
-    return auc_hard_labels(model.transform(test)).first()["auc"]
+    score = auc_hard_labels(model.transform(test)).first()["auc"]
+    return float("nan") if score is None else score
 
 
 def evaluate_features(

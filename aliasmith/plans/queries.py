@@ -35,6 +35,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 SEED = 42
 TRUE_PAIR_SIMILARITY = 0.5
+MODEL_PAIR_SIMILARITY = 0.7
+ACCEPT_PROBABILITY = 0.9
 FALSE_PAIRS = 600
 SAMPLE_SIZE = 100
 STOPWORDS = 20
@@ -159,7 +161,8 @@ def blocked_pairs(spark, sf_dir):
     """The name that arrives most often, compared with its whole block."""
     asked = tables.incoming_names(spark, sf_dir).groupBy("name", BLOCK).count()
     first = asked.orderBy(F.desc("count"), "name", BLOCK).limit(1).drop("count")
-    scored = pair_features(block_pairs(first, tables.watch_names(spark, sf_dir)), phonetic=False)
+    names = cut_lineage(tables.watch_names(spark, sf_dir))
+    scored = pair_features(cut_lineage(block_pairs(first, names)), phonetic=False)
     return scored.select("string1", "string2", "uid", "person_type", BLOCK, *rounded("ngram", "jaro_winkler"))
 
 
@@ -187,9 +190,8 @@ def false_pairs_banded(spark, sf_dir):
 
 
 def _labelled(spark, sf_dir):
-    return jobs.label_pairs(
-        tables.watch_names(spark, sf_dir), TRUE_PAIR_SIMILARITY, FALSE_PAIRS, SEED, balance=False
-    )
+    names = cut_lineage(tables.watch_names(spark, sf_dir))
+    return jobs.label_pairs(names, TRUE_PAIR_SIMILARITY, FALSE_PAIRS, SEED, balance=False)
 
 
 @query
@@ -472,9 +474,9 @@ def confusion_matrix(spark, sf_dir):
 
 
 def _feature_vectors(spark, sf_dir):
-    labelled = _labelled(spark, sf_dir)
-    balanced = sampling.balance_classes(labelled, "label", PAIR_KEY, SEED)
-    scored = pairs.training_features(balanced)
+    names = cut_lineage(tables.watch_names(spark, sf_dir))
+    labelled = jobs.label_pairs(names, MODEL_PAIR_SIMILARITY, FALSE_PAIRS, SEED)
+    scored = pairs.training_features(labelled)
     return cut_lineage(datasets.assemble_features(scored, "label", PAIR_KEY))
 
 
@@ -551,8 +553,9 @@ def feature_ablation(spark, sf_dir):
 
 @query
 def match_batch(spark, sf_dir):
-    """Names of pages matched by a forest trained on the watch list's own pairs."""
-    model = models.build_model(_feature_vectors(spark, sf_dir), [models.random_forest()])
+    """Names of pages matched by a regression trained on the watch list's own pairs."""
+    stage = models.logistic_regression(threshold=ACCEPT_PROBABILITY)
+    model = models.build_model(_feature_vectors(spark, sf_dir), [stage])
     index = build_index(tables.watch_names(spark, sf_dir))
     floor = models.ngram_floor(model, FEATURES)
     return match_by_model(tables.incoming_names(spark, sf_dir), index, model, floor)

@@ -69,7 +69,8 @@ def read_alias_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_raw_fields(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
     """One array of fields per line of a ``|``-separated file in an older encoding."""
-    lines = spark.read.option("encoding", encoding).option("sep", "\x01").schema("value string").csv(path)
+    reader = spark.read.schema("value string").option("encoding", encoding)
+    lines = reader.option("sep", "\x01").option("quote", "").csv(path)
     return split_alias_lines(lines).withColumnRenamed("aliases", "fields")
 
 
@@ -79,6 +80,7 @@ def read_pair_files(spark: SparkSession, folder: str) -> DataFrame:
     A folder stands for a file of that name: Spark writes a table as a folder of parts.
     """
     lines = spark.read.option("recursiveFileLookup", True).text(folder)
-    below = F.replace(F.col("_metadata.file_path"), F.lit(folder.rstrip("/")), F.lit(""))
+    name = folder.rstrip("/").rsplit("/", 1)[-1]
+    below = F.substring_index("_metadata.file_path", f"/{name}/", -1)
     label = F.when(below.contains("true"), F.lit(1.0)).when(below.contains("false"), F.lit(0.0))
     return lines.select("value", label.alias("label")).where(F.col("label").isNotNull())
