@@ -18,6 +18,7 @@ def local_session(app: str = "aliasmith", cpus: str = "8", **conf: str) -> Spark
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
@@ -55,7 +56,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, for tables that are read several times."""
+    """Materialise ``df`` in the shared folder, for tables that are read several times.
+
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark deletes the files
+    once the table is no longer referred to; long-running jobs should set it.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
