@@ -1,0 +1,67 @@
+import random
+
+import pytest
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.tuning import ParamGridBuilder
+
+from aliasmith.operators import evaluate, models, sampling
+
+
+@pytest.fixture(scope="module")
+def data(spark):
+    draws = random.Random(8)
+    points = [[draws.random(), draws.random()] for _ in range(300)]
+    rows = [(str(i), float(p[0] > 0.5), Vectors.dense(p)) for i, p in enumerate(points)]
+    return spark.createDataFrame(rows, ["k", "label", "features"]).cache()
+
+
+@pytest.mark.parametrize("name", ["RandomForest", "LOGREGRESS", "linearsvm", "NaiveBayes"])
+def test_named_estimators_learn(data, name):
+    model = models.build_model(data, [models.estimator(name)])
+    assert evaluate.auc_hard_labels(model.transform(data)).first().auc > 0.6
+
+
+def test_unknown_estimator():
+    with pytest.raises(models.UnsupportedAlgorithm):
+        models.estimator("PERCEPTRON")
+
+
+def test_svm_by_gradient_descent_with_l1(data):
+    model = models.svm_by_gradient_descent(data, iterations=20)
+    assert model.weights[0] > abs(model.weights[1])
+
+
+def test_saved_model_predicts_the_same_and_is_replaced(data, tmp_path):
+    path = str(tmp_path / "model")
+    for depth in (2, 3):
+        model = models.build_model(data, [models.random_forest(trees=3, depth=depth)])
+        models.save_model(model, path)
+    loaded = models.load_model(path)
+    rows = [
+        [(r.k, r.prediction) for r in m.transform(data).orderBy("k").collect()] for m in (model, loaded)
+    ]
+    assert rows[0] == rows[1]
+
+
+def test_missing_model_raises(spark, tmp_path):
+    with pytest.raises(Exception):
+        models.load_model(str(tmp_path / "none"))
+
+
+def test_cross_validation_prefers_the_better_setting(data):
+    stage = models.logistic_regression()
+    grid = ParamGridBuilder().addGrid(stage.regParam, [0.0, 50.0]).addGrid(stage.elasticNetParam, [1.0]).build()
+    folded = sampling.hash_folds(data, ["k"], 3, 1)
+    fitted = models.cross_validate(folded, grid, [stage], 3)
+    assert fitted.avgMetrics[0] > 0.9 > fitted.avgMetrics[1]
+
+
+def test_evaluation_of_single_and_left_out_features(data, tmp_path):
+    train, test = sampling.train_test_split(data, ["k"], [0.7, 0.3], 1)
+    stage = models.logistic_regression()
+    path = str(tmp_path / "kept")
+    assert evaluate.evaluate_setup(train, test, [stage], path) > 0.9
+    models.load_model(path)
+    alone = {r.feature: r.auc for r in evaluate.evaluate_features(train, test, [stage], ["a", "b"], True).collect()}
+    without = {r.feature: r.auc for r in evaluate.evaluate_features(train, test, [stage], ["a", "b"], False).collect()}
+    assert alone["a"] > 0.9 > alone["b"] and without["b"] > 0.9 > without["a"]
