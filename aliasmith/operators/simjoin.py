@@ -1,11 +1,12 @@
 """Exact Dice similarity join on n-gram sets, by prefix filtering.
 
 If two gram sets have Dice similarity of at least t, each holds at least
-``size * t / (2 - t)`` grams of the other. Sorted by one global order, the two sets must
-then share a gram among their first ``size - ceil(size * t / (2 - t)) + 1`` grams
-(Chaudhuri et al. 2006, Bayardo et al. 2007). Ordering grams from rare to frequent
-makes these prefixes select few partners, so the join is an equi join on rare grams and
-never forms all pairs of a block.
+``size * t / (2 - t)`` grams of the other, and the smaller set at least ``size * t``. Sorted
+by one global order, the two sets must then share a gram among the first ``size -
+needed + 1`` grams of each (Chaudhuri et al. 2006, Bayardo et al. 2007). Ordering grams
+from rare to frequent makes these prefixes select few partners, so the join is an equi
+join on rare grams and never forms all pairs of a block. The short prefix of the smaller
+set also leaves out grams that all names of a group share, such as a common last name.
 """
 
 from __future__ import annotations
@@ -54,10 +55,24 @@ def _required(size: Column, threshold: Column) -> Column:
 
 
 def _prefixes(df: DataFrame, side: int, threshold: Column) -> DataFrame:
+    """One row per prefix gram and role: ``_smaller`` is the side that is the smaller set.
+
+    As the smaller set of a pair a row needs only its short prefix, as the larger one
+    its long prefix.
+    """
     grams = F.col(f"grams{side}")
     size = F.size(grams)
-    prefix = F.slice(grams, 1, (size - F.greatest(_required(size, threshold), F.lit(1)) + 1).cast("int"))
-    return df.select("*", size.alias(f"_size{side}"), F.posexplode(prefix).alias(f"_pos{side}", "_gram"))
+    long = (size - F.greatest(_required(size, threshold), F.lit(1)) + 1).cast("int")
+    short = size - F.greatest(F.ceil(size * threshold - EPSILON), F.lit(1)) + 1
+    placed = df.select(
+        "*",
+        size.alias(f"_size{side}"),
+        short.alias("_short"),
+        F.posexplode(F.slice(grams, 1, long)).alias(f"_pos{side}", "_gram"),
+    )
+    larger, own = F.lit(3 - side), F.lit(side)
+    roles = F.when(F.col(f"_pos{side}") < F.col("_short"), F.array(larger, own)).otherwise(F.array(larger))
+    return placed.withColumn("_smaller", F.explode(roles)).drop("_short")
 
 
 def similar_texts(
@@ -85,8 +100,12 @@ def similar_texts(
     size1, size2, least = F.col("_size1"), F.col("_size2"), F.col("_threshold")
     needed = least * (size1 + size2) / 2 - EPSILON
     reachable = 1 + F.least(size1 - F.col("_pos1"), size2 - F.col("_pos2")) - 1
-    joined = one.join(two, [*keys, "_gram"]).where(
-        (size2 >= _required(size1, least)) & (size1 >= _required(size2, least)) & (reachable >= needed)
+    first_is_smaller = F.col("_smaller") == 1
+    joined = one.join(two, [*keys, "_gram", "_smaller"]).where(
+        F.when(first_is_smaller, (size1 <= size2) & (size1 >= _required(size2, least))).otherwise(
+            (size2 < size1) & (size2 >= _required(size1, least))
+        )
+        & (reachable >= needed)
     )
     if condition is not None:
         joined = joined.where(condition)
@@ -97,5 +116,5 @@ def similar_texts(
     )
     similar = explode_if(similarity, lambda s: s >= least - EPSILON).alias("similarity")
     return joined.select("*", similar).drop(
-        "_threshold", "_size1", "_size2", "_pos1", "_pos2", "_gram", "grams1", "grams2"
+        "_threshold", "_size1", "_size2", "_pos1", "_pos2", "_gram", "_smaller", "grams1", "grams2"
     )
