@@ -216,7 +216,7 @@ def match_threshold(spark, sf_dir):
 
 @query
 def token_frequency(spark, sf_dir):
-    return aggregates.token_frequency(tables.table(spark, sf_dir, "documents"), "text")
+    return aggregates.token_frequency(tables.text_table(spark, sf_dir, "documents").select("text"), "text")
 
 
 @query
@@ -226,7 +226,7 @@ def category_counts(spark, sf_dir):
 
 @query
 def remove_stopwords(spark, sf_dir):
-    documents = tables.table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = tables.text_table(spark, sf_dir, "documents").select("doc_id", "text")
     cleaned = documents.select("doc_id", text.clean_text(F.col("text")).alias("text"))
     stop = aggregates.most_frequent_tokens(cleaned, "text", STOPWORDS).select("token")
     return stopwords.remove_stopwords(cleaned, "doc_id", "text", stop)
