@@ -7,8 +7,6 @@ short alias. Pages, in the language their address names, bring the names to matc
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +14,6 @@ from aliasmith.functions.text import LIST_SEPARATOR, clean_text, natural_order
 from aliasmith.operators.aliases import explode_aliases
 from aliasmith.operators.filters import valid_names
 from aliasmith.operators.matching import BLOCK
-from aliasmith.session import shared_dir
 
 # How a name or a short alias is written in text (from the start of a
 # word, each word as a whole), what makes a name a low-quality alias, the length of a
@@ -38,11 +35,6 @@ def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def mentions(text: Column) -> Column:
     """All mentions in a text, in order: ``last,first`` or a single word."""
     found = F.regexp_extract_all(clean_text(text), F.lit(MENTION), F.lit(0))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,37 +34,48 @@ def local_session(app: str = "aliasmith", cpus: str = "8", **conf: str) -> Spark
     return spark
 
 
+def _is_one_machine(master: str) -> bool:
+    """True for ``local`` and ``local[...]``, not for ``local-cluster``."""
+    return re.fullmatch(r"local(\[.*\])?", master) is not None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A local master may run without that setting and gets a scratch folder; on a
-    cluster a missing setting is an error, since a machine-local folder would be
-    lost with its machine.
+    Without that setting the folder given to ``setCheckpointDir`` is taken. A local master
+    may run with neither and gets a scratch folder; on a cluster that is an error, since a
+    machine-local folder would be lost with its machine.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(folder)
-        return folder
-    if not context.master.startswith("local"):
+        return folder.rstrip("/")
+    if not _is_one_machine(context.master):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = context.getCheckpointDir()
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="aliasmith-")
-        context.setCheckpointDir(folder)
-        folder = context.getCheckpointDir()
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="aliasmith-"))
+    return context.getCheckpointDir().rstrip("/")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, for tables that are read several times.
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
 
-    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark deletes the files
-    once the table is no longer referred to; long-running jobs should set it.
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back.
+
+    For tables that are read several times: it cuts the lineage, survives the loss of an
+    executor, and later reads still prune columns and push filters down. The folder can be
+    cleared when the application has ended.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    folder = scratch_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder, for tables that are read several times."""
+    return stored(df)
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -3,7 +3,7 @@ import json
 from pyspark.sql import types as T
 
 from aliasmith.sources import files, kafka
-from aliasmith.plans.tables import scratch_folder
+from aliasmith.session import scratch_folder
 
 
 def test_delimited_round_trip_keeps_null_and_empty(spark, tmp_path):
