@@ -27,7 +27,7 @@ from aliasmith.operators.matching import (
 )
 from aliasmith.operators.profiles import FEATURES, pair_features
 from aliasmith.plans import jobs, tables
-from aliasmith.session import cut_lineage
+from aliasmith.session import cut_lineage, scratch_folder
 from aliasmith.sources import files, kafka
 from aliasmith.streaming.match_stream import folder_sink, match_stream, parse_messages
 
@@ -65,7 +65,7 @@ def rounded(*names: str) -> list:
 @query
 def read_delimited(spark, sf_dir):
     """The watch list written as a delimited file and read back with its schema."""
-    path = tables.scratch_folder(spark, "watch-list")
+    path = scratch_folder(spark, "watch-list")
     files.write_delimited(tables.watch_list(spark, sf_dir), path, null_mark="null")
     return files.read_delimited(spark, path, files.WATCH_LIST, null_mark="null")
 
@@ -88,7 +88,7 @@ def json_values(spark, sf_dir):
 @query
 def label_by_file_name(spark, sf_dir):
     """True and false pairs written to folders of that name, read and labelled by it."""
-    folder = tables.scratch_folder(spark, "pairs")
+    folder = scratch_folder(spark, "pairs")
     labelled = cut_lineage(_labelled(spark, sf_dir))
     line = F.concat_ws(" : ", "string1", "string2").alias("value")
     labelled.where("label = 1").select(line).write.text(f"{folder}/true-pairs")
@@ -574,17 +574,17 @@ def _run_stream(spark, writer):
 
 def _message_stream(spark, messages):
     """``messages`` put into a folder of text files and read back as a stream."""
-    folder = tables.scratch_folder(spark, "messages")
+    folder = scratch_folder(spark, "messages")
     messages.write.text(folder)
     return spark.readStream.text(folder)
 
 
 @query
 def stream_lines(spark, sf_dir):
-    target = tables.scratch_folder(spark, "lines")
+    target = scratch_folder(spark, "lines")
     stream = parse_messages(_message_stream(spark, tables.incoming_messages(spark, sf_dir)))
     writer = stream.writeStream.format("parquet").option("path", target)
-    _run_stream(spark, writer.option("checkpointLocation", tables.scratch_folder(spark, "lines-state")))
+    _run_stream(spark, writer.option("checkpointLocation", scratch_folder(spark, "lines-state")))
     return spark.read.parquet(target)
 
 
@@ -593,10 +593,10 @@ def stream_json_flat(spark, sf_dir):
     schema = T.StructType.fromDDL(EVENT_MESSAGE)
     nested = F.struct("event_id", F.struct("user_id", "event_type").alias("who"), F.struct("value").alias("what"))
     messages = tables.table(spark, sf_dir, "events").select(F.to_json(nested).alias("value"))
-    target = tables.scratch_folder(spark, "events")
+    target = scratch_folder(spark, "events")
     stream = kafka.json_values(_message_stream(spark, messages), schema)
     writer = stream.writeStream.format("parquet").option("path", target)
-    _run_stream(spark, writer.option("checkpointLocation", tables.scratch_folder(spark, "events-state")))
+    _run_stream(spark, writer.option("checkpointLocation", scratch_folder(spark, "events-state")))
     return spark.read.parquet(target)
 
 
@@ -604,12 +604,12 @@ def stream_json_flat(spark, sf_dir):
 def stream_match(spark, sf_dir):
     """The rule match of a stream of messages; the same rows as ``match_threshold``."""
     index = build_index(tables.watch_names(spark, sf_dir))
-    target = tables.scratch_folder(spark, "matches")
+    target = scratch_folder(spark, "matches")
     writer = match_stream(
         _message_stream(spark, tables.incoming_messages(spark, sf_dir)),
         lambda asked: match_by_rule(asked, index, MATCH_THRESHOLD),
         folder_sink(target),
-        tables.scratch_folder(spark, "matches-state"),
+        scratch_folder(spark, "matches-state"),
     )
     _run_stream(spark, writer)
     found = spark.read.parquet(target)
