@@ -51,4 +51,33 @@ LEFT JOIN chosen c ON s.source IS NOT DISTINCT FROM c.source AND s.h = c.h AND s
   AND s.doc_id IS NOT DISTINCT FROM c.doc_id
 """
 
-SQL = {"op2_mix_sources": OP2}
+OP8 = r"""
+WITH norm AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark WHERE text IS NOT NULL),
+item_starts AS (
+  SELECT item_id, words, least(len(words), 10) AS n, unnest(range(1, len(words) - least(len(words), 10) + 2)) AS p
+  FROM items WHERE len(words) > 0),
+windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(words[p:p + n - 1], ' ') AS w FROM item_starts),
+sizes AS (SELECT DISTINCT n FROM windows),
+doc_starts AS (
+  SELECT doc_id, n, words, unnest(range(1, len(words) - n + 2)) AS p FROM norm, sizes WHERE len(words) >= n),
+hits AS (
+  SELECT d.doc_id, d.p, d.n, w.item_id FROM doc_starts d JOIN windows w
+    ON d.n = w.n AND array_to_string(d.words[d.p:d.p + d.n - 1], ' ') = w.w),
+covered AS (
+  SELECT doc_id, count(DISTINCT q) AS n_hit
+  FROM (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY doc_id),
+found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY doc_id)
+SELECT n.doc_id, coalesce(len(n.words), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM norm n LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+SQL = {"op2_mix_sources": OP2, "op8_decontaminate": OP8}

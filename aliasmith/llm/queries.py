@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aliasmith.llm import oracles
+from aliasmith.llm.decontaminate import contamination
 from aliasmith.llm.mixing import mix_counts, plan_mix
 from aliasmith.llm.tables import table
 
@@ -17,8 +18,21 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(plan_mix(table(spark, sf_dir, "documents")))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and items of the benchmark found in every document."""
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_mix_sources,)
+    found = (op2_mix_sources, op8_decontaminate)
     return {query.__name__: query for query in found}
 
 
