@@ -26,7 +26,7 @@ RANK_WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3.0
 SEED = 42
 # Hash order is looked at in buckets of its leading bits, and row by row in one bucket only.
-BUCKET_BITS = 16
+BUCKET_BITS = 12
 HASH_DIGITS = 15
 _RANK = ["_hash", "_id", "_size"]
 
