@@ -11,6 +11,9 @@ from aliasmith.llm import oracles
 from aliasmith.llm.decontaminate import contamination
 from aliasmith.llm.mixing import mix_counts, plan_mix
 from aliasmith.llm.tables import table
+from aliasmith.llm.token_counts import token_counts
+from aliasmith.llm.token_store import stored_checksums, write_tokens
+from aliasmith.llm.vocabularies import BYTE_PAIRS, WORD_PAIRS, vocabulary
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +21,17 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(plan_mix(table(spark, sf_dir, "documents")))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and the longest prefix within the limit."""
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary(BYTE_PAIRS))
+
+
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as token ids and read back through the key index."""
+    docs = table(spark, sf_dir, "documents")
+    return stored_checksums(write_tokens(docs, vocabulary(WORD_PAIRS)), docs)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and items of the benchmark found in every document."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -32,7 +46,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_mix_sources, op8_decontaminate)
+    found = (op2_mix_sources, op3_token_counts, op7_token_store, op8_decontaminate)
     return {query.__name__: query for query in found}
 
 
