@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from aliasmith.llm import oracles
 from aliasmith.llm.decontaminate import contamination
+from aliasmith.llm.fingerprints import fingerprints
 from aliasmith.llm.mixing import mix_counts, plan_mix
 from aliasmith.llm.tables import table
 from aliasmith.llm.token_counts import token_counts
@@ -26,6 +27,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary(BYTE_PAIRS))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of an edit of it, and their likeness."""
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as token ids and read back through the key index."""
     docs = table(spark, sf_dir, "documents")
@@ -46,7 +52,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_mix_sources, op3_token_counts, op7_token_store, op8_decontaminate)
+    found = (op2_mix_sources, op3_token_counts, op4_fingerprints, op7_token_store, op8_decontaminate)
     return {query.__name__: query for query in found}
 
 
