@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from aliasmith.llm import oracles
 from aliasmith.llm.decontaminate import contamination
 from aliasmith.llm.fingerprints import fingerprints
+from aliasmith.llm.language import fit, identified, remainder, training_rows
 from aliasmith.llm.mixing import mix_counts, plan_mix
 from aliasmith.llm.tables import table
 from aliasmith.llm.token_counts import token_counts
@@ -51,8 +52,16 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by models of the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder(F.col("doc_id")) == 2, F.lit(False)).alias("held_out")
+    found = identified(docs, fit(training_rows(docs)))
+    return found.select("doc_id", held_out, "lang_pred", "score", "rejected")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_mix_sources, op3_token_counts, op4_fingerprints, op7_token_store, op8_decontaminate)
+    found = (op2_mix_sources, op3_token_counts, op4_fingerprints, op7_token_store, op8_decontaminate, op10_language_id)
     return {query.__name__: query for query in found}
 
 
