@@ -12,6 +12,7 @@ from aliasmith.llm.decontaminate import contamination
 from aliasmith.llm.fingerprints import fingerprints
 from aliasmith.llm.language import fit, identified, remainder, training_rows
 from aliasmith.llm.mixing import mix_counts, plan_mix
+from aliasmith.llm.near_duplicates import near_duplicates
 from aliasmith.llm.tables import table
 from aliasmith.llm.token_counts import token_counts
 from aliasmith.llm.token_store import stored_checksums, write_tokens
@@ -52,6 +53,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, group and number of links of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, by models of the documents that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -61,7 +67,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_mix_sources, op3_token_counts, op4_fingerprints, op7_token_store, op8_decontaminate, op10_language_id)
+    found = (op2_mix_sources, op3_token_counts, op4_fingerprints, op7_token_store, op8_decontaminate, op9_near_duplicates, op10_language_id)
     return {query.__name__: query for query in found}
 
 
