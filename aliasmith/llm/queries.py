@@ -16,9 +16,23 @@ from aliasmith.llm.near_duplicates import near_duplicates
 from aliasmith.llm.tables import table
 from aliasmith.llm.token_counts import token_counts
 from aliasmith.llm.token_store import stored_checksums, write_tokens
+from aliasmith.llm.url_templates import host_and_path, judged
 from aliasmith.llm.vocabularies import BYTE_PAIRS, WORD_PAIRS, vocabulary
 
 
+def op1_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by the rules, else by its path template.
+
+    A path ends in the number of the document the page was made from. Its label is the
+    page's: bad if the quality is 0 or the document is toxic.
+    """
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    number = F.regexp_extract(host_and_path(F.col("url"))[1], r"([0-9]+)[^0-9]*$", 1).try_cast("bigint")
+    bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")
+    labelled = pages.select("page_id", number.alias("doc_id")).join(labels.select("doc_id", bad), "doc_id")
+    return judged(pages, labelled.select("page_id", "bad"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that a mix of all documents takes from each, at weights 5, 2, 1 by source."""
     return mix_counts(plan_mix(table(spark, sf_dir, "documents")))
@@ -67,7 +81,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_mix_sources, op3_token_counts, op4_fingerprints, op7_token_store, op8_decontaminate, op9_near_duplicates, op10_language_id)
+    found = (op1_url_templates, op2_mix_sources, op3_token_counts, op4_fingerprints, op7_token_store, op8_decontaminate, op9_near_duplicates, op10_language_id)
     return {query.__name__: query for query in found}
 
 
