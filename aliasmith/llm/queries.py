@@ -13,6 +13,7 @@ from aliasmith.llm.fingerprints import fingerprints
 from aliasmith.llm.language import fit, identified, remainder, training_rows
 from aliasmith.llm.mixing import mix_counts, plan_mix
 from aliasmith.llm.near_duplicates import near_duplicates
+from aliasmith.llm.pii import KINDS, counted, listed, personal_data
 from aliasmith.llm.tables import table
 from aliasmith.llm.token_counts import token_counts
 from aliasmith.llm.token_store import stored_checksums, write_tokens
@@ -48,6 +49,17 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans, and those the method adds."""
+    found = personal_data(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[counted(F.col("base"), kind).alias(f"n_{kind}") for kind in KINDS],
+        F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
+        listed(F.concat("base", "added")).alias("spans"),
+    )
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as token ids and read back through the key index."""
     docs = table(spark, sf_dir, "documents")
@@ -81,7 +93,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_url_templates, op2_mix_sources, op3_token_counts, op4_fingerprints, op7_token_store, op8_decontaminate, op9_near_duplicates, op10_language_id)
+    found = (op1_url_templates, op2_mix_sources, op3_token_counts, op4_fingerprints, op6_pii, op7_token_store, op8_decontaminate, op9_near_duplicates, op10_language_id)
     return {query.__name__: query for query in found}
 
 
