@@ -160,4 +160,53 @@ def _op1(max_depth: int = 6) -> str:
     return "".join([*parts, _OP1_END.format(old=old)])
 
 
-SQL = {"op1_url_templates": _op1(), "op2_mix_sources": OP2, "op8_decontaminate": OP8}
+OP5 = r"""
+WITH split AS (
+  SELECT page_id, row_number() OVER () AS r,
+    translate(regexp_extract(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END, '^[^/?#]*', 0),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    string_split(coalesce(regexp_replace(html,
+      '(</(?:p|div|li|ul|nav|article|head|title|style|script|h[1-6])>|<br>)', '\1' || chr(10), 'g'), ''), chr(10)) AS lines
+  FROM pages),
+placed AS (
+  SELECT r, host, i, lines[i] AS line, trim(lines[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS plain
+  FROM (SELECT r, host, lines, unnest(range(1, len(lines) + 1)) AS i FROM split)),
+totals AS (SELECT host, count(*) AS pages FROM split GROUP BY host HAVING count(*) >= 3),
+counts AS (SELECT host, plain, count(DISTINCT r) AS n FROM placed WHERE plain <> '' GROUP BY host, plain HAVING count(DISTINCT r) >= 3),
+frequent AS (
+  SELECT c.host, c.plain FROM counts c JOIN totals t ON c.host IS NOT DISTINCT FROM t.host WHERE n > pages * 0.1::DOUBLE),
+kept AS (
+  SELECT r, count(*) AS n, count(*) FILTER (f.plain IS NOT NULL) AS dropped,
+    string_agg(line, chr(10) ORDER BY i) FILTER (f.plain IS NULL) AS text
+  FROM placed p LEFT JOIN frequent f ON p.host IS NOT DISTINCT FROM f.host AND p.plain = f.plain GROUP BY r)
+SELECT page_id, host, n::BIGINT AS n_lines, dropped::BIGINT AS n_dropped, coalesce(text, '') AS text
+FROM split JOIN kept USING (r)
+"""
+
+OP9 = r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+sets AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [text] ELSE list_sort(list_distinct(list_transform(
+      range(1, greatest(len(w) - 5, 0) + 2), lambda p: array_to_string(w[p:p + 4], ' ')))) END AS shingles, len(w) > 0 AS filled
+  FROM words),
+classes AS MATERIALIZED (
+  SELECT filled, shingles, min(doc_id) AS class_id, count(*) AS n_docs, min(r) AS node FROM sets GROUP BY filled, shingles),
+spread AS MATERIALIZED (SELECT node, len(shingles) AS size, unnest(shingles) AS s FROM classes WHERE filled),
+pairs AS MATERIALIZED (
+  SELECT a.node AS a, b.node AS b FROM spread a JOIN spread b ON a.s = b.s AND a.node <> b.node
+  GROUP BY a.node, b.node, a.size, b.size HAVING count(*) >= 0.8 * (a.size + b.size - count(*)) - 1e-9),
+reach(node, top) AS (
+  SELECT node, node FROM classes UNION SELECT p.b, reach.top FROM reach JOIN pairs p ON p.a = reach.node),
+groups AS (
+  SELECT node, min(c.class_id) AS group_id FROM reach JOIN (SELECT node AS n, class_id FROM classes) c ON c.n = top GROUP BY node),
+links AS (SELECT a AS node, sum(n_docs) AS n FROM pairs JOIN (SELECT node AS n, n_docs FROM classes) c ON c.n = b GROUP BY a)
+SELECT s.doc_id, c.class_id, g.group_id, (c.n_docs - 1 + coalesce(l.n, 0))::BIGINT AS n_links
+FROM sets s JOIN classes c ON s.filled = c.filled AND s.shingles = c.shingles
+JOIN groups g ON g.node = c.node LEFT JOIN links l ON l.node = c.node
+"""
+
+SQL = {"op1_url_templates": _op1(), "op2_mix_sources": OP2, "op5_site_lines": OP5, "op8_decontaminate": OP8, "op9_near_duplicates": OP9}

@@ -14,6 +14,7 @@ from aliasmith.llm.language import fit, identified, remainder, training_rows
 from aliasmith.llm.mixing import mix_counts, plan_mix
 from aliasmith.llm.near_duplicates import near_duplicates
 from aliasmith.llm.pii import KINDS, counted, listed, personal_data
+from aliasmith.llm.site_lines import page_text, without_boilerplate
 from aliasmith.llm.tables import table
 from aliasmith.llm.token_counts import token_counts
 from aliasmith.llm.token_store import stored_checksums, write_tokens
@@ -49,6 +50,13 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page without the lines that are boilerplate of its host."""
+    host = host_and_path(F.col("url"))[0]
+    pages = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), page_text(F.col("html")).alias("text"))
+    return without_boilerplate(pages)
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: base spans, and those the method adds."""
     found = personal_data(table(spark, sf_dir, "documents"))
@@ -93,7 +101,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_url_templates, op2_mix_sources, op3_token_counts, op4_fingerprints, op6_pii, op7_token_store, op8_decontaminate, op9_near_duplicates, op10_language_id)
+    found = (op1_url_templates, op2_mix_sources, op3_token_counts, op4_fingerprints, op5_site_lines, op6_pii, op7_token_store, op8_decontaminate, op9_near_duplicates, op10_language_id)
     return {query.__name__: query for query in found}
 
 
