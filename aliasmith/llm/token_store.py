@@ -234,7 +234,8 @@ def read_documents(
     key. Keys are dealt by ranges, so a task opens few shards, one after the other; keys in
     any order and keys that are not stored are allowed.
     """
-    shards = keys.sparkSession.sparkContext.broadcast(_shards(store))
+    in_order = _shards(store)
+    shards = keys.sparkSession.sparkContext.broadcast(in_order)
     address = store.address
     types = {"doc_id": pa.int64(), "start": pa.int64(), "n_tokens": pa.int64(), **types}
 
@@ -266,7 +267,8 @@ def read_documents(
             opened.close()
 
     distinct = keys.select(_key().alias("key")).distinct()
-    dealt = distinct.repartitionByRange("key").sortWithinPartitions("key")
+    # Keys are small and what they point to is not, so their size must not decide on the tasks.
+    dealt = distinct.repartitionByRange(max(1, len(in_order["path"])), "key").sortWithinPartitions("key")
     return dealt.mapInArrow(look_up, f"doc_id bigint, start bigint, n_tokens bigint, {schema}")
 
 

@@ -6,29 +6,64 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from aliasmith.llm.decontaminate import decontaminated
+from aliasmith.llm.language import accepted, fit
 from aliasmith.llm.mixing import mixed_documents, plan_mix
+from aliasmith.llm.near_duplicates import deduplicated
 from aliasmith.llm.tables import table
+from aliasmith.llm.token_store import stored_checksums, write_tokens
+from aliasmith.llm.vocabularies import WORD_PAIRS, vocabulary
 from aliasmith.session import ship_package, stored
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of its source takes it."""
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose language is identified, by models of all that have a label."""
+    ship_package(spark)
+    return accepted(docs, fit(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the first by id."""
+    ship_package(spark)
+    return deduplicated(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without any window of a benchmark item."""
+    ship_package(spark)
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; a document taken twice is two rows."""
+    ship_package(spark)
     return mixed_documents(docs, plan_mix(docs))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("mixing", mix),
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents written as token ids; one row for each, read back from the files."""
+    ship_package(spark)
+    return stored_checksums(write_tokens(docs, vocabulary(WORD_PAIRS)), docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language ID", language_id),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("token ids", token_ids),
 ]
 
-# Language models, exact similarity joins and token ids are not SQL; the tests compare each
-# stage with a brute-force version.
+# Language models and token ids are not SQL; the tests hold each stage against a brute-force
+# version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read by the next."""
-    ship_package(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
