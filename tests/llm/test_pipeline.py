@@ -1,0 +1,149 @@
+from collections import Counter, defaultdict
+from zlib import crc32
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from aliasmith.llm.mixing import seeded_order
+from aliasmith.llm.vocabularies import WORD_PAIRS, vocabulary
+from conftest_llm import CLASHING, prose
+from test_decontaminate import brute as brute_hits
+from test_mixing import size_of, targets_by_hand
+from test_near_duplicates import shingles
+
+tokenizers = pytest.importorskip("tokenizers")
+COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+@pytest.fixture(scope="module")
+def sf_dir(spark, small_dir, tmp_path_factory):
+    """The smallest tables with some rows that every stage must bear."""
+    folder = str(tmp_path_factory.mktemp("tables"))
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    item = spark.read.parquet(f"{small_dir}/benchmark.parquet").first().text
+    more = [
+        (10_001, None, "en", "src1", None),
+        (10_002, "", None, None, 0),
+        (10_003, prose(1, 120), "en", None, 1),
+        (10_003, prose(1, 120), "en", None, 1),
+        (None, prose(2, 50), "de", "src1", 1),
+        (10_004, prose(3, 30) + " " + item, "en", "src2", 1),
+        (10_005, " ".join(["0815"] * 30), "en", "src2", 1),
+    ]
+    more = spark.createDataFrame(more, COLUMNS)
+    clashing = [F.lit(f"own {name}").alias(name) for name in CLASHING]
+    docs.unionByName(more).select("*", *clashing).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{small_dir}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+@pytest.fixture(scope="module")
+def stages(spark, sf_dir):
+    """What goes into each stage and what comes out."""
+    docs, found = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        rows = out.collect()
+        found.append((name, docs.collect(), rows, docs.columns, out.columns))
+        docs = spark.createDataFrame(rows, out.schema)
+    return found
+
+
+def test_stages_keep_the_columns(stages):
+    for _, _, _, before, after in stages[:-1]:
+        assert after == before
+    assert [len(s[1]) for s in stages[1:]] == [len(s[2]) for s in stages[:-1]]
+
+
+def test_languages_drop_what_has_no_letter_and_keep_the_rest(stages):
+    _, before, after, _, _ = stages[0]
+    lettered = Counter((r.doc_id, r.text) for r in before if r.text and any(map(str.isalpha, r.text)))
+    kept = Counter((r.doc_id, r.text) for r in after)
+    assert not kept - lettered
+    assert sum(kept.values()) >= 0.98 * sum(lettered.values())
+
+
+def test_one_document_of_each_group_stays(stages):
+    _, before, after, _, _ = stages[1]
+    sets = [shingles(r.text) or r.text for r in before]
+    top = list(range(len(sets)))
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            near = a == b if isinstance(a, str) or isinstance(b, str) else len(a & b) >= 0.8 * len(a | b)
+            if near:
+                top[max(root(i), root(j))] = min(root(i), root(j))
+    groups = defaultdict(set)
+    for i, r in enumerate(before):
+        groups[root(i)].add((r.doc_id, r.text))
+    kept = Counter((r.doc_id, r.text) for r in after)
+    assert sum(kept.values()) == len(groups)
+    assert all(sum(kept[m] for m in members) == 1 for members in groups.values())
+    for members in groups.values():
+        ids = [i for i, _ in members if i is not None]
+        (mine,) = [m for m in members if kept[m]]
+        assert mine[0] is None or mine[0] == min(ids)
+
+
+def test_contaminated_documents_go(stages, spark, sf_dir):
+    _, before, after, _, _ = stages[2]
+    items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
+    clean = Counter((r.doc_id, r.text) for r in before if not brute_hits(r.text, items)[1])
+    assert Counter((r.doc_id, r.text) for r in after) == clean
+    assert len(after) < len(before)
+
+
+def test_the_mix_comes_near_its_targets(stages):
+    _, before, after, _, _ = stages[3]
+    sizes = defaultdict(int)
+    for r in before:
+        sizes[r.source] += size_of(r.text)
+    names = sorted(s for s in sizes if s is not None) + ([None] if None in sizes else [])
+    targets = targets_by_hand(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)})
+    taken = defaultdict(int)
+    for r in after:
+        taken[r.source] += size_of(r.text)
+    largest = max(size_of(r.text) for r in before)
+    for source, target in targets.items():
+        assert abs(taken[source] - target) <= min(largest, 0.25 * target + 60)
+    times = Counter((r.doc_id, r.text) for r in after)
+    assert max(times.values()) <= 3 and set(times) <= {(r.doc_id, r.text) for r in before}
+
+
+def test_token_ids_come_back_from_the_files(stages):
+    _, before, after, _, _ = stages[4]
+    library = tokenizers.Tokenizer.from_file(vocabulary(WORD_PAIRS))
+    wanted = Counter()
+    for r in before:
+        ids = np.array([*library.encode(r.text, add_special_tokens=False).ids, 1], "<u4")
+        wanted[r.doc_id, len(ids), crc32(ids.tobytes())] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in after) == wanted
+    rows = sorted((r.start, r.n_tokens) for r in after if r.n_tokens)
+    assert [s for s, _ in rows] == np.cumsum([0] + [n for _, n in rows])[:-1].tolist()
+
+
+def test_run_gives_what_the_stages_give(spark, sf_dir, stages):
+    found = corpus_pipeline.run(spark, sf_dir).collect()
+    assert Counter(map(tuple, found)) == Counter(map(tuple, stages[4][2]))
+
+
+def test_empty_documents(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.collect() == [], name
+
+
+def test_the_seeded_order_is_that_of_md5(spark):
+    from hashlib import md5
+
+    rows = spark.range(5).select("id", seeded_order(F.col("id"), 42).alias("h")).collect()
+    assert all(r.h == int(md5(f"{r.id}|42".encode()).hexdigest()[:15], 16) for r in rows)
