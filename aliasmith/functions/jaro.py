@@ -91,3 +91,12 @@ def jaro_winkler_scores(left: pd.Series, right: pd.Series) -> pd.Series:
 @F.pandas_udf(T.DoubleType())
 def jaro_winkler(left: pd.Series, right: pd.Series) -> pd.Series:
     return jaro_winkler_scores(left, right)
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def jaro_winkler_all(*texts: pd.Series) -> pd.Series:
+    """The scores of several pairs of columns in one pass: all left columns, then all right ones."""
+    half = len(texts) // 2
+    scores = [jaro_winkler_scores(texts[i], texts[half + i]) for i in range(half)]
+    columns = [[None if pd.isna(v) else float(v) for v in column] for column in scores]
+    return pd.Series(list(zip(*columns, strict=True)), dtype=object)

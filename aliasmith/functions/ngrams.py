@@ -54,13 +54,15 @@ GRAM_CODE_RANGE = 1 << 21
 
 def skip_grams(text: Column, max_gap: int = 3) -> Column:
     """Distinct ordered token pairs that stand at most ``max_gap`` tokens apart."""
-    tokens = F.filter(F.split(text, r"\s+"), lambda t: t != "")
-    pairs = [
-        F.zip_with(
-            tokens,
-            F.slice(tokens, gap + 1, F.greatest(F.size(tokens), F.lit(0))),
-            lambda a, b: F.concat(a, F.lit(" "), b),
-        )
-        for gap in range(1, max_gap + 1)
-    ]
-    return F.array_distinct(F.filter(F.concat(*pairs), lambda p: p.isNotNull()))
+    def grams(tokens: Column) -> Column:
+        pairs = [
+            F.zip_with(
+                tokens,
+                F.slice(tokens, gap + 1, F.greatest(F.size(tokens), F.lit(0))),
+                lambda a, b: F.concat(a, F.lit(" "), b),
+            )
+            for gap in range(1, max_gap + 1)
+        ]
+        return F.array_distinct(F.filter(F.concat(*pairs), lambda p: p.isNotNull()))
+
+    return bind(F.filter(F.split(text, r"\s+"), lambda t: t != ""), grams)

@@ -1,173 +1,44 @@
-"""Phonetic codes as chains of native regular-expression replacements.
-
-A word is lower case while its letters are unread; each rule writes upper-case
-code symbols in place of the letters it reads, so a rule's context always sees
-the letters that no earlier rule has consumed. Rules run in list order.
-"""
+"""Phonetic codes of words, and the similarity of two codes."""
 
 from __future__ import annotations
 
-from functools import reduce
-
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from aliasmith.functions.jaro import jaro_winkler
+from aliasmith.functions.metaphone import metaphone_codes
 
-CODE_LENGTH = 4
-
-# The spelling rules of the published Double Metaphone method
-# (Philips, 2000): spelling, primary code, alternate code.
-_ANY, _SLAVIC, _OTHER = "any", "slavic", "other"
-_RULES: list[tuple[str, str, str, str]] = [
-    # silent or changed first letters
-    (_ANY, r"^(?:g(?=n)|k(?=n)|p(?=[ns])|w(?=r))", "", ""),
-    (_ANY, r"^x", "S", "S"),
-    # x
-    (_ANY, r"(?<=[ie]au|[ao]u)x$", "", ""),
-    (_ANY, r"x[cx]?", "KS", "KS"),
-    # j
-    (_ANY, r"^j(?=ose$)", "H", "H"),
-    (_ANY, r"j(?=ose)", "J", "H"),
-    (_ANY, r"^jj?", "J", "A"),
-    (_OTHER, r"(?<=[aeiouy])j(?=[ao])", "J", "H"),
-    (_ANY, r"(?<![skl])j$", "J", ""),
-    (_ANY, r"(?<![skl])jj?(?![ltksnmbz])", "J", "J"),
-    (_ANY, r"j", "", ""),
-    # s
-    (_ANY, r"(?<=[iy])s(?=l)", "", ""),
-    (_ANY, r"^s(?=ugar)", "X", "S"),
-    (_ANY, r"sh(?=eim|oek|olm|olz)", "S", "S"),
-    (_ANY, r"sh", "X", "X"),
-    (_OTHER, r"si(?=o|a)", "S", "X"),
-    (_ANY, r"si(?=o|a)", "S", "S"),
-    (_ANY, r"^s(?=[mnlw])", "S", "X"),
-    (_ANY, r"sz", "S", "X"),
-    (_ANY, r"sch(?=e[rn])", "X", "SK"),
-    (_ANY, r"sch(?=oo|uy|e[dm])", "SK", "SK"),
-    (_ANY, r"^sch(?=[^aeiouyw])", "X", "S"),
-    (_ANY, r"sch", "X", "X"),
-    (_ANY, r"sc(?=[iey])", "S", "S"),
-    (_ANY, r"sc", "SK", "SK"),
-    (_ANY, r"(?<=[ao]i)s$", "", "S"),
-    (_ANY, r"ss", "S", "S"),
-    # w
-    (_ANY, r"wi[ct]z", "TS", "FX"),
-    (_ANY, r"wr", "R", "R"),
-    (_ANY, r"^w(?=[aeiouy])", "A", "F"),
-    (_ANY, r"^wh", "A", "A"),
-    (_ANY, r"(?<=[aeiouy])w$", "", "F"),
-    (_ANY, r"(?<=[eo])w(?=sk[iy])", "", "F"),
-    (_ANY, r"w", "", ""),
-    # t
-    (_ANY, r"ti(?=on|a)", "X", "X"),
-    (_ANY, r"tch", "X", "X"),
-    (_ANY, r"tt?h(?=[oa]m)", "T", "T"),
-    (_ANY, r"tt?h", "0", "T"),
-    (_ANY, r"t[td]?", "T", "T"),
-    # c
-    (_ANY, r"cci(?=a)", "X", "X"),
-    (_ANY, r"(?<=^a)cc(?=[ie]|h(?!u))|(?<=u)cc(?=e[es])", "KS", "KS"),
-    (_ANY, r"(?<!^m)cc(?:h(?!u)|(?=[ie]))", "X", "X"),
-    (_ANY, r"(?<!^m)cc", "K", "K"),
-    (_ANY, r"(?<=[^aeiouy]a)ch(?![ie])", "K", "K"),
-    (_ANY, r"(?<=[bm]a)ch(?=er)", "K", "K"),
-    (_ANY, r"^c(?=aesar)", "S", "S"),
-    (_ANY, r"ch(?=ia)", "K", "K"),
-    (_ANY, r"(?<=.)ch(?=ae)", "K", "X"),
-    (_ANY, r"^ch(?=arac|aris|or(?!e)|ym|em)", "K", "K"),
-    (_ANY, r"(?<=or)ch(?=es|id)|(?<=ar)ch(?=it)", "K", "K"),
-    (_ANY, r"ch(?=[TS])", "K", "K"),
-    (_ANY, r"(?<=[aoue])ch(?=[lrnmbhfv]|$)|^ch(?=[lrnmbhfv])", "K", "K"),
-    (_ANY, r"(?<=^mc.{0,30})ch", "K", "K"),
-    (_ANY, r"^ch", "X", "X"),
-    (_ANY, r"ch", "X", "K"),
-    (_ANY, r"cz", "S", "X"),
-    (_ANY, r"c[kgq]", "K", "K"),
-    (_ANY, r"c(?=i[oea])", "S", "X"),
-    (_ANY, r"c(?=[iey])", "S", "S"),
-    (_ANY, r"c(?:c(?![ei]))?", "K", "K"),
-    # d
-    (_ANY, r"dg(?=[iey])", "J", "J"),
-    (_ANY, r"dg", "TK", "TK"),
-    # g
-    (_ANY, r"^gh(?=i)", "J", "J"),
-    (_ANY, r"^gh|(?<=[^aeiouy])gh", "K", "K"),
-    (_ANY, r"(?<=[bhd].)gh|(?<=[bhd]..)gh|(?<=[bh]...)gh", "", ""),
-    (_ANY, r"(?<=[CKGLRTcglr].u)gh", "F", "F"),
-    (_ANY, r"(?<=[^i])gh", "K", "K"),
-    (_ANY, r"gh", "", ""),
-    (_OTHER, r"(?<=^[aeiouy])gn", "KN", "N"),
-    (_OTHER, r"gn(?!ey|y)", "N", "KN"),
-    (_ANY, r"gn", "KN", "KN"),
-    (_OTHER, r"gli", "KL", "L"),
-    (_ANY, r"^g(?=y|e[spblyir]|i[blne])", "K", "J"),
-    (_ANY, r"(?<!^[dm]an|^ran)(?<![ei]|[ro](?=gy))g(?=er|y)", "K", "J"),
-    (_ANY, r"g(?=et)", "K", "K"),
-    (_ANY, r"(?<=[ao]g)g(?=i)", "J", "K"),
-    (_ANY, r"g(?=ier$)", "J", "J"),
-    (_ANY, r"g(?=[eiy])", "J", "K"),
-    (_ANY, r"gg?", "K", "K"),
-    # h is heard only before a vowel, at the start or between vowels
-    (_ANY, r"ph", "F", "F"),
-    (_ANY, r"zh", "J", "J"),
-    (_ANY, r"(?:^|(?<=[aeiouy]))h(?=[aeiouy])", "H", "H"),
-    (_ANY, r"h", "", ""),
-    # d, l, r, m
-    (_ANY, r"d[dT]?", "T", "T"),
-    (_ANY, r"(?<=i)ll(?=[oa]$)|(?<=a)ll(?=e(?:.*[ao]s?)?$)", "L", ""),
-    (_ANY, r"ll?", "L", "L"),
-    (_OTHER, r"(?<!m[ea]ie)(?<=ie)r$", "", "R"),
-    (_ANY, r"rr?", "R", "R"),
-    (_ANY, r"(?<=u)mb(?=$|er)", "M", "M"),
-    (_ANY, r"mm?", "M", "M"),
-    # z
-    (_ANY, r"zz(?=[oia])", "S", "TS"),
-    (_SLAVIC, r"(?<=[^T])zz?", "S", "TS"),
-    (_ANY, r"zz?", "S", "S"),
-    # letters with one code each
-    (_ANY, r"s", "S", "S"),
-    (_ANY, r"p[pb]?", "P", "P"),
-    (_ANY, r"bb?", "P", "P"),
-    (_ANY, r"ff?|vv?", "F", "F"),
-    (_ANY, r"kk?|qq?", "K", "K"),
-    (_ANY, r"nn?", "N", "N"),
-    (_ANY, r"[^A-Z0]", "", ""),
-]
-_SLAVIC_SPELLING = r"[wk]|cz"
 
+_CODES = T.StructType([T.StructField(name, T.StringType()) for name in ("primary", "alternate")])
 
-def _coded(word: Column, alternate: bool) -> Column:
-    def chain(family: str) -> Column:
-        rules = [r for r in _RULES if r[0] in (_ANY, family)]
-        return reduce(lambda text, r: F.regexp_replace(text, r[1], r[3 if alternate else 2]), rules, word)
 
-    code = F.when(word.rlike(_SLAVIC_SPELLING), chain(_SLAVIC)).otherwise(chain(_OTHER))
-    opening = F.when(word.rlike("^[aeiouy]"), F.lit("A")).otherwise(F.lit(""))
-    return F.substring(F.concat(opening, code), 1, CODE_LENGTH)
-
-
-def double_metaphone(text: Column) -> Column:
+@F.pandas_udf(_CODES)
+def double_metaphone(text: pd.Series) -> pd.DataFrame:
     """Struct of the primary and alternate Double Metaphone codes, four symbols at most.
 
-    The chain is long: apply it to a table of distinct words and join the codes. The
-    one-element ``transform`` keeps it out of generated code, where it would pass the
-    size limit of a method.
+    Apply it to a table of distinct words and join the codes; null gives null codes.
     """
-    word = F.regexp_replace(F.lower(text), "[^a-z]", "")
-    coded = F.transform(
-        F.array(word),
-        lambda w: F.struct(_coded(w, False).alias("primary"), _coded(w, True).alias("alternate")),
-    )
-    return F.get(coded, F.lit(0))
+    codes = [(None, None) if word is None else metaphone_codes(word) for word in text]
+    return pd.DataFrame(codes, columns=["primary", "alternate"])
 
 
-def phonetic_similarity(left: Column, right: Column) -> Column:
-    """1 for equal primary codes, 0.75 when an alternate code agrees, else half the code similarity."""
+def _agreement(left: Column, right: Column) -> Column:
+    """1 for equal primary codes, 0.75 when an alternate code agrees, else null."""
     p1, a1 = left.getField("primary"), left.getField("alternate")
     p2, a2 = right.getField("primary"), right.getField("alternate")
-    return (
-        F.when(p1 == p2, F.lit(1.0))
-        .when((p1 == a2) | (a1 == p2) | (a1 == a2), F.lit(0.75))
-        .otherwise(F.lit(0.5) * jaro_winkler(p1, p2))
-    )
+    return F.when(p1 == p2, F.lit(1.0)).when((p1 == a2) | (a1 == p2) | (a1 == a2), F.lit(0.75))
+
+
+def compared_codes(left: Column, right: Column) -> tuple[Column, Column]:
+    """The primary codes where their own similarity is asked for, else nulls, which cost nothing to score."""
+    open_ = _agreement(left, right).isNull()
+    return F.when(open_, left.getField("primary")), F.when(open_, right.getField("primary"))
+
+
+def phonetic_similarity(left: Column, right: Column, code_similarity: Column | None = None) -> Column:
+    """1 for equal primary codes, 0.75 when an alternate code agrees, else half the code similarity."""
+    if code_similarity is None:
+        code_similarity = jaro_winkler(*compared_codes(left, right))
+    return F.coalesce(_agreement(left, right), F.lit(0.5) * code_similarity)

@@ -33,5 +33,13 @@ def explode_aliases(watch_list: DataFrame) -> DataFrame:
 
 
 def clean_table(df: DataFrame) -> DataFrame:
-    """Every string column cleaned in a single projection."""
-    return df.select(*[clean_text(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
+    """Every column of text, or of arrays of text, cleaned in a single projection."""
+
+    def cleaned(column: str, kind: str) -> Column:
+        if kind == "string":
+            return clean_text(F.col(column)).alias(column)
+        if kind == "array<string>":
+            return F.transform(F.col(column), clean_text).alias(column)
+        return F.col(column)
+
+    return df.select(*[cleaned(c, t) for c, t in df.dtypes])

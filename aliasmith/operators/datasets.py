@@ -48,9 +48,12 @@ def discretize(df: DataFrame, column: str, output: str, n_bins: int, relative_er
 
 
 def discretize_exact(df: DataFrame, column: str, output: str, n_bins: int) -> DataFrame:
-    """Bins bounded by exact quantiles."""
-    inner = exact_quantiles(df, column, [i / n_bins for i in range(1, n_bins)])
-    return bucketize(df, [float("-inf"), *sorted(set(inner)), float("inf")], column, output)
+    """Bins bounded by exact quantiles; rows whose value is missing or NaN are skipped, infinite ones are not."""
+    inner = sorted(set(exact_quantiles(df, column, [i / n_bins for i in range(1, n_bins)])))
+    value = F.col(column).cast("double")
+    reached = F.filter(F.array(*map(F.lit, inner)).cast("array<double>"), lambda edge: edge <= value)
+    kept = df.where(value.isNotNull() & ~F.isnan(value))
+    return kept.withColumn(output, F.size(reached).cast("double"))
 
 
 def bucketize(df: DataFrame, splits: Sequence[float], column: str, output: str) -> DataFrame:

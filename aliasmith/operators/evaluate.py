@@ -34,11 +34,14 @@ def auc_hard_labels(df: DataFrame, label: str = LABEL_COLUMN, prediction: str =
 def auc_scored(df: DataFrame, label: str = LABEL_COLUMN, score: str = "score") -> DataFrame:
     """Area under ROC of a score, ties counting half.
 
-    Rows are first counted per score, so equal scores cost one row however many they are.
+    Rows are first counted per score, so equal scores cost one row however many they are. A
+    row without a score, null or NaN, counts as scored lowest. Rows without a label are left out.
     """
+    value = F.col(score).cast("double")
+    known = F.when(value.isNull() | F.isnan(value), F.lit(float("-inf"))).otherwise(value)
     positive = (F.col(label) == 1).cast("bigint")
     by_score = cut_lineage(
-        df.groupBy(F.col(score).cast("double").alias("score")).agg(
+        df.where(F.col(label).isNotNull()).groupBy(known.alias("score")).agg(
             F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg")
         )
     )

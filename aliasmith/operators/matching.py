@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -14,7 +15,7 @@ from aliasmith.functions.similarity import FIRST_WEIGHT, LAST_WEIGHT, full_name
 from aliasmith.functions.text import first_name, last_name
 from aliasmith.operators.datasets import assemble_features
 from aliasmith.operators.filters import valid_names
-from aliasmith.operators.profiles import pair_features
+from aliasmith.operators.profiles import FEATURES, pair_features
 from aliasmith.operators.simjoin import EPSILON, gram_order, ordered_grams, similar_texts
 from aliasmith.operators.skew import salted_join
 from aliasmith.session import cut_lineage
@@ -128,13 +129,18 @@ def match_by_rule(queries: DataFrame, index: NameIndex, min_similarity: float =
 
 
 def match_by_model(
-    queries: DataFrame, index: NameIndex, model: PipelineModel, ngram_floor: float = 0.0
+    queries: DataFrame,
+    index: NameIndex,
+    model: PipelineModel,
+    ngram_floor: float = 0.0,
+    features: Sequence[str] = FEATURES,
 ) -> DataFrame:
     """Matches by a trained model: string1, string2, uid, citizenship.
 
     The model sees one row per distinct pair of names in a block. ``ngram_floor`` is a
     proven lower bound of the n-gram feature of any pair the model accepts (see
     ``models.ngram_floor``): pairs below it are rejected without being formed.
+    ``features`` are those the model was trained on, in their order.
     """
     asked = valid_names(queries).select("name", BLOCK).distinct()
     if ngram_floor > FIRST_WEIGHT + EPSILON:
@@ -142,7 +148,8 @@ def match_by_model(
     else:
         offered = index.names.select(BLOCK, F.col("name").alias("string2"))
         candidates = salted_join(offered, asked.withColumnRenamed("name", "string1"), [BLOCK])
-    vectors = assemble_features(pair_features(cut_lineage(candidates)), ignored=candidates.columns)
+    scored = pair_features(cut_lineage(candidates), phonetic="phonetic" in features)
+    vectors = assemble_features(scored.select(*candidates.columns, *features), ignored=candidates.columns)
     scored = model.transform(vectors)
     accepted = scored.where(F.col("prediction") == 1.0).select("string1", "string2", BLOCK)
     held = index.aliases.select("uid", BLOCK, F.col("name").alias("string2"))

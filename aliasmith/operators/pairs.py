@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,75 +25,121 @@ from aliasmith.operators.skew import top_n_per_group
 from aliasmith.session import cut_lineage
 
 
-def true_pairs(aliases: DataFrame, min_similarity: float) -> DataFrame:
-    """Distinct pairs of different names of one entity that are similar enough.
+@dataclass(frozen=True)
+class NameTable:
+    """The names of an alias table with their grams, made once for true and false pairs.
 
-    ``aliases`` holds ``uid`` and ``name``. A pair is written once, in text order.
+    held:  uid, name, grams; one row per entity and name.
+    names: name, low, high, grams; distinct names with the lowest and the highest entity.
     """
+
+    held: DataFrame
+    names: DataFrame
+
+
+def name_table(aliases: DataFrame) -> NameTable:
+    """Prepare ``uid, name`` rows for pair generation."""
     held = cut_lineage(aliases.select("uid", "name").distinct())
     order = cut_lineage(gram_order(held, "name"))
-    named = held.join(ordered_grams(held, "name", order), "name")
+    grams = cut_lineage(ordered_grams(held, "name", order))
+    owned = held.groupBy("name").agg(F.min("uid").alias("low"), F.max("uid").alias("high"))
+    return NameTable(held.join(grams, "name"), cut_lineage(owned.join(grams, "name")))
+
+
+def true_pairs(aliases: DataFrame | NameTable, min_similarity: float) -> DataFrame:
+    """Distinct pairs of different names of one entity that are similar enough.
+
+    ``aliases`` holds ``uid`` and ``name``. A pair is written once, in text order.
+    """
+    named = (aliases if isinstance(aliases, NameTable) else name_table(aliases)).held
     left = named.select("uid", F.col("name").alias("string1"), F.col("grams").alias("grams1"))
     right = named.select("uid", F.col("name").alias("string2"), F.col("grams").alias("grams2"))
     found = similar_texts(left, right, min_similarity, keys=["uid"], condition=F.col("string1") < F.col("string2"))
     return found.where(F.col("similarity") >= min_similarity).select("string1", "string2", "similarity").distinct()
 
 
-def random_pairs(names: DataFrame, rounds: int, seed: int) -> DataFrame:
-    """Random pairs of names: in each round names meet in hashed slots of about two names.
+def random_pairs(names: DataFrame, n_names: int, round_: int, seed: int) -> DataFrame:
+    """Random pairs of names: names meet in hashed slots, of about two names in round 0.
 
-    Each round costs one shuffle of the names and gives about as many pairs as names.
+    Slots hold twice as many names in each further round, so that the last round, with one slot,
+    forms all pairs.
     """
-    n_slots = max(names.count() // 2, 1)
-    slots = [
-        F.struct(F.lit(r).alias("round"), (seeded_hash(["name"], seed + r) % n_slots).alias("slot"))
-        for r in range(rounds)
-    ]
-    placed = names.withColumn("_at", F.explode(F.array(*slots)))
+    n_slots = max(n_names >> (round_ + 1), 1)
+    placed = names.withColumn("_slot", seeded_hash(["name"], seed + round_) % n_slots)
     one = placed.withColumnsRenamed({c: f"{c}1" for c in names.columns})
     two = placed.withColumnsRenamed({c: f"{c}2" for c in names.columns})
-    return one.join(two, "_at").where(F.col("name1") < F.col("name2")).drop("_at")
+    return one.join(two, "_slot").where(F.col("name1") < F.col("name2")).drop("_slot")
 
 
 def false_pairs(
-    aliases: DataFrame,
-    n_pairs: int,
-    *,
-    sample_size: int | None = None,
-    rounds: int = 4,
-    anchors_per_pair: int = 10,
-    seed: int = 42,
+    aliases: DataFrame | NameTable, n_pairs: int, *, sample_size: int | None = None, seed: int = 42
 ) -> DataFrame:
     """``n_pairs / 3`` pairs of names of different entities from each similarity band.
 
-    ``sample_size`` first draws that many entities. The lower bands are drawn from random
-    pairs. Similar names of different entities are too rare for that, so the top band
-    is drawn from all partners, found by an exact similarity join, of
-    ``anchors_per_pair`` randomly drawn names for each pair asked. The result has the columns
-    string1, string2, similarity and band; a band with fewer pairs than asked gives what
-    it has (see ``band_shortfall``).
+    ``sample_size`` first draws that many entities. Pairs come in turns. In the lower bands these
+    are rounds of random pairs, each with more pairs than the one before; similar names are
+    too rare for that, so in the top band they are names in random order with all their
+    partners, found by an exact similarity join. Turns are added until every band is full
+    or all pairs have been looked at, and a band holds the pairs of its earliest turns, so the
+    result does not depend on how many turns were made. It has the columns string1, string2,
+    similarity and band (see ``band_shortfall``).
     """
-    held = aliases.select("uid", "name").distinct()
     if sample_size is not None:
+        held = aliases.held if isinstance(aliases, NameTable) else aliases
         chosen = seeded_sample(held.select("uid").distinct(), ["uid"], sample_size, seed)
-        held = held.join(chosen, "uid", "left_semi")
-    owned = cut_lineage(held.groupBy("name").agg(F.min("uid").alias("low"), F.max("uid").alias("high")))
-    order = cut_lineage(gram_order(owned, "name"))
-    names = cut_lineage(owned.join(ordered_grams(owned, "name", order), "name"))
+        aliases = held.select("uid", "name").join(chosen, "uid", "left_semi")
+    names = (aliases if isinstance(aliases, NameTable) else name_table(aliases)).names
     per_band = n_pairs // (len(BAND_BOUNDS) - 1)
-    top = BAND_BOUNDS[-2]
-    similarity = explode_if(dice(F.col("grams1"), F.col("grams2")), lambda s: s < top).alias("similarity")
-    random = random_pairs(names, rounds, seed).where(_apart()).select("name1", "name2", similarity).distinct()
-    anchors = seeded_sample(names, ["name"], anchors_per_pair * per_band, seed)
-    similar = _similar_partners(anchors, names, top)
-    banded = random.unionByName(similar).select(
+    n_names = names.count()
+    found = _unlike(names, n_names, per_band, seed).unionByName(_alike(names, n_names, per_band, seed))
+    order = [
+        F.col("turn"),
+        seeded_hash(["string1", "string2"], seed, "pair"),
+        F.col("string1"),
+        F.col("string2"),
+    ]
+    return top_n_per_group(found, ["band"], order, per_band).drop("turn")
+
+
+def _banded(pairs: DataFrame, turn: Column) -> DataFrame:
+    return pairs.select(
         F.col("name1").alias("string1"),
         F.col("name2").alias("string2"),
         "similarity",
         similarity_band(F.col("similarity")).alias("band"),
+        turn.cast("bigint").alias("turn"),
     )
-    order = [seeded_hash(["string1", "string2"], seed, "pair"), F.col("string1"), F.col("string2")]
-    return top_n_per_group(banded, ["band"], order, per_band)
+
+
+def _unlike(names: DataFrame, n_names: int, per_band: int, seed: int) -> DataFrame:
+    """Pairs of the lower bands with the first round that formed them."""
+    top, lower = BAND_BOUNDS[-2], len(BAND_BOUNDS) - 2
+    similarity = explode_if(dice(F.col("grams1"), F.col("grams2")), lambda s: s < top).alias("similarity")
+    found, round_ = None, 0
+    while True:
+        pairs = random_pairs(names, n_names, round_, seed).where(_apart()).select("name1", "name2", similarity)
+        drawn = _banded(pairs, F.lit(round_))
+        if found is not None:
+            keys = ["string1", "string2", "similarity", "band"]
+            drawn = found.unionByName(drawn).groupBy(*keys).agg(F.min("turn").alias("turn"))
+        found = cut_lineage(drawn)
+        full = found.groupBy("band").count().where(F.col("count") >= per_band).count()
+        if full == lower or n_names >> (round_ + 1) <= 1:
+            return found
+        round_ += 1
+
+
+def _alike(names: DataFrame, n_names: int, per_band: int, seed: int) -> DataFrame:
+    """Pairs of the top band; a pair's turn is the hash of that of its names that comes first."""
+    top, asked = BAND_BOUNDS[-2], max(10 * per_band, 1)
+    while True:
+        anchors = seeded_sample(names.select("name"), ["name"], asked, seed)
+        similar = _similar_partners(anchors, names, top)
+        turn = F.least(seeded_hash(["name1"], seed), seeded_hash(["name2"], seed))
+        found = cut_lineage(_banded(similar, turn))
+        if asked >= n_names or found.count() >= per_band:
+            return found
+        asked *= 4
 
 
 def _apart() -> Column:

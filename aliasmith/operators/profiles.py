@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aliasmith.functions.jaro import jaro_winkler
+from aliasmith.functions.jaro import jaro_winkler_all
 from aliasmith.functions.ngrams import char_grams, dice
-from aliasmith.functions.phonetic import double_metaphone, phonetic_similarity
+from aliasmith.functions.phonetic import compared_codes, double_metaphone, phonetic_similarity
 from aliasmith.functions.similarity import full_name
 from aliasmith.functions.text import first_name, last_name, strip_special
+from aliasmith.operators.skew import salted_join
+from aliasmith.session import cut_lineage
 
+# Pairs of one name in a task before they are split.
+ROWS_PER_SPLIT = 1_000_000
 FEATURES = ("ngram", "jaro_winkler", "phonetic")
 
 
@@ -40,27 +44,47 @@ def _as_side(profiles: DataFrame, side: int) -> DataFrame:
     return profiles.withColumnsRenamed(renamed).withColumnRenamed("name", f"string{side}")
 
 
+def _both(part: str, property_: str) -> tuple[Column, Column]:
+    return F.col(f"_{part}{property_}1"), F.col(f"_{part}{property_}2")
+
+
+def _compared_texts(phonetic: bool) -> list[tuple[Column, Column]]:
+    """The pairs of texts of which the features need the Jaro-Winkler similarity."""
+    texts = [_both("first", ""), _both("last", "")]
+    if phonetic:
+        texts += [compared_codes(*_both("first", "_code")), compared_codes(*_both("last", "_code"))]
+    return texts
+
+
 def feature_columns(phonetic: bool = True) -> dict[str, Column]:
-    """The three full-name similarities of a pair with profile columns of both sides."""
+    """The three full-name similarities of a pair with profile columns and scores of both sides."""
 
-    def both(part: str, property_: str) -> tuple[Column, Column]:
-        return F.col(f"_{part}{property_}1"), F.col(f"_{part}{property_}2")
+    def score(i: int) -> Column:
+        return F.get("_scores", F.lit(i))
 
     features = {
-        "ngram": full_name(dice(*both("first", "_grams")), dice(*both("last", "_grams"))),
-        "jaro_winkler": full_name(jaro_winkler(*both("first", "")), jaro_winkler(*both("last", ""))),
+        "ngram": full_name(dice(*_both("first", "_grams")), dice(*_both("last", "_grams"))),
+        "jaro_winkler": full_name(score(0), score(1)),
     }
     if phonetic:
         features["phonetic"] = full_name(
-            phonetic_similarity(*both("first", "_code")), phonetic_similarity(*both("last", "_code"))
+            phonetic_similarity(*_both("first", "_code"), score(2)),
+            phonetic_similarity(*_both("last", "_code"), score(3)),
         )
     return features
 
 
 def pair_features(pairs: DataFrame, phonetic: bool = True) -> DataFrame:
-    """``pairs`` of ``string1`` and ``string2`` with their full-name similarities added."""
+    """``pairs`` of ``string1`` and ``string2`` with their full-name similarities added.
+
+    All texts of a pair are scored in one pass. The profiles are one row per name; both
+    joins split a name that stands in very many pairs.
+    """
     both = pairs.select(F.explode(F.array("string1", "string2")).alias("name"))
-    profiles = name_profiles(both, phonetic)
-    joined = pairs.join(_as_side(profiles, 1), "string1").join(_as_side(profiles, 2), "string2")
+    profiles = cut_lineage(name_profiles(both, phonetic))
+    joined = salted_join(pairs, _as_side(profiles, 1), ["string1"], ROWS_PER_SPLIT)
+    joined = salted_join(joined, _as_side(profiles, 2), ["string2"], ROWS_PER_SPLIT)
+    lefts, rights = zip(*_compared_texts(phonetic), strict=True)
+    scored = joined.withColumn("_scores", jaro_winkler_all(*lefts, *rights))
     features = [c.alias(n) for n, c in feature_columns(phonetic).items()]
-    return joined.select(*[F.col(c) for c in pairs.columns], *features)
+    return scored.select(*[F.col(c) for c in pairs.columns], *features)

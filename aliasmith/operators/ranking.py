@@ -4,43 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aliasmith.session import cut_lineage
+from aliasmith.session import cut_lineage, stored
 
-MAX_BUCKETS = 10_000
+ROWS_PER_RANGE = 1_000_000
 
 
-def running_totals(df: DataFrame, order: str, totals: Sequence[str], rows_per_bucket: int = 1_000_000) -> DataFrame:
+def running_totals(
+    df: DataFrame, order: str, totals: Sequence[str], rows_per_range: int = ROWS_PER_RANGE
+) -> DataFrame:
     """Adds ``<total>_upto``: each total summed over all rows up to this one by ``order``.
 
-    ``df`` has one row per value of ``order``. Values are cut into buckets of about
-    equal size at approximate quantiles; each bucket is summed on its own, and the sums of
-    the buckets before it, at most ``MAX_BUCKETS`` rows, are broadcast and added.
+    ``df`` has one row per value of ``order``. Rows are dealt into ranges of the order, as
+    many as their number asks for; each range is summed on its own, and the sums of the ranges
+    before it, one row per range, are added. Infinite values and NaN, the greatest, are
+    ordinary values here.
     """
-    n_buckets = min(max(df.count() // rows_per_bucket, 8), MAX_BUCKETS)
-    inner = df.approxQuantile(order, [i / n_buckets for i in range(1, n_buckets)], 1 / (2 * n_buckets))
-    edges = [float("-inf"), *sorted(set(inner)), float("inf")]
-    bucketed = Bucketizer(splits=edges, inputCol=order, outputCol="_bucket").transform(df)
-    per_bucket = bucketed.groupBy("_bucket").agg(*[F.sum(t).alias(t) for t in totals])
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = per_bucket.select(
-        "_bucket", *[F.coalesce(F.sum(t).over(earlier), F.lit(0)).alias(f"_{t}_before") for t in totals]
+    n_ranges = max(df.count() // rows_per_range, 8)
+    dealt = stored(df.repartitionByRange(n_ranges, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    per_range = dealt.groupBy("_range").agg(*[F.sum(t).alias(t) for t in totals])
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = per_range.select(
+        "_range", *[F.coalesce(F.sum(t).over(earlier), F.lit(0)).alias(f"_{t}_before") for t in totals]
     )
-    inside = Window.partitionBy("_bucket").orderBy(order)
-    return bucketed.join(F.broadcast(before), "_bucket").select(
+    inside = Window.partitionBy("_range").orderBy(order)
+    return dealt.join(before, "_range").select(
         *df.columns, *[(F.sum(t).over(inside) + F.col(f"_{t}_before")).alias(f"{t}_upto") for t in totals]
     )
 
 
 def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> list[float]:
-    """The smallest values that at least the given shares of rows do not exceed."""
+    """The smallest values that at least the given shares of rows do not exceed; null and NaN are no values."""
+    value = F.col(column).cast("double")
     values = cut_lineage(
-        df.where(F.col(column).isNotNull())
-        .groupBy(F.col(column).cast("double").alias("value"))
-        .agg(F.count("*").alias("n"))
+        df.where(value.isNotNull() & ~F.isnan(value)).groupBy(value.alias("value")).agg(F.count("*").alias("n"))
     )
     total = values.agg(F.sum("n")).first()[0] or 0
     if not total:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aliasmith.functions.hashing import HASH_BITS, HASH_RANGE, seeded_hash
@@ -19,8 +19,29 @@ def seeded_shuffle(df: DataFrame, keys: list[str], seed: int) -> DataFrame:
 
 
 def seeded_sample(df: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
-    """``n`` rows drawn by hash order; sorts only the rows it keeps."""
-    return df.orderBy(seeded_hash(keys, seed), *keys).limit(n)
+    """``n`` rows drawn by hash order; ranked in parts, so that a large sample needs no single task."""
+    order = [seeded_hash(keys, seed), *[F.col(k) for k in keys]]
+    return _first_rows(df, order, n)
+
+
+def _first_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of an order whose first column is a hash.
+
+    A histogram of hash prefixes finds the bucket in which the ``n``-th row lies; the buckets
+    before it are taken whole, and only the rows of that bucket are ranked.
+    """
+    drawn = cut_lineage(df.withColumn("_draw", order[0]))
+    bucket = F.shiftright("_draw", HASH_BITS - _BUCKET_BITS)
+    histogram = drawn.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.orderBy("_bucket"))
+    edge = histogram.withColumn("_upto", upto).where((F.col("_upto") >= n) & (F.col("_upto") - F.col("_n") < n)).first()
+    if edge is None:
+        return drawn.drop("_draw") if n > 0 else drawn.drop("_draw").limit(0)
+    left = n - (edge["_upto"] - edge["_n"])
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_draw", *order[1:]))
+    last = drawn.withColumn("_b", bucket).where(F.col("_b") == edge["_bucket"]).withColumn("_rank", rank)
+    whole = drawn.where(bucket < edge["_bucket"])
+    return whole.select(*df.columns).unionByName(last.where(F.col("_rank") <= left).select(*df.columns))
 
 
 def hash_split(df: DataFrame, keys: list[str], weights: Sequence[float], seed: int) -> DataFrame:
@@ -55,14 +76,15 @@ def union_labelled(true_pairs: DataFrame, false_pairs: DataFrame) -> DataFrame:
 def balance_classes(df: DataFrame, label: str, keys: list[str], seed: int) -> DataFrame:
     """All rows of the smallest class and equally many, drawn by hash, of every other.
 
-    Rows are unique by ``keys`` within a class. The draw is exact without ranking a
+    Rows without a label belong to no class and are left out. Rows are unique by ``keys``
+    within a class. The draw is exact without ranking a
     whole class in one task: a histogram of hash prefixes (2**16 buckets per class) finds
     the bucket in which each class reaches its quota, the buckets before it are kept
     whole, and only the rows of that one bucket are ranked.
     """
     prefix = F.shiftright(F.col("_draw"), HASH_BITS - _BUCKET_BITS)
     drawn = cut_lineage(
-        df.withColumn("_draw", seeded_hash(keys, seed, "balance")).withColumn("_bucket", prefix.cast("int"))
+        df.where(F.col(label).isNotNull()).withColumn("_draw", seeded_hash(keys, seed, "balance")).withColumn("_bucket", prefix.cast("int"))
     )
     histogram = drawn.groupBy(label, "_bucket").agg(F.count("*").alias("_n"))
     by_class = Window.partitionBy(label).orderBy("_bucket")

@@ -7,28 +7,30 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The table of heavy keys is broadcast, so it may never hold more keys than this.
-MAX_HEAVY_KEYS = 100_000
+from aliasmith.session import stored
+
+# A table of heavy keys up to this size is broadcast; a larger one is joined by shuffle.
+BROADCAST_KEYS = 100_000
+ROWS_PER_PART = 250_000
 
 
 def salted_join(
-    many: DataFrame, few: DataFrame, keys: Sequence[str], rows_per_split: int = 1_000_000
+    many: DataFrame, few: DataFrame, keys: Sequence[str], pairs_per_split: int = 4_000_000
 ) -> DataFrame:
-    """Inner equi join in which each key with many rows in ``many`` is split over several tasks.
+    """Inner equi join in which each key that forms many pairs is split over several tasks.
 
-    Heavy keys are counted first. Their rows in ``many`` are spread by hash over
-    as many splits as their count asks for, and the matching rows of ``few`` are
-    repeated once per split. At most ``rows / rows_per_split`` keys can be heavy, and
-    ``rows_per_split`` is raised where that bound would pass ``MAX_HEAVY_KEYS``.
+    What a key costs is the number of pairs it forms, so rows are counted on both sides.
+    The rows of a heavy key in ``many`` are spread by hash over as many splits as its
+    pairs ask for, and the matching rows of ``few`` are repeated once per split.
     """
     keys = list(keys)
-    sizes = many.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    total, largest = sizes.agg(F.sum("_rows"), F.max("_rows")).first()
-    if not total or largest <= rows_per_split:
-        return many.join(few, keys)
-    rows_per_split = max(rows_per_split, total // MAX_HEAVY_KEYS)
-    splits = F.ceil(F.col("_rows") / rows_per_split).cast("int")
-    heavy = F.broadcast(sizes.where(F.col("_rows") > rows_per_split).select(*keys, splits.alias("_splits")))
+    one = many.groupBy(*keys).agg(F.count("*").alias("_many"))
+    two = few.groupBy(*keys).agg(F.count("*").alias("_few"))
+    splits = F.ceil(F.col("_many") * F.col("_few") / pairs_per_split).cast("int")
+    heavy = one.join(two, keys).select(*keys, F.least(splits, F.col("_many").cast("int")).alias("_splits"))
+    heavy = stored(heavy.where(F.col("_splits") > 1), "heavy-keys")
+    if heavy.count() <= BROADCAST_KEYS:
+        heavy = F.broadcast(heavy)
     n_splits = F.coalesce(F.col("_splits"), F.lit(1))
     spread = many.join(heavy, keys, "left").withColumn(
         "_split", F.pmod(F.xxhash64(*many.columns), n_splits).cast("int")
@@ -39,10 +41,11 @@ def salted_join(
 
 
 def top_n_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
-    """The first ``n`` rows of each group; a group is first thinned in 64 hashed parts."""
-    part = F.pmod(F.xxhash64(*df.columns), F.lit(64))
+    """The first ``n`` rows of each group; a group is first thinned in parts of bounded size."""
+    rows = stored(df, "ranked")
+    parts = -(-rows.count() // ROWS_PER_PART) or 1
     thinned = (
-        df.withColumn("_part", part)
+        rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(parts)))
         .withColumn("_rank", F.row_number().over(Window.partitionBy(*groups, "_part").orderBy(*order)))
         .where(F.col("_rank") <= n)
         .drop("_part")

@@ -2,40 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aliasmith.session import stored
+
 # Short words that are always removed.
 SHORT_WORDS = ("di", "ou", "for", "de", "in", "der", "vyi", "gen", "capo", "i", "del")
 
-# Up to this many stopwords the list travels inside the expression and no row moves.
-INLINE_LIMIT = 1_000
 
-
-def remove_stopwords(df: DataFrame, key: str, column: str, stopwords: DataFrame) -> DataFrame:
+def remove_stopwords(df: DataFrame, column: str, stopwords: DataFrame | Iterable[str]) -> DataFrame:
     """``df`` with stopwords and short words removed from the space-separated ``column``.
 
-    ``key`` identifies a row and ``stopwords`` holds its words in the first column. A
-    list that fits the inline limit filters each text in place; a longer one is
-    removed by an anti join on exploded tokens.
+    A sequence of words travels inside the expression and no row moves. A table, with its words
+    in the first column, is anti joined with the tokens, whatever its size. Both give the same
+    texts: words are trimmed, empty ones are no stopwords, and every space that is not next to
+    a removed token stays.
     """
-    words = stopwords.select(F.trim(F.col(stopwords.columns[0])).alias("token"))
-    few = words.limit(INLINE_LIMIT + 1).collect()
-    if len(few) <= INLINE_LIMIT:
-        stop = sorted({row.token for row in few if row.token} | set(SHORT_WORDS))
-
-        def kept(token: Column) -> Column:
-            return ~token.isin(stop)
-
-        return df.withColumn(column, F.array_join(F.filter(F.split(F.col(column), " "), kept), " "))
-    spark = df.sparkSession
-    stop_table = words.union(spark.createDataFrame([(w,) for w in SHORT_WORDS], "token string")).distinct()
-    placed = df.select(key, F.posexplode(F.split(F.col(column), " ")).alias("pos", "token"))
+    if isinstance(stopwords, DataFrame):
+        return _removed_by_join(df, column, stopwords)
+    stop = sorted({w.strip(" ") for w in stopwords if w} - {""} | set(SHORT_WORDS))
+
+    def kept(token: Column) -> Column:
+        return ~token.isin(stop)
+
+    return df.withColumn(column, F.array_join(F.filter(F.split(F.col(column), " "), kept), " "))
+
+
+def _removed_by_join(df: DataFrame, column: str, stopwords: DataFrame) -> DataFrame:
+    """Rows get a number of their own, which is stored before they are taken apart."""
+    words = stopwords.select(F.trim(F.col(stopwords.columns[0])).alias("_token"))
+    short = df.sparkSession.createDataFrame([(w,) for w in SHORT_WORDS], "_token string")
+    stop = words.where(F.col("_token") != "").union(short).distinct()
+    rows = stored(df.withColumn("_row", F.monotonically_increasing_id()), "texts")
+    placed = rows.select("_row", F.posexplode(F.split(F.col(column), " ")).alias("_pos", "_token"))
     left = (
-        placed.join(stop_table, "token", "left_anti")
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("found"))
-        .select(key, F.array_join(F.col("found.token"), " ").alias("_kept"))
+        placed.join(stop, "_token", "left_anti")
+        .groupBy("_row")
+        .agg(F.sort_array(F.collect_list(F.struct("_pos", "_token"))).alias("_found"))
+        .select("_row", F.array_join(F.col("_found._token"), " ").alias("_kept"))
     )
-    kept_text = F.when(F.col(column).isNotNull(), F.coalesce(F.col("_kept"), F.lit("")))
-    return df.join(left, key, "left").withColumn(column, kept_text).drop("_kept")
+    text = F.when(F.col(column).isNotNull(), F.coalesce(F.col("_kept"), F.lit("")))
+    return rows.join(left, "_row", "left").withColumn(column, text).select(*df.columns)

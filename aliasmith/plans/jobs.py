@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -14,12 +15,12 @@ from aliasmith.operators.datasets import LABEL_COLUMN, assemble_features
 from aliasmith.operators.filters import drop_short_aliases, keep_categories, keep_natural_persons, valid_names
 from aliasmith.operators.matching import BLOCK, build_index, match_by_model, to_match_lines
 from aliasmith.operators.models import UnsupportedAlgorithm, build_model, estimator, load_model, ngram_floor, save_model
-from aliasmith.operators.pairs import false_pairs, training_features, true_pairs
+from aliasmith.operators.pairs import false_pairs, name_table, training_features, true_pairs
 from aliasmith.operators.profiles import FEATURES
 from aliasmith.operators.sampling import balance_classes, union_labelled
 from aliasmith.plans.config import JobConfigError, as_list, require
 from aliasmith.session import cut_lineage
-from aliasmith.sources.files import WATCH_LIST, read_delimited
+from aliasmith.sources.files import WATCH_LIST, read_delimited, write_delimited
 from aliasmith.sources.kafka import stream_messages, write_messages
 from aliasmith.streaming.match_stream import match_stream
 
@@ -32,7 +33,8 @@ FEATURE_TABLE = StructType(
 )
 IGNORED_COLUMNS = ("string1", "string2", "uid", "person_type", "citizenship")
 
-# Settings of the forest and the regression, with the estimator argument and type of each.
+# The setting names of existing configurations, of the forest and the regression,
+# with the estimator argument and type of each.
 _ALGORITHM_SETTINGS = {
     "RANDOMFOREST": {
         "randomforest.trees.number": ("trees", int),
@@ -64,8 +66,9 @@ def label_pairs(
     aliases: DataFrame, min_similarity: float, n_false: int, seed: int = 42, balance: bool = True
 ) -> DataFrame:
     """True and false pairs of one alias table with their labels, balanced if asked."""
-    matches = true_pairs(aliases, min_similarity).select("string1", "string2")
-    others = false_pairs(aliases, n_false, seed=seed).select("string1", "string2")
+    names = name_table(aliases)
+    matches = true_pairs(names, min_similarity).select("string1", "string2")
+    others = false_pairs(names, n_false, seed=seed).select("string1", "string2")
     labelled = union_labelled(matches, others)
     return balance_classes(labelled, LABEL_COLUMN, ["string1", "string2"], seed) if balance else labelled
 
@@ -76,9 +79,42 @@ def labelled_features(watch_list: DataFrame, min_similarity: float, n_false: int
     return training_features(label_pairs(aliases, min_similarity, n_false, seed))
 
 
+def feature_file(watch_list: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The nine columns a training file has, from scored pairs ``string1, string2, label`` and features.
+
+    The second name of a pair brings the entity: of several that hold it, the lowest.
+    """
+    aliases = valid_names(explode_aliases(watch_list))
+    held = aliases.groupBy(F.col("name").alias("string2")).agg(F.min(F.struct("uid", "person_type", BLOCK)).alias("held"))
+    return pairs.join(held, "string2", "left").select("string1", "string2", "held.*", *FEATURES, LABEL_COLUMN)
+
+
+def prepare_job(spark: SparkSession, conf: Mapping[str, object]) -> DataFrame:
+    """From a raw watch-list file to the feature file that ``train_job`` reads; returns its rows."""
+    source, target = require(conf, "dataset.aliases.file", "dataset.local.classpath")
+    least = float(conf.get("pairs.similarity.min", 0.3))
+    n_false = int(conf.get("pairs.false.number", 3000))
+    raw = read_delimited(spark, str(source), WATCH_LIST)
+    prepared = cut_lineage(prepare_watch_list(raw, as_list(conf.get("dataset.citizenships")) or None))
+    # Only natural persons are left.
+    persons = prepared.withColumn("person_type", F.lit(None).cast("string"))
+    rows = cut_lineage(feature_file(persons, labelled_features(persons, least, n_false)))
+    write_delimited(rows, str(target), ";")
+    return rows
+
+
+def trained_features(conf: Mapping[str, object]) -> tuple[str, ...]:
+    """The features a model with these settings is trained on, in the order of the feature file."""
+    ignored = set(as_list(conf.get("dataset.columns.ignored")))
+    return tuple(f for f in FEATURES if f not in ignored)
+
+
 def train(features: DataFrame, conf: Mapping[str, object]) -> PipelineModel:
     """Train the configured algorithm on a feature table."""
     (algorithm,) = require(conf, "matching.ml.algorithm")
+    classes = conf.get("randomforest.classes.number")
+    if classes not in (None, "") and int(classes) != 2:
+        raise JobConfigError(f"names match or do not match: two classes, not {classes}")
     chosen = _ALGORITHM_SETTINGS.get(str(algorithm).upper(), {})
     settings = {arg: kind(conf[key]) for key, (arg, kind) in chosen.items() if key in conf}
     try:
@@ -128,5 +164,10 @@ def match_stream_job(
 
     model = load_model(str(model_path))
     index = build_index(explode_aliases(read_delimited(spark, str(aliases_path), WATCH_LIST)))
-    floor = ngram_floor(model, FEATURES)
-    return match_stream(messages, lambda asked: match_by_model(asked, index, model, floor), sink, str(checkpoint))
+    features = trained_features(conf)
+    floor = ngram_floor(model, features)
+
+    def matched(asked: DataFrame) -> DataFrame:
+        return match_by_model(asked, index, model, floor, features)
+
+    return match_stream(messages, matched, sink, str(checkpoint))

@@ -7,7 +7,6 @@ from aliasmith.plans.queries import FALSE_PAIRS, SAMPLE_SIZE, SEED, STOPWORDS, T
 from aliasmith.plans.tables import LONG_FORM, LOW_QUALITY, PAGE_LANGUAGE
 
 MENTION = r"[a-z]+, ?[a-z]+|\| [a-z]+"
-ANCHORS = 10 * (FALSE_PAIRS // 3)
 
 
 def clean(x: str) -> str:
@@ -32,7 +31,7 @@ def dice(a: str, b: str) -> str:
 
 
 def draw(key: str, seed: object = SEED) -> str:
-    return f"('0x' || substr(md5({key} || '|{seed}'), 1, 8))::BIGINT"
+    return f"('0x' || substr(md5({key} || '|{seed}'), 1, 15))::BIGINT"
 
 
 def last(x: str) -> str:
@@ -102,29 +101,30 @@ true_pairs AS (
   JOIN gram ga ON ga.name = a.name JOIN gram gb ON gb.name = b.name
   WHERE {dice('ga.g', 'gb.g')} >= {TRUE_PAIR_SIMILARITY}e0)"""
 
+# Four rounds and all names as anchors: a band holds the pairs of its earliest turns, so
+# more turns than the operator makes change nothing.
 FALSE_PAIRS_SQL = f"""
 owned AS (SELECT name, min(uid) AS low, max(uid) AS high FROM held GROUP BY name),
 placed AS (
   {' UNION ALL '.join(
       f"SELECT name, low, high, {r} AS round, {draw('name', SEED + r)} "
-      "% greatest((SELECT count(*) FROM owned) // 2, 1) AS slot FROM owned" for r in range(4))}),
+      f"% greatest((SELECT count(*) FROM owned) >> {r + 1}, 1) AS slot FROM owned" for r in range(4))}),
 drawn AS (
-  SELECT DISTINCT a.name AS string1, b.name AS string2
+  SELECT a.name AS string1, b.name AS string2, min(a.round) AS turn
   FROM placed a JOIN placed b ON a.round = b.round AND a.slot = b.slot AND a.name < b.name
-  WHERE NOT (a.low = a.high AND b.low = b.high AND a.low = b.low)),
+  WHERE NOT (a.low = a.high AND b.low = b.high AND a.low = b.low) GROUP BY 1, 2),
 scored AS (
-  SELECT string1, string2, {dice('ga.g', 'gb.g')} AS similarity
+  SELECT string1, string2, {dice('ga.g', 'gb.g')} AS similarity, turn::BIGINT AS turn
   FROM drawn JOIN gram ga ON ga.name = string1 JOIN gram gb ON gb.name = string2
   WHERE {dice('ga.g', 'gb.g')} < 0.7e0),
-anchors AS (SELECT name FROM owned ORDER BY {draw('name')}, name LIMIT {ANCHORS}),
 single AS (SELECT name, len(g) AS n, unnest(g) AS gram FROM gram),
 shared AS (
-  SELECT a.name AS name1, b.name AS name2, 2e0 * count(*) / (any_value(a.n) + any_value(b.n)) AS similarity
-  FROM single a JOIN anchors USING (name) JOIN single b ON a.gram = b.gram
+  SELECT a.name AS string1, b.name AS string2, 2e0 * count(*) / (any_value(a.n) + any_value(b.n)) AS similarity
+  FROM single a JOIN single b ON a.gram = b.gram AND a.name <= b.name AND a.n <= b.n * 1.9 AND b.n <= a.n * 1.9
   GROUP BY 1, 2 HAVING 2e0 * count(*) / (any_value(a.n) + any_value(b.n)) >= 0.7e0),
 similar_pairs AS (
-  SELECT DISTINCT least(name1, name2) AS string1, greatest(name1, name2) AS string2, similarity
-  FROM shared JOIN owned a ON a.name = name1 JOIN owned b ON b.name = name2
+  SELECT string1, string2, similarity, least({draw('string1')}, {draw('string2')}) AS turn
+  FROM shared JOIN owned a ON a.name = string1 JOIN owned b ON b.name = string2
   WHERE NOT (a.low = a.high AND b.low = b.high AND a.low = b.low)),
 banded AS (
   SELECT *, CASE WHEN similarity < 0.3e0 THEN 1 WHEN similarity < 0.7e0 THEN 2 ELSE 3 END AS band
@@ -132,7 +132,7 @@ banded AS (
 false_pairs AS (
   SELECT string1, string2, similarity, band FROM banded
   QUALIFY row_number() OVER (PARTITION BY band
-    ORDER BY {draw("string1 || '|' || string2", f'{SEED}pair')}, string1, string2) <= {FALSE_PAIRS // 3})"""
+    ORDER BY turn, {draw("string1 || '|' || string2", f'{SEED}pair')}, string1, string2) <= {FALSE_PAIRS // 3})"""
 
 LABELLED = f"""{HELD},{TRUE_PAIRS},{FALSE_PAIRS_SQL},
 labelled AS (
@@ -299,12 +299,26 @@ def all_oracles() -> dict[str, str]:
             SELECT doc_id, array_to_string(
               list_filter(string_split(text, ' '), lambda t: NOT list_contains(w, t)), ' ') AS text
             FROM cleaned, words""",
+        "remove_stopword_table": f"""WITH
+            words AS (
+              SELECT DISTINCT token FROM (
+                SELECT unnest(string_split(lower(replace(text, ',', ' ')), ' ')) AS token FROM benchmark) WHERE token <> ''
+              UNION SELECT unnest({list(SHORT_WORDS)})),
+            tokens AS (
+              SELECT conv_id, turn, i, t[i] AS token FROM (
+                SELECT conv_id, turn, string_split(text, ' ') AS t, unnest(range(1, len(string_split(text, ' ')) + 1)) AS i
+                FROM conversations)),
+            kept AS (
+              SELECT conv_id, turn, string_agg(token, ' ' ORDER BY i) AS text FROM tokens
+              WHERE token NOT IN (SELECT token FROM words) GROUP BY conv_id, turn)
+            SELECT c.conv_id, c.turn, CASE WHEN c.text IS NOT NULL THEN coalesce(k.text, '') END AS text
+            FROM conversations c LEFT JOIN kept k ON k.conv_id = c.conv_id AND k.turn = c.turn""",
         "seeded_shuffle": f"WITH {PAIRS} SELECT *, {draw(_PAIR_KEY)} AS shuffle_key FROM pairs",
         "seeded_sample": f"""
             SELECT CAST(doc_id AS VARCHAR) AS uid, lang AS citizenship FROM documents
             ORDER BY {draw('CAST(doc_id AS VARCHAR)')}, CAST(doc_id AS VARCHAR) LIMIT {SAMPLE_SIZE}""",
         "hash_split": f"""WITH {PAIRS}
-            SELECT *, CASE WHEN {draw(_PAIR_KEY, f'{SEED}split')} < floor(0.7e0 * 4294967296) THEN 0 ELSE 1
+            SELECT *, CASE WHEN {draw(_PAIR_KEY, f'{SEED}split')} < floor(0.7e0 * 1152921504606846976)::BIGINT THEN 0 ELSE 1
             END::BIGINT AS split FROM pairs""",
         "hash_folds": f"WITH {PAIRS} SELECT *, {draw(_PAIR_KEY, f'{SEED}fold')} % 5 AS fold FROM pairs",
         # Scalar functions

@@ -36,6 +36,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 SEED = 42
 TRUE_PAIR_SIMILARITY = 0.5
 MODEL_PAIR_SIMILARITY = 0.7
+MATCH_REGULARIZATION = 0.1
 ACCEPT_PROBABILITY = 0.9
 FALSE_PAIRS = 600
 SAMPLE_SIZE = 100
@@ -228,8 +229,17 @@ def category_counts(spark, sf_dir):
 def remove_stopwords(spark, sf_dir):
     documents = tables.text_table(spark, sf_dir, "documents").select("doc_id", "text")
     cleaned = documents.select("doc_id", text.clean_text(F.col("text")).alias("text"))
-    stop = aggregates.most_frequent_tokens(cleaned, "text", STOPWORDS).select("token")
-    return stopwords.remove_stopwords(cleaned, "doc_id", "text", stop)
+    # As many words as asked for, so they may come to the driver.
+    stop = [row.token for row in aggregates.most_frequent_tokens(cleaned, "text", STOPWORDS).collect()]
+    return stopwords.remove_stopwords(cleaned, "text", stop)
+
+
+@query
+def remove_stopword_table(spark, sf_dir):
+    """All tokens of the benchmark removed from the conversations, as a table of any size."""
+    tokens = aggregates.token_frequency(tables.table(spark, sf_dir, "benchmark").select("text"), "text").select("token")
+    turns = tables.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return stopwords.remove_stopwords(turns, "text", tokens)
 
 
 @query
@@ -516,7 +526,7 @@ def train_svm_gradient_descent(spark, sf_dir):
     """Weights and intercept of the linear SVM with L1 regularization."""
     model = models.svm_by_gradient_descent(_feature_vectors(spark, sf_dir))
     names = [*FEATURES, "intercept"]
-    values = [*model.weights.toArray().tolist(), model.intercept]
+    values = [*model.weights.tolist(), model.intercept]
     return spark.createDataFrame(list(zip(names, map(float, values))), "term string, weight double")
 
 
@@ -553,10 +563,20 @@ def feature_ablation(spark, sf_dir):
 
 @query
 def match_batch(spark, sf_dir):
-    """Names of pages matched by a regression trained on the watch list's own pairs."""
-    stage = models.logistic_regression(threshold=ACCEPT_PROBABILITY)
-    model = models.build_model(_feature_vectors(spark, sf_dir), [stage])
-    index = build_index(tables.watch_names(spark, sf_dir))
+    """Names of pages matched by a regression trained on the watch list's own pairs.
+
+    It tells similar names of one entity from names of others that are not similar, so it
+    can be sure; the least n-gram similarity it accepts bounds the search.
+    """
+    names = cut_lineage(tables.watch_names(spark, sf_dir))
+    prepared = pairs.name_table(names)
+    alike = pairs.true_pairs(prepared, MODEL_PAIR_SIMILARITY).select("string1", "string2")
+    unlike = pairs.false_pairs(prepared, FALSE_PAIRS, seed=SEED).where("band < 3").select("string1", "string2")
+    labelled = sampling.balance_classes(sampling.union_labelled(alike, unlike), "label", PAIR_KEY, SEED)
+    vectors = datasets.assemble_features(pairs.training_features(labelled), "label", PAIR_KEY)
+    stage = models.logistic_regression(regularization=MATCH_REGULARIZATION, threshold=ACCEPT_PROBABILITY)
+    model = models.build_model(cut_lineage(vectors), [stage])
+    index = build_index(names)
     floor = models.ngram_floor(model, FEATURES)
     return match_by_model(tables.incoming_names(spark, sf_dir), index, model, floor)
 

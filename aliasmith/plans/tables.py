@@ -14,6 +14,7 @@ from aliasmith.functions.text import LIST_SEPARATOR, clean_text, natural_order
 from aliasmith.operators.aliases import explode_aliases
 from aliasmith.operators.filters import valid_names
 from aliasmith.operators.matching import BLOCK
+from aliasmith.session import TEXT_PARTITIONS
 
 # How a name or a short alias is written in text (from the start of a
 # word, each word as a whole), what makes a name a low-quality alias, the length of a
@@ -29,10 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table with long texts, spread over all cores where its file has fewer splits."""
+    """A table with long texts, dealt over as many partitions as the setting asks for, if it is there.
+
+    Without the setting the splits of the files decide, which is right for many files.
+    """
+    partitions = spark.conf.get(TEXT_PARTITIONS, None)
     df = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df.repartition(int(partitions)) if partitions else df
 
 
 def mentions(text: Column) -> Column:

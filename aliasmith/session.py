@@ -11,6 +11,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+# For tables with long texts in few files, as in tests and the benchmark.
+TEXT_PARTITIONS = "spark.aliasmith.textPartitions"
+
+
 def local_session(app: str = "aliasmith", cpus: str = "8", **conf: str) -> SparkSession:
     """A local session for tests and the benchmark; clusters bring their own."""
     builder = (
@@ -20,11 +24,11 @@ def local_session(app: str = "aliasmith", cpus: str = "8", **conf: str) -> Spark
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config(TEXT_PARTITIONS, cpus)
         .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in conf.items():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -74,13 +74,36 @@ def read_raw_fields(spark: SparkSession, path: str, encoding: str = "ISO-8859-1"
     return split_alias_lines(lines).withColumnRenamed("aliases", "fields")
 
 
+def _absolute(spark: SparkSession, folder: str) -> str:
+    """The folder with its file system, as file paths are reported."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def _one_slash(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
+def read_stopwords(spark: SparkSession, path: str) -> DataFrame:
+    """``word`` from a file with one word per line; blank lines are skipped."""
+    return spark.read.text(path).select(F.trim("value").alias("word")).where(F.col("word") != "")
+
+
+def write_raw_fields(fields: DataFrame, path: str, column: str = "fields") -> None:
+    """Arrays of fields as ``|``-separated lines."""
+    fields.select(F.array_join(column, TABLE_SEPARATOR).alias("value")).write.mode("overwrite").text(path)
+
+
 def read_pair_files(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of pair files, labelled by the word ``true`` or ``false`` in the file name.
 
-    A folder stands for a file of that name: Spark writes a table as a folder of parts.
+    Only the path below ``folder`` counts; a file with neither word is skipped. A folder
+    stands for a file of that name: Spark writes a table as a folder of parts.
     """
     lines = spark.read.option("recursiveFileLookup", True).text(folder)
-    name = folder.rstrip("/").rsplit("/", 1)[-1]
-    below = F.substring_index("_metadata.file_path", f"/{name}/", -1)
+    # Paths in the metadata are encoded, and a plus sign in them is a plus sign.
+    path = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    root = _one_slash(F.lit(_absolute(spark, folder)))
+    below = F.substr(_one_slash(path), F.length(root) + 1)
     label = F.when(below.contains("true"), F.lit(1.0)).when(below.contains("false"), F.lit(0.0))
     return lines.select("value", label.alias("label")).where(F.col("label").isNotNull())

@@ -13,29 +13,50 @@ from pyspark.sql.types import StructType
 from aliasmith.operators.projections import flatten_struct
 
 
+# Client settings that the connector sets itself and refuses.
+_REFUSED = (
+    "auto.offset.reset",
+    "enable.auto.commit",
+    "key.deserializer",
+    "value.deserializer",
+    "key.serializer",
+    "value.serializer",
+    "interceptor.classes",
+)
+
+
 def connector_options(params: Mapping[str, object]) -> dict[str, str]:
-    """Client settings with the ``kafka.`` prefix the connector asks for."""
-    return {k if k.startswith("kafka.") else f"kafka.{k}": str(v) for k, v in params.items()}
+    """Client settings with the ``kafka.`` prefix the connector asks for, without those it refuses."""
+    plain = {k.removeprefix("kafka."): str(v) for k, v in params.items()}
+    return {f"kafka.{k}": v for k, v in plain.items() if k not in _REFUSED}
+
+
+def starting_offsets(params: Mapping[str, object]) -> dict[str, str]:
+    """Where a stream starts: what ``auto.offset.reset`` asks for is an option of the source."""
+    reset = params.get("auto.offset.reset", params.get("kafka.auto.offset.reset"))
+    return {"startingOffsets": str(reset)} if reset in ("earliest", "latest") else {}
 
 
 def offset_ranges(topic: str, until: Iterable[tuple[int, int]]) -> dict[str, str]:
-    """Batch options for ``(partition, until)`` ranges that start at offset 0."""
+    """Batch options for ``(partition, until)`` ranges that start at offset 0; only these partitions are read."""
     ends = {str(partition): end for partition, end in until}
     starts = dict.fromkeys(ends, 0)
-    return {"startingOffsets": json.dumps({topic: starts}), "endingOffsets": json.dumps({topic: ends})}
+    assigned = json.dumps({topic: sorted(map(int, ends))})
+    return {"assign": assigned, "startingOffsets": json.dumps({topic: starts}), "endingOffsets": json.dumps({topic: ends})}
 
 
 def read_messages(
     spark: SparkSession, topic: str, until: Iterable[tuple[int, int]], params: Mapping[str, object]
 ) -> DataFrame:
     reader = spark.read.format("kafka").options(**connector_options(params), **offset_ranges(topic, until))
-    return message_text(reader.option("subscribe", topic).load())
+    return message_text(reader.load())
 
 
 def stream_messages(
     spark: SparkSession, topic: str, params: Mapping[str, object], max_per_batch: int | None = None
 ) -> DataFrame:
-    reader = spark.readStream.format("kafka").options(**connector_options(params)).option("subscribe", topic)
+    reader = spark.readStream.format("kafka").options(**connector_options(params), **starting_offsets(params))
+    reader = reader.option("subscribe", topic)
     if max_per_batch is not None:
         reader = reader.option("maxOffsetsPerTrigger", max_per_batch)
     return message_text(reader.load())

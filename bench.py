@@ -7,9 +7,14 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 from pathlib import Path
 
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
+
+from aliasmith.plans import tables
 from aliasmith.plans.queries import all_queries
 from aliasmith.session import local_session, ship_package
 
@@ -35,6 +40,23 @@ HEADLINES = (
 )
 
 
+# Queries whose work is a number of candidate pairs: where to count them.
+PAIRS = {
+    "ngram_similarity_pairs": "neighbours",
+    "jaro_winkler_pairs": "neighbours",
+    "levenshtein_pairs": "neighbours",
+    "pair_features_all": "neighbours",
+}
+
+
+def counted(result: DataFrame) -> int:
+    """Runs a query to its end and counts its rows on the way."""
+    seen = Observation()
+    observed = result.observe(seen, F.count(F.lit(1)).alias("rows"))
+    observed.write.format("noop").mode("overwrite").save()
+    return seen.get["rows"]
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -43,14 +65,14 @@ def main() -> None:
     ship_package(spark)
     queries = all_queries()
     spark.range(1000).selectExpr("sum(id)").collect()
-    seconds, rows = {}, {}
+    neighbours = tables.neighbour_pairs(spark, sf_dir).count()
+    seconds, rows, rates = {}, {}, {}
     for name in wanted.split(",") if wanted else HEADLINES:
         started = time.perf_counter()
-        result = queries[name](spark, sf_dir)
-        result.write.format("noop").mode("overwrite").save()
+        rows[name] = counted(queries[name](spark, sf_dir))
         seconds[name] = round(time.perf_counter() - started, 3)
-    for table in ("documents", "pages", "lineitem"):
-        rows[table] = spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
+        if name in PAIRS:
+            rates[name] = round(neighbours / seconds[name])
     line = {
         "metric": "total wall time of the headline queries",
         "value": round(sum(seconds.values()), 3),
@@ -58,10 +80,18 @@ def main() -> None:
         "queries": seconds,
         "sf": Path(sf_dir).name.removeprefix("sf"),
         "cores": cpus,
-        "input_rows": rows,
+        "result_rows": rows,
+        "candidate_pairs": {"neighbours": neighbours},
+        "pairs_per_second": rates,
+        "input_rows": {
+            table: spark.read.parquet(f"{sf_dir}/{table}.parquet").count() for table in ("documents", "pages", "lineitem")
+        },
     }
     print(json.dumps(line), flush=True)
     spark.stop()
+    empty = [name for name, n in rows.items() if not n]
+    if empty:
+        sys.exit(f"no rows: {', '.join(empty)}")
 
 
 if __name__ == "__main__":

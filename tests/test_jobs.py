@@ -8,7 +8,7 @@ from aliasmith.operators.profiles import FEATURES
 from aliasmith.plans import jobs
 from aliasmith.plans.config import JobConfigError, as_list, read_properties, require
 from aliasmith.sources import files
-from aliasmith.streaming.match_stream import block_stream, folder_sink, match_stream, parse_messages
+from aliasmith.streaming.match_stream import folder_sink, match_stream, parse_messages
 
 TRAIN = {
     "matching.ml.algorithm": "RandomForest",
@@ -31,17 +31,17 @@ def watch_list(spark):
 @pytest.fixture(scope="module")
 def trained(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("jobs")
-    features = jobs.labelled_features(watch_list(spark), 0.2, 60)
-    table = features.selectExpr("string1", "string2", "'' uid", "'' person_type", "'' citizenship", *FEATURES, "label")
-    files.write_delimited(table, str(folder / "features"), ";")
     files.write_delimited(watch_list(spark), str(folder / "aliases"))
     conf = {
         **TRAIN,
+        "pairs.similarity.min": "0.2",
+        "pairs.false.number": "60",
         "dataset.local.classpath": str(folder / "features"),
         "matching.model.destination": str(folder / "model"),
         "dataset.aliases.file": str(folder / "aliases"),
         "checkpoint.location": str(folder / "state"),
     }
+    jobs.prepare_job(spark, conf)
     jobs.train_job(spark, conf)
     return folder, conf
 
@@ -70,6 +70,49 @@ def test_configuration_is_checked(spark):
     assert read_properties("# c\na.b=1\n\nc = x=y\n") == {"a.b": "1", "c": "x=y"}
 
 
+def test_the_feature_file_has_the_columns_of_a_training_file(spark, trained):
+    folder, conf = trained
+    rows = files.read_delimited(spark, conf["dataset.local.classpath"], jobs.FEATURE_TABLE, separator=";").collect()
+    assert rows and {r.label for r in rows} == {"1.0", "0.0"}
+    known = {r.uid: r for r in watch_list(spark).collect()}
+    for r in rows:
+        held = known[r.uid]
+        assert r.citizenship == held.citizenship and r.string2 in [held.name, *held.aliases.split(";")]
+        assert 0.0 <= float(r.ngram) <= 1.0
+
+
+def test_ignored_features_are_left_out_when_matching(spark, trained, tmp_path):
+    folder, conf = trained
+    ignored = ",".join([*jobs.IGNORED_COLUMNS, "phonetic"])
+    conf = {**conf, "dataset.columns.ignored": ignored, "matching.model.destination": str(tmp_path / "model")}
+    assert jobs.trained_features(conf) == ("ngram", "jaro_winkler")
+    assert jobs.train_job(spark, conf).stages[-1].numFeatures == 2
+    stream, _ = messages(spark, tmp_path / "in")
+    target = str(tmp_path / "out")
+    conf["checkpoint.location"] = str(tmp_path / "state")
+    drain(jobs.match_stream_job(spark, conf, {}, messages=stream, sink=folder_sink(target)))
+    assert spark.read.parquet(target).count() > 0
+
+
+def test_jobs_run_from_a_file_of_settings(spark, trained, tmp_path, capsys):
+    from aliasmith.__main__ import main
+
+    _, conf = trained
+    conf = {**conf, "matching.model.destination": str(tmp_path / "model")}
+    (tmp_path / "settings").write_text("".join(f"{k}={v}\n" for k, v in conf.items()))
+    assert main(["train", str(tmp_path / "settings")]) == 0
+    load_model(str(tmp_path / "model"))
+    (tmp_path / "empty").write_text("")
+    assert main(["prepare", str(tmp_path / "empty")]) == 1 and "empty" in capsys.readouterr().err
+    assert main(["drop"]) == 2
+
+
+def test_more_than_two_classes_are_refused(spark, trained):
+    _, conf = trained
+    with pytest.raises(JobConfigError, match="two classes"):
+        jobs.train_job(spark, {**conf, "randomforest.classes.number": "3"})
+
+
 def test_unsupported_algorithm_is_a_configuration_error(spark, trained):
     _, conf = trained
     with pytest.raises(JobConfigError, match="not supported"):
@@ -112,16 +155,3 @@ def test_rule_stream_gives_the_batch_matches(spark, trained, tmp_path):
     expected = match_by_rule(parse_messages(batch), index, 0.8)
     found = spark.read.parquet(target).select(expected.columns).collect()
     assert found and sorted(found) == sorted(expected.collect())
-
-
-@pytest.mark.parametrize("splits", [1, 5])
-def test_block_stream_is_a_stateless_join(spark, tmp_path, splits):
-    aliases = explode_aliases(watch_list(spark))
-    stream, batch = messages(spark, tmp_path / "in")
-    target = str(tmp_path / "out")
-    writer = block_stream(stream, aliases, splits).writeStream.format("parquet").option("path", target)
-    drain(writer.option("checkpointLocation", str(tmp_path / "state")))
-    expected = block_stream(batch, aliases)
-    found = spark.read.parquet(target).select(expected.columns)
-    assert found.count() == expected.count() > 0
-    assert found.exceptAll(expected).count() == 0

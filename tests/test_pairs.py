@@ -7,6 +7,16 @@ import brute
 from aliasmith.operators import pairs
 
 
+def test_a_band_that_cannot_be_filled_gives_all_it_has(spark):
+    names = brute.names(30, seed=3)
+    df = spark.createDataFrame([(str(i), n) for i, n in enumerate(names)], "uid string, name string")
+    found = pairs.false_pairs(df, 3000).collect()
+    every = {tuple(sorted(p)) for p in combinations(set(names), 2)}
+    assert {(r.string1, r.string2) for r in found} == every
+    few = pairs.false_pairs(df, 30).collect()
+    assert {tuple(r) for r in few} <= {tuple(r) for r in found}
+
+
 @pytest.fixture(scope="module")
 def aliases(spark):
     names = brute.names(400)
@@ -70,7 +80,7 @@ def test_false_pairs_are_repeatable_and_report_shortfall(spark):
 
 def test_false_pairs_from_sampled_entities(spark, aliases):
     df = spark.createDataFrame(aliases, "uid string, name string")
-    found = pairs.false_pairs(df, 300, sample_size=3, rounds=8).collect()
+    found = pairs.false_pairs(df, 300, sample_size=3).collect()
     held = by_entity(aliases)
     used = {n for r in found for n in (r.string1, r.string2)}
     assert any(used <= held[a] | held[b] | held[c] for a, b, c in combinations(held, 3))

@@ -11,7 +11,7 @@ def test_running_totals_over_many_buckets(spark):
     draws = random.Random(2)
     values = sorted({draws.expovariate(1.0) for _ in range(500)})
     df = spark.createDataFrame([(v, i % 7) for i, v in enumerate(values)], "v double, n long").repartition(5)
-    found = {r.v: r.n_upto for r in ranking.running_totals(df, "v", ["n"], rows_per_bucket=20).collect()}
+    found = {r.v: r.n_upto for r in ranking.running_totals(df, "v", ["n"], rows_per_range=20).collect()}
     total, expected = 0, {}
     for i, v in enumerate(values):
         total += i % 7
@@ -58,6 +58,19 @@ def test_auc_scored_counts_ties_half(spark):
     assert evaluate.auc_scored(df).first().auc == pytest.approx(wins / (len(pos) * len(neg)))
 
 
+def test_awkward_numbers_have_defined_results(spark):
+    inf, nan = float("inf"), float("nan")
+    values = [nan, None, inf, -inf, 1.0, 2.0, 3.0, 4.0, inf]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    found = {r.v: r.b for r in datasets.discretize_exact(df, "v", "b", 2).collect()}
+    assert found == {-inf: 0.0, 1.0: 0.0, 2.0: 0.0, 3.0: 1.0, 4.0: 1.0, inf: 1.0}
+    rows = [(1.0, inf), (1.0, 5.0), (0.0, 4.0), (0.0, -inf), (1.0, None), (0.0, nan), (None, 9.0)]
+    scored = spark.createDataFrame(rows, "label double, score double")
+    pos, neg = [inf, 5.0, -inf], [4.0, -inf, -inf]
+    wins = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg)
+    assert evaluate.auc_scored(scored).first().auc == pytest.approx(wins / 9)
+
+
 def test_hard_label_metrics(spark):
     rows = [(1.0, 1.0)] * 3 + [(1.0, 0.0)] + [(0.0, 0.0)] * 4 + [(0.0, 1.0)] * 2
     df = spark.createDataFrame(rows, "label double, prediction double")

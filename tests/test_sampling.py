@@ -8,7 +8,7 @@ from aliasmith.operators import sampling, skew
 
 
 def draw(text, seed):
-    return int(hashlib.md5(f"{text}|{seed}".encode()).hexdigest()[:8], 16)
+    return int(hashlib.md5(f"{text}|{seed}".encode()).hexdigest()[:15], 16)
 
 
 @pytest.fixture(scope="module")
@@ -64,10 +64,32 @@ def test_salted_join_equals_plain_join_when_one_key_is_hot(spark):
     many = [("hot" if i % 3 else str(draws.randint(0, 30)), i) for i in range(3000)] + [(None, -1)]
     few = [("hot", "a"), ("hot", "b"), *[(str(i), "c") for i in range(40)], (None, "n")]
     left, right = spark.createDataFrame(many, "k string, i int"), spark.createDataFrame(few, "k string, v string")
-    salted = skew.salted_join(left, right, ["k"], rows_per_split=100)
+    salted = skew.salted_join(left, right, ["k"], pairs_per_split=100)
     assert sorted(map(tuple, salted.collect())) == sorted(map(tuple, left.join(right, "k").collect()))
 
 
+def test_salted_join_splits_by_the_pairs_a_key_forms(spark):
+    many = spark.range(2000).select(F.lit("hot").alias("k"), F.col("id").alias("i"))
+    few = spark.range(500).select(F.lit("hot").alias("k"), F.col("id").alias("v"))
+    salted = skew.salted_join(many, few, ["k"], pairs_per_split=100_000)
+    assert salted.count() == 1_000_000
+    per_task = salted.groupBy(F.spark_partition_id()).count().collect()
+    assert len(per_task) > 2 and max(r["count"] for r in per_task) < 700_000
+
+
+def test_balance_leaves_out_rows_without_a_label(spark):
+    rows = [(1.0, "a"), (1.0, "b"), (0.0, "c"), (0.0, "d"), (None, "e")]
+    found = sampling.balance_classes(spark.createDataFrame(rows, "label double, k string"), "label", ["k"], 1).collect()
+    assert sorted((r.label, r.k) for r in found) == [(0.0, "c"), (0.0, "d"), (1.0, "a"), (1.0, "b")]
+
+
+@pytest.mark.parametrize("n", [0, 1, 500, 999, 1000, 2000])
+def test_a_sample_of_any_size_is_the_first_by_hash(spark, n):
+    df = spark.range(1000).select(F.col("id").cast("string").alias("k")).repartition(4)
+    found = {r.k for r in sampling.seeded_sample(df, ["k"], n, 7).collect()}
+    assert found == set(sorted(map(str, range(1000)), key=lambda k: (draw(k, 7), k))[:n])
+
+
 def test_top_n_per_group(spark):
     rows = [(g, i * 37 % 1009) for g in ("a", "b") for i in range(1000)] + [("c", 1)]
     df = spark.createDataFrame(rows, "g string, v int")

@@ -120,6 +120,34 @@ CODES = {
     "danger": ("TNJR", "TNKR"),
     "catherine": ("K0RN", "KTRN"),
     "": ("", ""),
+    "though": ("0", "T"),
+    "through": ("0R", "TR"),
+    "thought": ("0T", "TT"),
+    "shaughnessy": ("XNS", "XNS"),
+    "schuchert": ("XKRT", "XKRT"),
+    "laugh": ("LF", "LF"),
+    "tough": ("TF", "TF"),
+    "hugh": ("H", "H"),
+    "bajador": ("PJTR", "PHTR"),
+    "cabrillo": ("KPRL", "KPR"),
+    "wicz": ("ATS", "FFX"),
+    "filipowicz": ("FLPT", "FLPF"),
+    "accident": ("AKST", "AKST"),
+    "bacchus": ("PKS", "PKS"),
+    "focaccia": ("FKX", "FKX"),
+    "edge": ("AJ", "AJ"),
+    "mcclellan": ("MKLL", "MKLL"),
+    "thomas": ("TMS", "TMS"),
+    "sugar": ("XKR", "SKR"),
+    "island": ("ALNT", "ALNT"),
+    "knight": ("NT", "NT"),
+    "rogier": ("RJ", "RJR"),
+    "breaux": ("PR", "PR"),
+    "zhao": ("J", "J"),
+    "wasserman": ("ASRM", "FSRM"),
+    "arnow": ("ARN", "ARNF"),
+    "uomo": ("AM", "AM"),
+    "womo": ("AM", "FM"),
 }
 
 

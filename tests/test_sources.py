@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import types as T
 
+from aliasmith.operators.aliases import clean_table
 from aliasmith.sources import files, kafka
 from aliasmith.session import scratch_folder
 
@@ -62,10 +63,49 @@ def test_message_options():
     options = kafka.connector_options({"bootstrap.servers": "a:1", "kafka.group.id": 7})
     assert options == {"kafka.bootstrap.servers": "a:1", "kafka.group.id": "7"}
     ranges = kafka.offset_ranges("t", [(0, 10), (3, 5)])
+    assert json.loads(ranges["assign"]) == {"t": [0, 3]} and "subscribe" not in ranges
     assert json.loads(ranges["startingOffsets"]) == {"t": {"0": 0, "3": 0}}
     assert json.loads(ranges["endingOffsets"]) == {"t": {"0": 10, "3": 5}}
 
 
+def test_client_settings_that_the_connector_refuses():
+    params = {
+        "bootstrap.servers": "a:1",
+        "key.deserializer": "x",
+        "value.deserializer": "x",
+        "group.id": "g",
+        "auto.offset.reset": "latest",
+        "enable.auto.commit": False,
+    }
+    assert kafka.connector_options(params) == {"kafka.bootstrap.servers": "a:1", "kafka.group.id": "g"}
+    assert kafka.starting_offsets(params) == {"startingOffsets": "latest"}
+    assert kafka.starting_offsets({}) == {}
+
+
+def test_pair_files_are_labelled_below_their_folder_only(spark, tmp_path):
+    folder = tmp_path / "true-run 1+2" / "my pairs"
+    folder.mkdir(parents=True)
+    (folder / "false-%41 a.txt").write_text("a : b\n")
+    (folder / "true.txt").write_text("c : d\n")
+    (folder / "notes.txt").write_text("e : f\n")
+    (folder / "my pairs").mkdir()
+    (folder / "my pairs" / "false.txt").write_text("g : h\n")
+    found = {tuple(r) for r in files.read_pair_files(spark, str(folder)).collect()}
+    assert found == {("a : b", 0.0), ("c : d", 1.0), ("g : h", 0.0)}
+
+
+def test_raw_fields_are_cleaned_and_written_back(spark, tmp_path):
+    (tmp_path / "raw").write_bytes("É-a|B|\nc|Ø d\n".encode("iso-8859-1"))
+    cleaned = clean_table(files.read_raw_fields(spark, str(tmp_path / "raw")))
+    files.write_raw_fields(cleaned, str(tmp_path / "out"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == ["c| d", "ea|b|"]
+
+
+def test_stopword_files(spark, tmp_path):
+    (tmp_path / "stop").write_text("the\n\n of \n")
+    assert sorted(r.word for r in files.read_stopwords(spark, str(tmp_path / "stop")).collect()) == ["of", "the"]
+
+
 def test_message_text(spark):
     df = spark.createDataFrame([(bytearray(b"a;b"),)], "value binary")
     assert kafka.message_text(df).first().value == "a;b"

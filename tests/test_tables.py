@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,13 +101,20 @@ def test_category_and_candidate_counts(spark):
     assert [tuple(r) for r in aggregates.candidate_counts(queries, table, "b").collect()] == [("x", 2, 3, 6)]
 
 
-def test_remove_stopwords_inline_and_joined(spark, monkeypatch):
-    df = spark.createDataFrame([(1, "the cat of in del mar"), (2, "of the"), (3, None)], "id int, t string")
-    stop = spark.createDataFrame([("the",), (" of ",)], "w string")
-    expected = {1: "cat mar", 2: "", 3: None}
-    assert {r.id: r.t for r in stopwords.remove_stopwords(df, "id", "t", stop).collect()} == expected
-    monkeypatch.setattr(stopwords, "INLINE_LIMIT", 1)
-    assert {r.id: r.t for r in stopwords.remove_stopwords(df, "id", "t", stop).collect()} == expected
+LONG_LIST = [f"stop{i}" for i in range(3000)]
+
+
+@pytest.mark.parametrize("more", [[], LONG_LIST])
+@pytest.mark.parametrize("as_table", [True, False])
+def test_remove_stopwords_gives_the_same_for_any_list(spark, more, as_table):
+    rows = [(1, "the cat of in del mar"), (2, "of the"), (3, None), (None, "the x y"), (7, "p the"), (7, "q of"), (8, "a  b"), (9, ""), (9, " the  z ")]
+    df = spark.createDataFrame(rows, "id int, t string").repartition(3)
+    words = ["the", " of ", "", *more]
+    stop = spark.createDataFrame([(w,) for w in [*words, None]], "w string") if as_table else words
+    found = stopwords.remove_stopwords(df, "t", stop)
+    assert found.columns == df.columns
+    expected = [(1, "cat mar"), (2, ""), (3, None), (None, "x y"), (7, "p"), (7, "q"), (8, "a  b"), (9, ""), (9, "  z ")]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, expected))
 
 
 def test_clean_table_leaves_other_types(spark):
