@@ -11,7 +11,9 @@ No step writes all pairs of a group:
 
 1. each class meets the first class of its bands, and is linked to one of those it resembles;
 2. bands that now hold several components are looked through in blocks of bounded
-   size, for pairs between different components only;
+   size, for pairs between different components only; of a block with more than a few
+   pairs for each of its rows the rows are written instead, and its texts are compared
+   where they are, which leaves the links that join what is connected;
 3. the links inside a component are counted in blocks, one sum per class and block.
 
 Tables of bands, pairs and texts are joined by shuffles; texts of classes without candidates are
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 
 from aliasmith.llm.batches import record_batch, slices, utf8
 from aliasmith.llm.graph import components
-from aliasmith.llm.shingles import SHINGLE, jaccard, mixed, multipliers, shingle_sets, signature
+from aliasmith.llm.shingles import jaccard, mixed, multipliers, shingle_sets, signature
 from aliasmith.session import stored
 
 THRESHOLD = 0.8
@@ -47,9 +49,13 @@ SKETCH_STEP = 16
 TOLERANCE = 1e-6
 SLOT_BITS = 22
 # A block of a band, in classes; a block of a component, in classes and in bytes of text.
-BAND_BLOCK = 1024
+BAND_BLOCK = 512
 LINK_BLOCK = 512
-LINK_BYTES = 1 << 23
+LINK_BYTES = 1 << 22
+# Surviving pairs for each row of a block of a band above which the block is verified where it is.
+DENSE = 2
+_SMALL_BLOCK = 64
+_TOGETHER = 1 << 15
 _ROWS = 512
 
 
@@ -250,37 +256,143 @@ def _bounds(*columns: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(change), len(columns[0]))
 
 
-def _band_pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+_CANDIDATES = "a bigint, b bigint, key bigint, one int, two int, own int, comp bigint"
+
+
+def _band_candidates(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components that survive pruning; of a block with many, its rows instead.
+
+    A row of a pair has ``a`` and ``b``; a row of a dense block has ``a`` and the block. Either
+    way a block gives a bounded number of rows for each of its own.
+    """
     key, one, two, own, node, comp = (table.column(c).to_numpy() for c in ("key", "one", "two", "own", "node", "comp"))
     held = sketches(table.column("sketch").combine_chunks())
-    types = {"a": pa.int64(), "b": pa.int64()}
-    starts = _bounds(key, one, two)
-    left, right, size = [], [], 0
-
-    def flush() -> pa.RecordBatch:
-        a, b = np.concatenate(left), np.concatenate(right)
-        kept = likely(held[a], held[b])
-        a, b = node[a[kept]], node[b[kept]]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        return record_batch({"a": pairs[:, 0], "b": pairs[:, 1]}, types)
-
-    for start, end in zip(starts[:-1], starts[1:], strict=True):
-        # Rows against those after them, so that memory stays linear in the block.
+    bounds = _bounds(key, one, two)
+    left, right = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    dense: list[tuple[int, int]] = []
+    waiting: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def differ(i: np.ndarray | int, j: np.ndarray, start: int) -> np.ndarray:
+        wanted = comp[j] != comp[i]
+        return wanted & (own[j] != own[i]) if one[start] != two[start] else wanted
+
+    def compare() -> None:
+        """Many small blocks at once."""
+        nonlocal left, right
+        i, j = np.concatenate([w[2] for w in waiting]), np.concatenate([w[3] for w in waiting])
+        kept = likely(held[i], held[j])
+        ends = np.cumsum([len(w[2]) for w in waiting])
+        for (start, end, mine, _), stop in zip(waiting, ends, strict=True):
+            mine = slice(stop - len(mine), stop)
+            if kept[mine].sum() > DENSE * (end - start):
+                dense.append((start, end))
+                kept[mine] = False
+        left, right = np.append(left, i[kept]), np.append(right, j[kept])
+        waiting.clear()
+
+    for start, end in zip(bounds[:-1], bounds[1:], strict=True):
+        if end - start <= _SMALL_BLOCK:
+            i, j = np.triu_indices(end - start, 1)
+            wanted = differ(i + start, j + start, start)
+            if wanted.any():
+                waiting.append((start, end, i[wanted] + start, j[wanted] + start))
+                size += int(wanted.sum())
+            if size > _TOGETHER:
+                compare()
+                size = 0
+            continue
+        found, n_found = [np.zeros((2, 0), np.int64)], 0
         for i in range(start, end - 1):
             others = np.arange(i + 1, end)
-            wanted = comp[others] != comp[i]
-            if one[start] != two[start]:
-                wanted &= own[others] != own[i]
-            others = others[wanted]
-            if len(others):
-                left.append(np.full(len(others), i))
-                right.append(others)
-                size += len(others)
-            if size > 1 << 16:
-                yield flush()
-                left, right, size = [], [], 0
-    if left:
-        yield flush()
+            others = others[differ(i, others, start)]
+            others = others[likely(np.broadcast_to(held[i], (len(others), SKETCH)), held[others])]
+            found.append(np.stack([np.full(len(others), i), others]))
+            n_found += len(others)
+            if n_found > DENSE * (end - start):
+                dense.append((start, end))
+                break
+        else:
+            pairs = np.concatenate(found, axis=1)
+            left, right = np.append(left, pairs[0]), np.append(right, pairs[1])
+    if waiting:
+        compare()
+    rows = np.concatenate([np.arange(*d) for d in dense]) if dense else np.zeros(0, np.int64)
+    a, b = node[left], node[right]
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    n_pairs, n_rows = len(pairs), len(rows)
+
+    def column(in_pairs: np.ndarray | None, in_rows: np.ndarray | None, kind: pa.DataType) -> pa.Array:
+        one_part = pa.nulls(n_pairs, kind) if in_pairs is None else pa.array(in_pairs, kind)
+        two_part = pa.nulls(n_rows, kind) if in_rows is None else pa.array(in_rows, kind)
+        return pa.concat_arrays([one_part, two_part])
+
+    long, short = pa.int64(), pa.int32()
+    yield pa.RecordBatch.from_arrays(
+        [
+            column(pairs[:, 0], node[rows], long),
+            column(pairs[:, 1], None, long),
+            column(None, key[rows], long),
+            column(None, one[rows], short),
+            column(None, two[rows], short),
+            column(None, own[rows], short),
+            column(None, comp[rows], long),
+        ],
+        ["a", "b", "key", "one", "two", "own", "comp"],
+    )
+
+
+class _Incidence:
+    """Which of some sets hold which shingle, a bit each, to count common shingles of many pairs."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(s) for s in sets])
+        shingles, place = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), self.sizes)
+        self.bits = np.zeros((len(sets), -(-len(shingles) // 64)), np.uint64)
+        np.bitwise_or.at(self.bits, (row, place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
+
+    def near(self, i: int, others: np.ndarray, threshold: float) -> np.ndarray:
+        """Which of ``others`` reach the threshold with set ``i``."""
+        found = np.zeros(len(others), bool)
+        for start in range(0, len(others), 128):
+            part = others[start : start + 128]
+            common = np.bitwise_count(self.bits[i] & self.bits[part]).sum(axis=1, dtype=np.int64)
+            union = self.sizes[i] + self.sizes[part] - common
+            found[start : start + 128] = common >= threshold * union - 1e-9
+        return found
+
+
+def _dense_links(threshold: float) -> Callable[[pa.Table], Iterator[pa.RecordBatch]]:
+    """Verified links of dense blocks: as many as join what is connected, at most one per row."""
+    types = {"a": pa.int64(), "b": pa.int64()}
+
+    def links(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, one, two, own, node, comp = (
+            table.column(c).to_numpy() for c in ("key", "one", "two", "own", "a", "comp")
+        )
+        held = sketches(table.column("sketch").combine_chunks())
+        texts = utf8(table.column("text").combine_chunks())
+        bounds = _bounds(key, one, two)
+        for start, end in zip(bounds[:-1], bounds[1:], strict=True):
+            sets = _Incidence(shingle_sets(texts[start:end]))
+            label = np.unique(comp[start:end], return_inverse=True)[1]
+            out: dict[str, list] = {"a": [], "b": []}
+            for i in range(end - start - 1):
+                others = np.arange(i + 1, end - start)
+                wanted = label[others] != label[i]
+                if one[start] != two[start]:
+                    wanted &= own[start + others] != own[start + i]
+                others = others[wanted]
+                others = others[likely(np.broadcast_to(held[start + i], (len(others), SKETCH)), held[start + others])]
+                others = others[sets.near(i, others, threshold)]
+                joined, first = np.unique(label[others], return_index=True)
+                out["a"] += [node[start + i]] * len(first)
+                out["b"] += node[start + others[first]].tolist()
+                label[np.isin(label, joined)] = label[i]
+            yield record_batch(out, types)
+
+    return links
 
 
 def _link_sums(threshold: float) -> Callable[[pa.Table], Iterator[pa.RecordBatch]]:
@@ -295,19 +407,14 @@ def _link_sums(threshold: float) -> Callable[[pa.Table], Iterator[pa.RecordBatch
         starts = _bounds(comp, one, two)
         for start, end in zip(starts[:-1], starts[1:], strict=True):
             found = np.zeros(end - start, np.int64)
-            sizes = np.array([len(s) for s in sets[start:end]])
-            shingles, place = np.unique(np.concatenate(sets[start:end]), return_inverse=True)
-            row = np.repeat(np.arange(end - start), sizes)
-            width = -(-len(shingles) // 64)
-            bits = np.zeros((end - start, width), np.uint64)
-            np.bitwise_or.at(bits, (row, place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
+            incidence = _Incidence(sets[start:end])
             for i in range(end - start - 1):
-                common = np.bitwise_count(bits[i] & bits[i + 1 :]).sum(axis=1, dtype=np.int64)
-                near = common >= threshold * (sizes[i] + sizes[i + 1 :] - common) - 1e-9
+                others = np.arange(i + 1, end - start)
                 if one[start] != two[start]:
-                    near &= own[start + i] != own[start + i + 1 : end]
-                found[i] += n_docs[start + i + 1 : end][near].sum()
-                found[i + 1 :][near] += n_docs[start + i]
+                    others = others[own[start + others] != own[start + i]]
+                others = others[incidence.near(i, others, threshold)]
+                found[i] += n_docs[start + others].sum()
+                found[others] += n_docs[start + i]
             out_node.append(node[start:end])
             out_links.append(found)
         yield record_batch({"node": np.concatenate(out_node), "n_links": np.concatenate(out_links)}, types)
@@ -315,6 +422,16 @@ def _link_sums(threshold: float) -> Callable[[pa.Table], Iterator[pa.RecordBatch
     return sums
 
 
+def _linked_in_blocks(rows: DataFrame, docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Verified links of the dense blocks, whose texts are compared where the block is."""
+    rows = rows.drop("b")
+    needed = nodes.join(rows.select(F.col("a").alias("node")).distinct(), "node").select("node", "text_key", "sketch")
+    texts = stored(texts_of(docs, needed), "texts")
+    texts = texts.join(needed.select("node", "sketch"), "node").withColumnRenamed("node", "a")
+    dealt = rows.join(texts, "a").repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "a")
+    return stored(dealt.mapInArrow(_grouped(["key", "one", "two"], _dense_links(threshold)), "a bigint, b bigint"), "verified")
+
+
 def linked(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The signed documents, the classes, and ``(node, comp)`` of the classes that have links."""
     rows = stored(signed(docs), "signed")
@@ -338,9 +455,10 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Da
     open_rows = labelled.join(several.where(F.col("low") != F.col("high")).select("key"), "key")
     open_rows = open_rows.join(nodes.select("node", "sketch"), "node")
     dealt = _in_blocks(open_rows, F.ceil(F.col("members") / BAND_BLOCK), "key")
-    between = dealt.mapInArrow(_grouped(["key", "one", "two"], _band_pairs), "a bigint, b bigint").distinct()
-    between = between.join(first.select("a", "b"), ["a", "b"], "left_anti")
-    more = verified(stored(between, "pairs"), docs, nodes, threshold)
+    found = stored(dealt.mapInArrow(_grouped(["key", "one", "two"], _band_candidates), _CANDIDATES), "candidates")
+    sparse = found.where(F.col("b").isNotNull()).select("a", "b").distinct()
+    more = verified(stored(sparse, "pairs"), docs, nodes, threshold)
+    more = more.union(_linked_in_blocks(found.where(F.col("b").isNull()), docs, nodes, threshold))
     if not more.isEmpty():
         known = components(links.union(more))
     return rows, nodes, known

@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -80,6 +81,15 @@ def test_a_large_group_is_counted_in_blocks(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_a_dense_group_in_which_only_some_resemble_each_other(spark):
+    rng = random.Random(6)
+    base, rows = prose(4, 150), []
+    for i in range(260):
+        rows.append((i, changed(base, *rng.sample(range(150), rng.randint(1, 16)))))
+    rows += [(500 + i, prose(600 + i, 40)) for i in range(10)]
+    check(spark, rows)
+
+
 def test_documents_that_share_a_passage_only(spark):
     passage = prose(900, 60)
     check(spark, [(i, prose(i, 50) + " " + passage + " " + prose(i + 300, 70)) for i in range(150)])
