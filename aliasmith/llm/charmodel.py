@@ -24,7 +24,7 @@ def _letters() -> np.ndarray:
 
 
 def has_letter(text: str) -> bool:
-    return any(map(str.isalpha, text)) if not text.isalpha() else True
+    return any(map(str.isalpha, text))
 
 
 def parts(texts: Sequence[str]) -> Iterator[tuple[list[int], list[str]]]:

@@ -44,10 +44,6 @@ def byte_words(text: bytes) -> list[bytes]:
     return _WORD.findall(text.lower())
 
 
-def _slot(word: bytes) -> int:
-    return crc32(word) & ((1 << SLOT_BITS) - 1)
-
-
 def text_key() -> list[Column]:
     """What tells documents apart: the id and 64 bits of the text."""
     return [F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_text")]
