@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 from aliasmith.functions.binding import bind, explode_if
 from aliasmith.functions.ngrams import GRAM_CODE_RANGE, char_grams, gram_code
 from aliasmith.functions.text import strip_special
+from aliasmith.operators.skew import salted_join
 
+# Candidates of one gram in a task before they are split.
+CANDIDATES_PER_SPLIT = 20_000_000
 # Slack for comparisons of sizes with fractions; the similarity itself is recomputed.
 EPSILON = 1e-9
 
@@ -101,7 +104,8 @@ def similar_texts(
     needed = least * (size1 + size2) / 2 - EPSILON
     reachable = 1 + F.least(size1 - F.col("_pos1"), size2 - F.col("_pos2")) - 1
     first_is_smaller = F.col("_smaller") == 1
-    joined = one.join(two, [*keys, "_gram", "_smaller"]).where(
+    # There are few grams, so the lists of a frequent one grow with the texts and are split.
+    joined = salted_join(one, two, [*keys, "_gram", "_smaller"], CANDIDATES_PER_SPLIT).where(
         F.when(first_is_smaller, (size1 <= size2) & (size1 >= _required(size2, least))).otherwise(
             (size2 < size1) & (size2 >= _required(size1, least))
         )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from aliasmith.operators.stopwords import SHORT_WORDS
-from aliasmith.plans.queries import FALSE_PAIRS, SAMPLE_SIZE, SEED, STOPWORDS, TRUE_PAIR_SIMILARITY
+from aliasmith.plans.queries import ASKED, FALSE_PAIRS, SAMPLE_SIZE, SEED, STOPWORDS, TRUE_PAIR_SIMILARITY
 from aliasmith.plans.tables import LONG_FORM, LOW_QUALITY, PAGE_LANGUAGE
 
 MENTION = r"[a-z]+, ?[a-z]+|\| [a-z]+"
@@ -261,12 +261,10 @@ def all_oracles() -> dict[str, str]:
             SELECT string1, string2, CASE WHEN d < 0.3e0 THEN 1 WHEN d < 0.7e0 THEN 2 ELSE 3 END::BIGINT AS band
             FROM s""",
         # Blocking and pair generation
-        "blocked_pairs": f"""WITH {NAMES},{INCOMING},
-            one AS (
-              SELECT name, citizenship FROM incoming GROUP BY ALL ORDER BY count(*) DESC, name, citizenship LIMIT 1),
+        "blocked_pairs": f"""WITH {NAMES},
             block AS (
-              SELECT one.name AS string1, v.name AS string2, uid, person_type, v.citizenship
-              FROM valid v JOIN one ON one.citizenship = v.citizenship)
+              SELECT '{ASKED[0]}' AS string1, name AS string2, uid, person_type, citizenship
+              FROM valid WHERE citizenship = '{ASKED[1]}')
             {_features_of('block', 'string1, string2, uid, person_type, citizenship')}""",
         "candidate_count": f"""WITH {NAMES},{INCOMING},
             q AS (SELECT citizenship, count(*) AS n_queries FROM (SELECT DISTINCT * FROM incoming) GROUP BY 1),

@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,9 +63,32 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+_scopes = threading.local()
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for scope in getattr(_scopes, "open", []):
+        scope.append(folder)
+    return folder
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the scratch folders that this thread made inside.
+
+    For work that repeats, such as micro-batches, whose results have been written elsewhere.
+    """
+    made: list[str] = []
+    _scopes.open = [*getattr(_scopes, "open", []), made]
+    try:
+        yield
+    finally:
+        _scopes.open = _scopes.open[:-1]
+        for folder in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:

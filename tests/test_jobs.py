@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 
 import brute
@@ -147,6 +149,21 @@ def test_stream_job_gives_the_batch_matches(spark, trained, tmp_path):
     assert found and sorted(found) == sorted(expected.collect())
 
 
+def test_micro_batches_leave_no_tables_behind(spark, tmp_path):
+    made = []
+
+    def matcher(asked):
+        made.append(asked.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("///", "/"))
+        assert Path(made[-1]).exists()
+        return asked
+
+    stream, _ = messages(spark, tmp_path / "in")
+    target = str(tmp_path / "out")
+    drain(match_stream(stream, matcher, folder_sink(target), str(tmp_path / "state")))
+    assert spark.read.parquet(target).count() > 0
+    assert made and not any(Path(folder).exists() for folder in made)
+
+
 def test_rule_stream_gives_the_batch_matches(spark, trained, tmp_path):
     index = build_index(explode_aliases(watch_list(spark)))
     stream, batch = messages(spark, tmp_path / "in")
