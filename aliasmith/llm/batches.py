@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+SLICE_BYTES = 1 << 22
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -17,8 +21,29 @@ def record_batch(columns: dict[str, Sequence], types: dict[str, pa.DataType]) ->
     return pa.RecordBatch.from_arrays([pa.array(columns[c], types[c]) for c in types], list(types))
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of at most ``rows`` rows, so that a task holds few texts at a time."""
+def slices(batches: Iterable[pa.RecordBatch], rows: int, most_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of bounded size, so that a task holds few texts at a time.
+
+    A piece has at most ``rows`` rows, and beyond its first row at most ``most_bytes`` bytes in
+    columns of text. Memory of a batch that has been used is given back.
+    """
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        upto = np.cumsum(_text_bytes(batch))
+        start = 0
+        while start < batch.num_rows:
+            before = upto[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(upto, before + most_bytes, "right")))
+            stop = min(stop, start + rows, batch.num_rows)
+            yield batch.slice(start, stop - start)
+            start = stop
+        del batch, upto
+        pa.default_memory_pool().release_unused()
+
+
+def _text_bytes(batch: pa.RecordBatch) -> np.ndarray:
+    """The bytes that each row holds in columns of text."""
+    total = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+            total += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    return total
