@@ -1,4 +1,12 @@
-"""Interpolated Kneser-Ney models of characters, one per language, in sorted hash arrays."""
+"""Interpolated Kneser-Ney models of characters, one per language, in sorted hash arrays.
+
+The log chance of a character is a sum. Let a context that a language knows add the log of its
+back-off weight, and a known gram the log of its chance over that weight times the chance of the
+gram without its first character. Known grams have known contexts and known endings, so what is
+added for all lengths telescopes to the log chance of the longest known gram, less what is lost by
+backing off. A model is therefore one table of ``(key, language, value)`` without rows for what a
+language does not know, and can be added up shard by shard.
+"""
 
 from __future__ import annotations
 
@@ -12,9 +20,13 @@ ORDER = 4
 # A text is looked at in parts of at most this many characters, and parts are put together up
 # to this many, so that memory does not grow with the texts.
 PART = 1 << 19
+# So many characters are scored by one reading of the shards, and so many sums are held for them.
+SLAB = 1 << 23
+BLOCK = 1 << 21
+# What tells the key of a context from that of a gram.
+_CONTEXT = np.uint64(0x5851F42D4C957F2D)
 _SPACE = 32
 _MULTIPLIER = 0x9E3779B97F4A7C15
-_WRAP = (1 << 64) - 1
 
 
 @cache
@@ -80,10 +92,21 @@ class Characters:
             self._hashes[order] = found
         return self._hashes[order]
 
+    def keys(self, places: np.ndarray) -> np.ndarray:
+        """For each place the keys of the grams that end there and of their contexts."""
+        grams = [self.hashes(order)[places] for order in range(1, ORDER + 1)]
+        contexts = [self.hashes(order)[places - 1] ^ _CONTEXT for order in range(ORDER)]
+        return np.stack([*grams, *contexts], axis=1).view(np.int64)
+
 
-def hash_of(gram: str) -> int:
-    """The same hash for a gram given as a string."""
-    return sum((ord(c) + 1) * pow(_MULTIPLIER, i + 1, 1 << 64) for i, c in enumerate(reversed(gram))) & _WRAP
+def keys_of(grams: Sequence[str], context: bool) -> np.ndarray:
+    """The same keys for grams, or contexts, given as strings of one length."""
+    length = len(grams[0]) if len(grams) else 0
+    codes = np.frombuffer("".join(grams).encode("utf-32-le", "replace"), "<u4").reshape(len(grams), length)
+    found = np.zeros(len(grams), np.uint64)
+    for i in range(length):
+        found += (codes[:, length - 1 - i].astype(np.uint64) + np.uint64(1)) * np.uint64(pow(_MULTIPLIER, i + 1, 1 << 64))
+    return (found ^ _CONTEXT if context else found).view(np.int64)
 
 
 class GramCounts:
@@ -133,41 +156,36 @@ class GramCounts:
 
 
 @dataclass(frozen=True)
-class Level:
-    """``grams`` and ``contexts``: sorted hashes; ``known`` and ``back``: a column per language."""
+class Shard:
+    """Sorted keys, and in each row what the key adds in the language of that number."""
 
-    grams: np.ndarray
-    known: np.ndarray
-    contexts: np.ndarray
-    back: np.ndarray
+    keys: np.ndarray
+    languages: np.ndarray
+    values: np.ndarray
 
+    @property
+    def first(self) -> int:
+        return int(self.keys[0])
 
-def _table(rows: dict[str, np.ndarray], languages: int) -> tuple[np.ndarray, np.ndarray]:
-    hashes = np.array([hash_of(g) for g in rows], np.uint64)
-    order = np.argsort(hashes)
-    values = np.array(list(rows.values()), np.float32).reshape(len(rows), languages)
-    return hashes[order], values[order]
-
+    @property
+    def last(self) -> int:
+        return int(self.keys[-1])
 
-def _at(hashes: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The place of each asked hash in a sorted array, and whether it is there."""
-    if not len(hashes):
-        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
-    place = np.minimum(np.searchsorted(hashes, asked), len(hashes) - 1)
-    return place, hashes[place] == asked
+    def load(self) -> Shard:
+        return self
 
 
 @dataclass(frozen=True)
 class Model:
-    """``levels[k]`` holds what grams of k + 1 characters add; ``floor`` is the chance of any character."""
+    """``shards`` have rows, a first and a last key and ``load()``; ``floor`` is the log chance of any character."""
 
     languages: list[str]
-    levels: list[Level]
+    shards: Sequence[Shard]
     floor: float
 
     @staticmethod
     def fit(languages: list[str], counts: dict[str, np.ndarray]) -> Model:
-        """From counts per language of grams of ``ORDER`` characters.
+        """From counts per language of grams of ``ORDER`` characters, all in memory.
 
         A gram of fewer characters counts the different characters it stands after.
         """
@@ -180,7 +198,7 @@ class Model:
             by_order.insert(0, shorter)
         floor = 1.0 / (len(by_order[0]) + 1)
         chance: dict[str, np.ndarray] = {"": np.full(n, floor)}
-        levels = []
+        entries = []
         for grams in by_order:
             # Absolute discount from the grams that occur once and twice.
             once = sum(((v == 1) for v in grams.values()), np.zeros(n))
@@ -195,48 +213,80 @@ class Model:
             back = {
                 c: np.where(total[c] > 0, discount * kinds[c] / np.maximum(total[c], 1), 1.0) for c in total
             }
+            entries += [
+                (int(keys_of([c], True)[0]), k, np.log(back[c][k])) for c in total for k in np.flatnonzero(total[c])
+            ]
             found = {}
             for gram, numbers in grams.items():
                 context, lower = gram[:-1], chance[gram[1:]]
                 own = np.maximum(numbers - discount, 0) / np.maximum(total[context], 1)
                 found[gram] = own + back[context] * lower
+                gain, key = np.log(found[gram] / (back[context] * lower)), int(keys_of([gram], False)[0])
+                entries += [(key, k, gain[k]) for k in np.flatnonzero(numbers)]
             chance = found
-            known, back_off = _table({g: np.log(v) for g, v in found.items()}, n), _table(
-                {c: np.log(v) for c, v in back.items()}, n
-            )
-            levels.append(Level(*known, *back_off))
-        return Model(languages, levels, float(np.log(floor)))
+        entries.sort()
+        kinds_of = (np.int64, np.int32, np.float64)
+        shard = Shard(*(np.array([e[i] for e in entries], kind) for i, kind in enumerate(kinds_of)))
+        return Model(languages, [shard] if entries else [], float(np.log(floor)))
 
     def entropies(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Per text its number of scored characters and, by language, the mean cross-entropy in nats."""
         sizes = np.zeros(len(texts), np.int64)
         sums = np.zeros((len(texts), len(self.languages)))
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
         for numbers, some in parts(texts):
             characters = Characters(some)
             places = np.flatnonzero(characters.scored)
-            logs = self._logs(characters, places)
-            part = characters.part[places]
-            first = np.flatnonzero(np.diff(part, prepend=-1))
-            if not len(first):
+            if not len(places):
                 continue
-            number = np.array(numbers)[part[first]]
-            np.add.at(sums, number, np.add.reduceat(logs, first, axis=0))
-            np.add.at(sizes, number, np.diff(np.append(first, len(part))))
+            grams, example, place = np.unique(
+                characters.hashes(ORDER)[places], return_index=True, return_inverse=True
+            )
+            text = np.array(numbers, np.int32)[characters.part[places]]
+            sizes += np.bincount(text, minlength=len(texts))
+            held.append((grams, characters.keys(places[example]), place.astype(np.int32), text))
+            size += len(places)
+            if size >= SLAB:
+                self._add(held, sums)
+                held, size = [], 0
+        if held:
+            self._add(held, sums)
+        sums += self.floor * sizes[:, None]
         return sizes, -sums / np.maximum(sizes, 1)[:, None]
 
-    def _logs(self, characters: Characters, places: np.ndarray) -> np.ndarray:
-        """The log chance of each character by language: the longest known gram, less what is lost by backing off."""
-        logs = np.zeros((len(places), len(self.languages)), np.float32)
-        open_ = np.arange(len(places))
-        for order in range(ORDER, 0, -1):
-            level, here = self.levels[order - 1], places[open_]
-            place, known = _at(level.grams, characters.hashes(order)[here])
-            if known.any():
-                logs[open_[known]] += level.known[place[known]]
-            open_, here = open_[~known], here[~known]
-            if not len(open_):
-                return logs
-            context, seen = _at(level.contexts, characters.hashes(order - 1)[here - 1])
-            logs[open_[seen]] += level.back[context[seen]]
-        logs[open_] += self.floor
-        return logs
+    def _add(self, held: list[tuple[np.ndarray, ...]], sums: np.ndarray) -> None:
+        """Add to ``sums``, by text and language, what the shards have for the held places."""
+        distinct, example, number = np.unique(
+            np.concatenate([grams for grams, *_ in held]), return_index=True, return_inverse=True
+        )
+        keys = np.concatenate([k for _, k, _, _ in held])[example]
+        step = max(1, BLOCK // len(self.languages)) if self.languages else len(distinct)
+        for start in range(0, len(distinct), step):
+            logs = self._logs(keys[start : start + step])
+            upto = 0
+            for grams, _, place, text in held:
+                mine = number[upto : upto + len(grams)][place] - start
+                upto += len(grams)
+                inside = (mine >= 0) & (mine < len(logs))
+                mine, mine_text = mine[inside], text[inside]
+                for begin in range(0, len(mine), step):
+                    some_text = mine_text[begin : begin + step]
+                    first = np.flatnonzero(np.diff(some_text, prepend=-1))
+                    np.add.at(sums, some_text[first], np.add.reduceat(logs[mine[begin : begin + step]], first, axis=0))
+
+    def _logs(self, keys: np.ndarray) -> np.ndarray:
+        """By row of keys and language the sum of what the shards have for them."""
+        n = len(self.languages)
+        logs = np.zeros(len(keys) * n)
+        for shard in self.shards:
+            loaded = shard.load()
+            for column in keys.T:
+                row = np.flatnonzero((column >= shard.first) & (column <= shard.last))
+                asked = column[row]
+                left = np.searchsorted(loaded.keys, asked, "left")
+                counts = np.searchsorted(loaded.keys, asked, "right") - left
+                at = np.repeat(left - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+                # A language has at most one row of a key, so no cell comes twice.
+                logs[np.repeat(row, counts) * n + loaded.languages[at]] += loaded.values[at]
+        return logs.reshape(len(keys), n)

@@ -1,9 +1,12 @@
 """Language identification by character models, with calibrated rejection.
 
-The counts of all grams in all labelled texts are summed by Spark; the models are fitted on
-them and sent to the tasks that score. If there are more grams than ``max_entries``, the most
-frequent ones are kept: the size of a model is a parameter, what it is made of is the whole
-corpus. Reference values for the confidence and for rejection come from a seeded sample of about
+The counts of all grams in all labelled texts are summed by Spark. Continuation counts, discounts
+and back-off weights of every language come from them by ``groupBy`` and joins, and the model is
+written to the shared folder as sorted shards of hashed keys, whose number follows from the rows.
+Nothing is left out, and only the names of the languages and the shards' ranges come to the
+driver. Tasks that score read the shards one after the other, once for many characters, and keep
+as many as ``_HELD_ROWS`` allows; the folder must be in a file system that pyarrow reaches.
+Reference values for the confidence and for rejection come from a seeded sample of about
 ``calibration_rows`` labelled texts.
 
 A text gets the language in which its mean cross-entropy is lowest, of equal ones the first by
@@ -24,19 +27,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aliasmith.llm.batches import record_batch, slices
-from aliasmith.llm.charmodel import GramCounts, Model, has_letter
+from aliasmith.llm.charmodel import ORDER, GramCounts, Model, Shard, has_letter, keys_of
+from aliasmith.llm.token_store import open_folder
 from aliasmith.session import stored
 
 UNDETERMINED = "und"
-MAX_ENTRIES = 1 << 20
 CALIBRATION_ROWS = 4000
 REJECTION = 0.5
 SEED = 42
 _ROWS = 1024
+_SCORED_ROWS, _SCORED_BYTES = 4096, 1 << 23
+_SHARD_ROWS = 1 << 18
+_HELD_ROWS = 1 << 22
 _TEMPERATURES = 2.0 ** np.arange(-10, 3)
 _CALIBRATION_SLOTS = 1 << 20
 
@@ -109,25 +116,107 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
     return partial.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(
-    labelled: DataFrame,
-    *,
-    max_entries: int = MAX_ENTRIES,
-    calibration_rows: int = CALIBRATION_ROWS,
-    seed: int = SEED,
-) -> Identifier:
+def _levels(counts: DataFrame) -> list[DataFrame]:
+    """``(lang, gram, n)`` of grams of 1 to ``ORDER`` characters; the shorter count the characters they stand after."""
+    found = [counts]
+    for _ in range(ORDER - 1):
+        ending = F.substring("gram", 2, ORDER).alias("gram")
+        found.insert(0, stored(found[0].groupBy("lang", ending).agg(F.count("*").alias("n")), "gram-counts"))
+    return found
+
+
+def _entries(levels: list[DataFrame], floor: float) -> DataFrame:
+    """``(lang, gram, context, value)``: what every known gram and context adds, see ``charmodel``."""
+    entries, chances = None, None
+    for size, level in enumerate(levels, 1):
+        once, twice = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+        discount = F.least(F.lit(0.9), F.greatest(F.lit(0.1), once / F.greatest(once + 2 * twice, F.lit(1))))
+        # One row per language.
+        discounts = F.broadcast(level.groupBy("lang").agg(discount.alias("discount")))
+        cut = level.withColumn("context", F.substring("gram", 1, size - 1))
+        contexts = cut.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        back = (F.col("discount") * F.col("kinds") / F.col("total")).alias("back")
+        contexts = stored(contexts.join(discounts, "lang").select("lang", "context", "total", "discount", back), "contexts")
+        known = cut.join(F.broadcast(contexts) if size == 1 else contexts, ["lang", "context"])
+        if chances is None:
+            known = known.withColumn("lower", F.lit(floor))
+        else:
+            lower = chances.select("lang", F.col("gram").alias("ending"), F.col("chance").alias("lower"))
+            known = known.withColumn("ending", F.substring("gram", 2, size)).join(lower, ["lang", "ending"])
+        own = F.greatest(F.col("n") - F.col("discount"), F.lit(0.0)) / F.col("total")
+        left = F.col("back") * F.col("lower")
+        chances = stored(known.select("lang", "gram", (own + left).alias("chance"), F.log((own + left) / left).alias("value")), "chances")
+        grams = chances.select("lang", "gram", F.lit(False).alias("context"), "value")
+        backs = contexts.select("lang", F.col("context").alias("gram"), F.lit(True).alias("context"), F.log("back").alias("value"))
+        entries = grams.unionAll(backs) if entries is None else entries.unionAll(grams).unionAll(backs)
+    return entries
+
+
+_loaded: dict[str, Shard] = {}
+
+
+@dataclass(frozen=True)
+class StoredShard:
+    """A file of rows sorted by key, and its first and last key."""
+
+    address: str
+    first: int
+    last: int
+    rows: int
+
+    def load(self) -> Shard:
+        """The rows; a task keeps shards of one model while there is room."""
+        if self.address in _loaded:
+            return _loaded[self.address]
+        files, path = open_folder(self.address)
+        table = pq.read_table(path, filesystem=files, columns=["key", "lang", "value"], partitioning=None)
+        shard = Shard(*(table.column(c).to_numpy() for c in ("key", "lang", "value")))
+        folder = self.address.rsplit("/", 1)[0]
+        if any(address.rsplit("/", 1)[0] != folder for address in _loaded):
+            _loaded.clear()
+        if sum(len(s.keys) for s in _loaded.values()) + self.rows <= _HELD_ROWS:
+            _loaded[self.address] = shard
+        return shard
+
+
+def _shards(entries: DataFrame, languages: list[str]) -> list[StoredShard]:
+    """The entries with hashed keys, sorted, in files that each hold a range of keys."""
+    place = {name: i for i, name in enumerate(languages)}
+    types = {"key": pa.int64(), "lang": pa.int32(), "value": pa.float64()}
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = np.array(batch.column(1).to_pylist(), object)
+            kinds = np.array([2 * len(gram) for gram in grams], np.int64) + np.array(batch.column(2).to_pylist(), np.int64)
+            keys = np.zeros(len(grams), np.int64)
+            for kind in np.unique(kinds):
+                keys[kinds == kind] = keys_of(grams[kinds == kind].tolist(), bool(kind % 2))
+            numbers = [place[name] for name in batch.column(0).to_pylist()]
+            yield record_batch({"key": keys, "lang": numbers, "value": batch.column(3).to_pylist()}, types)
+
+    keyed = stored(entries.mapInArrow(hashed, "key bigint, lang int, value double"), "entries")
+    fewest = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files = max(fewest, -(-keyed.count() // _SHARD_ROWS))
+    model = stored(keyed.repartitionByRange(files, "key").sortWithinPartitions("key", "lang"), "language-model")
+    ranges = model.groupBy(F.col("_metadata.file_path").alias("address")).agg(
+        F.min("key").alias("first"), F.max("key").alias("last"), F.count("*").alias("rows")
+    )
+    return sorted((StoredShard(*row) for row in ranges.collect()), key=lambda shard: shard.first)
+
+
+def fit(labelled: DataFrame, *, calibration_rows: int = CALIBRATION_ROWS, seed: int = SEED) -> Identifier:
     """From ``labelled (doc_id, text, lang)``; rows without text or language are left out."""
     known = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    counts = stored(gram_counts(known), "gram-counts")
-    kept = counts.orderBy(F.desc("n"), "gram", "lang").limit(max_entries).toArrow()
-    lang, gram, number = (kept.column(c).to_pylist() for c in ("lang", "gram", "n"))
-    languages = sorted(set(lang), key=lambda name: name.encode())
-    place = {name: i for i, name in enumerate(languages)}
-    table: dict[str, np.ndarray] = {}
-    for name, text, n in zip(lang, gram, number, strict=True):
-        table.setdefault(text, np.zeros(len(languages)))[place[name]] = n
-    model = Model.fit(languages, table)
-    return _calibrated(model, known, calibration_rows, seed)
+    return _calibrated(model_of(stored(gram_counts(known), "gram-counts")), known, calibration_rows, seed)
+
+
+def model_of(counts: DataFrame) -> Model:
+    """The model of ``gram_counts``, in the shared folder."""
+    levels = _levels(counts)
+    languages = sorted((r.lang for r in levels[0].select("lang").distinct().collect()), key=lambda name: name.encode())
+    floor = 1.0 / (levels[0].select("gram").distinct().count() + 1)
+    shards = _shards(_entries(levels, floor), languages) if languages else []
+    return Model(languages, shards, float(np.log(floor)))
 
 
 def _calibrated(model: Model, known: DataFrame, rows: int, seed: int) -> Identifier:
@@ -140,7 +229,7 @@ def _calibrated(model: Model, known: DataFrame, rows: int, seed: int) -> Identif
     types = {"lang": pa.string(), "size": pa.int64(), "entropies": pa.list_(pa.float64())}
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, _ROWS):
+        for batch in slices(batches, _SCORED_ROWS, _SCORED_BYTES):
             sizes, entropies = held.value.entropies(batch.column(0).to_pylist())
             out = {"lang": batch.column(1).to_pylist(), "size": sizes.tolist(), "entropies": entropies.tolist()}
             yield record_batch(out, types)
@@ -172,7 +261,7 @@ def identified(docs: DataFrame, identifier: Identifier, rejection: float = REJEC
     types = {"doc_id": pa.int64(), "lang_pred": pa.string(), "score": pa.float64(), "rejected": pa.bool_()}
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, _ROWS):
+        for batch in slices(batches, _SCORED_ROWS, _SCORED_BYTES):
             found = held.value.predict(batch.column(1).to_pylist(), rejection)
             columns = (batch.column(0).to_pylist(), *found)
             yield record_batch(dict(zip(types, columns, strict=True)), types)
@@ -187,7 +276,7 @@ def accepted(docs: DataFrame, identifier: Identifier, rejection: float = REJECTI
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, _ROWS):
+        for batch in slices(batches, _SCORED_ROWS, _SCORED_BYTES):
             _, _, rejected = held.value.predict(batch.column(at).to_pylist(), rejection)
             yield batch.filter(pa.array([not r for r in rejected], pa.bool_()))
 

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 from aliasmith.llm.charmodel import ORDER, Characters, Model, has_letter
-from aliasmith.llm.language import UNDETERMINED, accepted, fit, gram_counts, identified, training_rows
+from aliasmith.llm import language
+from aliasmith.llm.language import UNDETERMINED, accepted, fit, gram_counts, identified, model_of, training_rows
 
 SYLLABLES = {"aa": ["la", "mo", "ri", "sté", "vo"], "bb": ["krz", "ung", "sch", "ott", "enk"], "cc": ["wha", "ti", "hoo", "nga", "rei"]}
 
@@ -143,3 +144,32 @@ def test_empty_table(empty, awkward):
     model = fit(empty)
     assert identified(empty, model).collect() == []
     assert all(r.lang_pred == UNDETERMINED for r in identified(awkward, model).collect())
+
+
+def test_stored_shards_equal_the_model_in_memory(labelled, monkeypatch):
+    monkeypatch.setattr(language, "_SHARD_ROWS", 100)
+    rows = labelled.collect()
+    texts = {lang: [r.text for r in rows if r.lang == lang] for lang in SYLLABLES}
+    table = defaultdict(lambda: np.zeros(len(texts)))
+    for k, lang in enumerate(sorted(texts)):
+        for gram, n in counted(texts[lang]).items():
+            table[gram][k] = n
+    wanted, found = Model.fit(sorted(texts), dict(table)), model_of(gram_counts(labelled))
+    assert found.languages == wanted.languages and found.floor == wanted.floor
+    assert len(found.shards) > 8 and sum(s.rows for s in found.shards) == len(wanted.shards[0].keys)
+    probes = [rows[0].text, "quite another 日本 text", "x", "", rows[1].text + rows[2].text]
+    for own, other in zip(wanted.entropies(probes), found.entropies(probes), strict=True):
+        assert own == pytest.approx(other, abs=1e-9)
+
+
+def test_a_rare_language_keeps_its_grams_beside_a_very_large_one(spark):
+    rng = random.Random(6)
+    large = ["".join(chr(0x4E00 + rng.randrange(20_000)) for _ in range(20_000)) for _ in range(60)]
+    rare = "".join(chr(0xAC00 + rng.randrange(200)) for _ in range(300))
+    rows = [(i, text, "zz") for i, text in enumerate(large)] + [(1000, rare, "aa")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(8)
+    model = fit(docs)
+    assert model.model.languages == ["aa", "zz"]
+    assert model.model.entropies([rare])[1][0, 0] < 5
+    (row,) = identified(docs.where("doc_id = 1000"), model).collect()
+    assert row.lang_pred == "aa" and not row.rejected
