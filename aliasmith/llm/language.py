@@ -6,17 +6,18 @@ written to the shared folder as sorted shards of hashed keys, whose number follo
 Nothing is left out, and only the names of the languages and the shards' ranges come to the
 driver. Tasks that score read the shards one after the other, once for many characters, and keep
 as many as ``_HELD_ROWS`` allows; the folder must be in a file system that pyarrow reaches.
-Reference values for the confidence and for rejection come from a seeded sample of about
-``calibration_rows`` labelled texts.
+Reference values for the confidence and for rejection come from all labelled texts, which are
+scored by the models; Spark sums whole numbers, so that the result does not depend on the order.
 
 A text gets the language in which its mean cross-entropy is lowest, of equal ones the first by
 code point. The score is the chance of that language, at the temperature at which the mean
 score of the labelled sample is its share of right answers. A text is rejected if it has no
-letter, or if its cross-entropy is more than ``rejection`` of the way from the highest in the
-labelled sample of its language to that of characters drawn evenly.
+letter, or if its cross-entropy is more than ``rejection`` of the way from the one that a share
+``QUANTILE`` of the labelled texts of its language do not exceed to that of characters drawn evenly.
 
 Defined results: a null text and a text without letters are ``und`` with score 0 and rejected;
-without any labelled text all are ``und``; rows are kept as often as they occur; other columns
+without any labelled text all are ``und``; a language of the models without a text to score has
+the limit of characters drawn evenly; rows are kept as often as they occur; other columns
 are kept by the filter and not read otherwise.
 """
 
@@ -28,7 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aliasmith.llm.batches import record_batch, slices
@@ -37,15 +38,16 @@ from aliasmith.llm.token_store import open_folder
 from aliasmith.session import stored
 
 UNDETERMINED = "und"
-CALIBRATION_ROWS = 4000
 REJECTION = 0.5
-SEED = 42
+QUANTILE = 0.95
 _ROWS = 1024
 _SCORED_ROWS, _SCORED_BYTES = 4096, 1 << 23
 _SHARD_ROWS = 1 << 18
 _HELD_ROWS = 1 << 22
 _TEMPERATURES = 2.0 ** np.arange(-10, 3)
-_CALIBRATION_SLOTS = 1 << 20
+# Cross-entropies are counted in steps, and chances summed in units, of this part of one.
+_STEPS = 1 << 10
+_UNITS = 1 << 20
 
 
 def remainder(doc_id: Column) -> Column:
@@ -55,7 +57,7 @@ def remainder(doc_id: Column) -> Column:
 
 @dataclass(frozen=True)
 class Identifier:
-    """``highest``: the highest cross-entropy of a labelled text by language."""
+    """``highest``: by language, the cross-entropy up to which its labelled texts count as usual."""
 
     model: Model
     highest: np.ndarray
@@ -204,10 +206,10 @@ def _shards(entries: DataFrame, languages: list[str]) -> list[StoredShard]:
     return sorted((StoredShard(*row) for row in ranges.collect()), key=lambda shard: shard.first)
 
 
-def fit(labelled: DataFrame, *, calibration_rows: int = CALIBRATION_ROWS, seed: int = SEED) -> Identifier:
-    """From ``labelled (doc_id, text, lang)``; rows without text or language are left out."""
-    known = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    return _calibrated(model_of(stored(gram_counts(known), "gram-counts")), known, calibration_rows, seed)
+def fit(labelled: DataFrame, *, quantile: float = QUANTILE) -> Identifier:
+    """From ``labelled (text, lang)``; rows without text or language are left out."""
+    known = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("text").cast("string"), "lang")
+    return _calibrated(model_of(stored(gram_counts(known), "gram-counts")), known, quantile)
 
 
 def model_of(counts: DataFrame) -> Model:
@@ -219,39 +221,54 @@ def model_of(counts: DataFrame) -> Model:
     return Model(languages, shards, float(np.log(floor)))
 
 
-def _calibrated(model: Model, known: DataFrame, rows: int, seed: int) -> Identifier:
-    if not model.languages:
-        return Identifier(model, np.zeros(0), 1.0)
-    share = min(1.0, rows / max(1, known.count()))
-    slot = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(_CALIBRATION_SLOTS))
-    sample = known.where(slot < int(np.ceil(share * _CALIBRATION_SLOTS))).select("text", "lang")
-    held = sample.sparkSession.sparkContext.broadcast(model)
-    types = {"lang": pa.string(), "size": pa.int64(), "entropies": pa.list_(pa.float64())}
+def _scored(model: Model, known: DataFrame) -> DataFrame:
+    """``(lang, step, n, hits, c0, c1, ...)``: labelled texts by language and step of their own cross-entropy.
+
+    ``hits`` of the ``n`` are right, and ``c0`` and so on sum the confidence at each temperature.
+    """
+    held = known.sparkSession.sparkContext.broadcast(model)
+    sums = ["n", "hits", *(f"c{i}" for i in range(len(_TEMPERATURES)))]
+    types = {"lang": pa.int32(), "step": pa.int64(), **{name: pa.int64() for name in sums}}
+    place = {name: i for i, name in enumerate(model.languages)}
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, _SCORED_ROWS, _SCORED_BYTES):
             sizes, entropies = held.value.entropies(batch.column(0).to_pylist())
-            out = {"lang": batch.column(1).to_pylist(), "size": sizes.tolist(), "entropies": entropies.tolist()}
+            truth = np.array([place.get(name, -1) for name in batch.column(1).to_pylist()], np.int64)
+            usable = (truth >= 0) & (sizes > 1)
+            truth, sizes, entropies = truth[usable], sizes[usable], entropies[usable]
+            step = np.ceil(entropies[np.arange(len(truth)), truth] * _STEPS).astype(np.int64)
+            chances = [posterior(sizes, entropies, t).max(axis=1, initial=0) for t in _TEMPERATURES]
+            columns = [np.ones(len(truth), np.int64), entropies.argmin(axis=1) == truth, *(np.rint(c * _UNITS) for c in chances)]
+            keys, row = np.unique(np.stack([truth, step], axis=1), axis=0, return_inverse=True)
+            out = {"lang": keys[:, 0], "step": keys[:, 1]}
+            for name, column in zip(sums, columns, strict=True):
+                out[name] = np.zeros(len(keys), np.int64)
+                np.add.at(out[name], row.ravel(), column.astype(np.int64))
             yield record_batch(out, types)
 
-    found = sample.mapInArrow(score, "lang string, size bigint, entropies array<double>").toArrow()
-    place = {name: i for i, name in enumerate(model.languages)}
-    truth = np.array([place.get(name, -1) for name in found.column("lang").to_pylist()], np.int64)
-    sizes = found.column("size").to_numpy()
-    entropies = np.array(found.column("entropies").to_pylist(), float).reshape(len(truth), len(model.languages))
-    usable = (truth >= 0) & (sizes > 1)
-    truth, sizes, entropies = truth[usable], sizes[usable], entropies[usable]
-    own = entropies[np.arange(len(truth)), truth]
-    highest = np.full(len(place), np.inf)
-    for k in range(len(place)):
-        if (truth == k).any():
-            highest[k] = own[truth == k].max()
-    if not len(truth):
+    schema = ", ".join(f"{name} {'int' if name == 'lang' else 'bigint'}" for name in types)
+    return known.mapInArrow(score, schema).groupBy("lang", "step").agg(*[F.sum(name).alias(name) for name in sums])
+
+
+def _calibrated(model: Model, known: DataFrame, quantile: float) -> Identifier:
+    if not model.languages:
+        return Identifier(model, np.zeros(0), 1.0)
+    table = stored(_scored(model, known), "scored")
+    # A language has one row for each step at most, however many texts there are.
+    upto = Window.partitionBy("lang").orderBy("step")
+    shares = table.withColumn("upto", F.sum("n").over(upto)).withColumn("of", F.sum("n").over(Window.partitionBy("lang")))
+    usual = shares.where(F.col("upto") >= F.ceil(F.col("of") * F.lit(quantile))).groupBy("lang").agg(F.min("step").alias("step"))
+    highest = np.full(len(model.languages), -model.floor)
+    for row in usual.collect():
+        highest[row.lang] = row.step / _STEPS
+    sums = [F.sum(name) for name in table.columns[2:]]
+    texts, hits, *confidence = (int(value or 0) for value in table.agg(*sums).first())
+    if not texts:
         return Identifier(model, highest, 1.0)
     # The temperature at which the mean confidence comes nearest to the share of right answers.
-    right = (entropies.argmin(axis=1) == truth).sum()
-    expected = (right + 1) / (len(truth) + 2)
-    gaps = [abs(posterior(sizes, entropies, t).max(axis=1).mean() - expected) for t in _TEMPERATURES]
+    expected = (hits + 1) / (texts + 2)
+    gaps = [abs(total / _UNITS / texts - expected) for total in confidence]
     return Identifier(model, highest, float(_TEMPERATURES[int(np.argmin(gaps))]))
 
 

@@ -173,3 +173,19 @@ def test_a_rare_language_keeps_its_grams_beside_a_very_large_one(spark):
     assert model.model.entropies([rare])[1][0, 0] < 5
     (row,) = identified(docs.where("doc_id = 1000"), model).collect()
     assert row.lang_pred == "aa" and not row.rejected
+
+
+def test_limits_come_from_all_labelled_texts(spark):
+    rng = random.Random(12)
+    rows = [(i, sentence("aa", rng, 12), "aa") for i in range(9000)] + [(9001, sentence("bb", rng), "bb")]
+    rows += [(9100 + i, "".join(rng.choices("qxjzwpfbgyäöüßñçœþðłżğ", k=400)), "aa") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(8)
+    model = fit(docs)
+    assert np.isfinite(model.highest).all()
+    own = model.model.entropies([text for _, text, lang in rows if lang == "aa"])[1][:, 0]
+    wanted = np.sort(own)[math.ceil(0.95 * len(own)) - 1]
+    assert wanted <= model.highest[0] <= wanted + 0.002
+    fresh = [(20_000 + i, "".join(rng.choices("qxjzwpfbgyäöüßñçœþðłżğ", k=400)), None) for i in range(9)]
+    found = identified(docs.unionAll(spark.createDataFrame(fresh, docs.schema)), model).collect()
+    rejected = {r.doc_id for r in found if r.rejected}
+    assert rejected >= {i for i, _, _ in fresh} and min(rejected) > 9001
