@@ -2,7 +2,7 @@
 
 Paths are generalised into templates, all with DataFrame operations:
 
-* digits in a segment become ``#``, and what lies deeper than ``MAX_DEPTH`` segments becomes ``**``;
+* digits in a segment become ``#``; paths are as deep as they are;
 * from the root down, the children of a node become ``*`` where there are many kinds of them;
 * from the leaves up, a branch is merged with its siblings of the same shape, as ``*``, unless its
   share of bad labels differs from theirs (two-proportion test).
@@ -82,10 +82,15 @@ def best_rule(host: Column, path: Column, rules: Sequence[Rule] = RULES) -> Colu
     return F.array_max(F.array(*fitting)) if fitting else F.lit(None)
 
 
-def segments(path: Column) -> Column:
-    """The segments of a path with digits as ``#``; an array of at most ``MAX_DEPTH`` and ``**``."""
+def whole_path(path: Column) -> Column:
+    """All segments of a path with digits as ``#``."""
     plain = F.filter(F.split(path, "/"), lambda s: s != "")
-    general = F.transform(plain, lambda s: F.regexp_replace(s, "[0-9]+", "#"))
+    return F.transform(plain, lambda s: F.regexp_replace(s, "[0-9]+", "#"))
+
+
+def segments(path: Column) -> Column:
+    """The first ``MAX_DEPTH`` segments of a path and ``**`` for deeper ones; for looks at the data, not for verdicts."""
+    general = whole_path(path)
     deep = F.when(F.size(general) > MAX_DEPTH, F.array(F.lit("**"))).otherwise(F.array().cast("array<string>"))
     return F.concat(F.slice(general, 1, MAX_DEPTH), deep)
 
@@ -133,7 +138,7 @@ def _merged(table: DataFrame, depth: int) -> DataFrame:
 
 def templates(labelled: DataFrame) -> DataFrame:
     """``(host, shape, template, bad_share)`` from ``labelled (host, path, bad)``, ``bad`` null where not known."""
-    table = labelled.groupBy("host", segments(F.col("path")).alias("shape")).agg(
+    table = labelled.groupBy("host", whole_path(F.col("path")).alias("shape")).agg(
         F.count("*").alias("n"),
         F.count("bad").alias("labels"),
         F.coalesce(F.sum(F.col("bad").cast("bigint")), F.lit(0)).alias("bad"),
@@ -163,7 +168,7 @@ def judged(pages: DataFrame, labels: DataFrame, rules: Sequence[Rule] = RULES) -
     known = labels.groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("bad"))
     rated = templates(parsed.join(known, "page_id", "left").select("host", "path", "bad"))
     rated = rated.withColumnRenamed("host", "_host")
-    shaped = parsed.withColumn("_shape", segments(F.col("path")))
+    shaped = parsed.withColumn("_shape", whole_path(F.col("path")))
     joined = shaped.join(rated, (F.col("host") == F.col("_host")) & (F.col("_shape") == F.col("shape")))
     rule = best_rule(F.col("host"), F.col("path"), rules)
     learned = F.when(F.col("bad_share") > REJECT_ABOVE, "block").otherwise("allow")

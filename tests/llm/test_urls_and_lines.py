@@ -81,6 +81,16 @@ def test_verdicts_come_from_the_rule_or_the_purity(spark):
     assert verdict[200] == {"allow"} and verdict[201] == {"allow"}
 
 
+def test_verdicts_differ_below_deep_branches(spark):
+    deep = "https://x.net/a/b/c/d/e/f"
+    rows = [(i, f"{deep}/spam/g/h/{i}") for i in range(30)] + [(100 + i, f"{deep}/good/g/h/{i}") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, i < 100) for i, _ in rows], "page_id bigint, bad boolean")
+    found = {r.page_id: (r.verdict, r.template) for r in judged(pages, labels).collect()}
+    assert all(found[i] == ("block", "a/b/c/d/e/f/spam/g/h/#") for i in range(30))
+    assert all(found[100 + i] == ("allow", "a/b/c/d/e/f/good/g/h/#") for i in range(60))
+
+
 def test_empty_pages(spark):
     pages = spark.createDataFrame([], "page_id bigint, url string, html string")
     labels = spark.createDataFrame([], "page_id bigint, bad boolean")
