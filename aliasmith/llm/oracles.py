@@ -209,4 +209,58 @@ FROM sets s JOIN classes c ON s.filled = c.filled AND s.shingles = c.shingles
 JOIN groups g ON g.node = c.node LEFT JOIN links l ON l.node = c.node
 """
 
-SQL = {"op1_url_templates": _op1(), "op2_mix_sources": OP2, "op5_site_lines": OP5, "op8_decontaminate": OP8, "op9_near_duplicates": OP9}
+# DuckDB has no CRC-32: its table of 256 follows from the polynomial, 0xEDB88320.
+OP11 = r"""
+WITH RECURSIVE polynomial AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+rows_ AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+      lambda c, d: xor(c // 256, t[xor(c % 256, d) + 1])), 4294967295) % 7 = 0 AS changed
+  FROM documents, polynomial),
+fields AS (
+  SELECT doc_id, lang,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') AS before,
+    n_chars::HUGEINT AS n, n_chars::HUGEINT + (coalesce(changed, false))::INT AS m,
+    coalesce(strlen(text) || ':' || text, '-') AS after
+  FROM rows_),
+leaves AS MATERIALIZED (
+  SELECT *, row_number() OVER () AS r, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n_leaves
+  FROM (SELECT doc_id, lang, sha256(before || coalesce(strlen(n::VARCHAR) || ':' || n, '-') || after) AS leaf,
+      sha256(before || coalesce(strlen(m::VARCHAR) || ':' || m, '-') || after) AS claimed FROM fields)),
+nodes(level, lang, pos, digest, n) AS (
+  SELECT 0, lang, pos, leaf, n_leaves FROM leaves
+  UNION ALL
+  SELECT level + 1, lang, pos // 2, string_agg(digest, '' ORDER BY pos).sha256(), (n + 1) // 2
+  FROM nodes WHERE n > 1 GROUP BY level, lang, pos // 2, n),
+subroots AS MATERIALIZED (
+  SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops(level, pos, digest, n) AS (
+  SELECT 0, pos, subroot, n FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, string_agg(digest, '' ORDER BY pos).sha256(), (n + 1) // 2
+  FROM tops WHERE n > 1 GROUP BY level, pos // 2, n),
+every AS MATERIALIZED (
+  SELECT n.lang, true AS inner_, level, n.pos, digest, n.n FROM nodes n
+  UNION ALL SELECT NULL, false, level, pos, digest, n FROM tops),
+walk(r, lang, inner_, level, pos, digest, path) AS (
+  SELECT r, lang, true, 0, pos, claimed, '' FROM leaves
+  UNION ALL
+  SELECT w.r, w.lang, CASE WHEN e.n > 1 THEN w.inner_ ELSE false END, CASE WHEN e.n > 1 THEN w.level + 1 ELSE 0 END,
+    CASE WHEN e.n > 1 THEN w.pos // 2 ELSE s.pos END,
+    CASE WHEN e.n = 1 THEN w.digest WHEN w.pos % 2 = 1 THEN sha256(b.digest || w.digest) ELSE sha256(w.digest || coalesce(b.digest, '')) END,
+    CASE WHEN e.n = 1 THEN w.path ELSE w.path || coalesce(b.digest, '') END
+  FROM walk w
+  JOIN every e ON e.inner_ = w.inner_ AND (NOT w.inner_ OR e.lang IS NOT DISTINCT FROM w.lang) AND e.level = w.level AND e.pos = w.pos
+  JOIN subroots s ON s.lang IS NOT DISTINCT FROM w.lang
+  LEFT JOIN every b ON b.inner_ = w.inner_ AND (NOT w.inner_ OR b.lang IS NOT DISTINCT FROM w.lang) AND b.level = w.level
+    AND b.pos = w.pos + 1 - 2 * (w.pos % 2)
+  WHERE w.inner_ OR e.n > 1),
+ends AS (SELECT r, digest AS folded_root, path FROM walk w, (SELECT max(level) AS last FROM tops) WHERE NOT w.inner_ AND level = last)
+SELECT doc_id, leaf, subroot, root, sha256(path) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves l JOIN ends USING (r)
+JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang, (SELECT digest AS root FROM tops WHERE n = 1)
+"""
+
+SQL = {"op1_url_templates": _op1(), "op2_mix_sources": OP2, "op5_site_lines": OP5, "op8_decontaminate": OP8, "op9_near_duplicates": OP9, "op11_merkle_manifest": OP11}

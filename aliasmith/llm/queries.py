@@ -11,6 +11,7 @@ from aliasmith.llm import oracles
 from aliasmith.llm.decontaminate import contamination
 from aliasmith.llm.fingerprints import fingerprints
 from aliasmith.llm.language import fit, identified, remainder, training_rows
+from aliasmith.llm.manifest import folded, joined_digest, proofs, row_digest, siblings, write_manifest
 from aliasmith.llm.mixing import mix_counts, plan_mix
 from aliasmith.llm.near_duplicates import near_duplicates
 from aliasmith.llm.pii import KINDS, counted, listed, personal_data
@@ -100,8 +101,33 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out, "lang_pred", "score", "rejected")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Merkle proof of every document, checked on rows of which some have been changed."""
+    docs = table(spark, sf_dir, "documents")
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    n_chars = F.col("n_chars").cast("decimal(20,0)")
+    claimed = row_digest(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars + F.when(changed, 1).otherwise(0), F.col("text"))
+    leaf = row_digest(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+    manifest = write_manifest(
+        docs,
+        leaf,
+        group=F.col("lang"),
+        order=[F.col("doc_id")],
+        keep={"doc_id": F.col("doc_id"), "claimed": F.when(changed, claimed).otherwise(leaf)},
+    )
+    found = proofs(manifest).select(
+        F.col("kept.doc_id").alias("doc_id"),
+        F.col("digest").alias("leaf"),
+        "subroot",
+        "root",
+        joined_digest(siblings(F.col("path"))).alias("proof_sha256"),
+        folded(F.col("kept.claimed"), F.col("path")).alias("folded_root"),
+    )
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_url_templates, op2_mix_sources, op3_token_counts, op4_fingerprints, op5_site_lines, op6_pii, op7_token_store, op8_decontaminate, op9_near_duplicates, op10_language_id)
+    found = (op1_url_templates, op2_mix_sources, op3_token_counts, op4_fingerprints, op5_site_lines, op6_pii, op7_token_store, op8_decontaminate, op9_near_duplicates, op10_language_id, op11_merkle_manifest)
     return {query.__name__: query for query in found}
 
 

@@ -1,0 +1,105 @@
+from hashlib import sha256
+
+import pytest
+from pyspark.sql import functions as F
+
+from aliasmith.llm.manifest import folded, proofs, read_manifest, row_digest, siblings, write_manifest
+
+
+def h(*parts):
+    return sha256("".join(parts).encode()).hexdigest()
+
+
+def levels(nodes):
+    found = [nodes]
+    while len(found[-1]) > 1:
+        below = found[-1]
+        found.append([h(*below[i : i + 2]) for i in range(0, len(below), 2)])
+    return found
+
+
+def way(found, place):
+    """The siblings of a node up to the root."""
+    out = []
+    for nodes in found[:-1]:
+        other = place ^ 1
+        out += [nodes[other]] if other < len(nodes) else []
+        place //= 2
+    return out
+
+
+def brute(rows):
+    """Per row its leaf, subroot, root and siblings."""
+    def field(value):
+        return "-" if value is None else f"{len(str(value).encode())}:{value}"
+
+    groups = {}
+    for doc_id, text, lang, _ in rows:
+        groups.setdefault(lang, []).append((doc_id, h(field(doc_id), field(lang), field(text))))
+    first = lambda v: (v is not None, v if v is not None else 0)
+    langs = sorted(groups, key=lambda v: (v is not None, (v or "").encode()))
+    trees = {g: levels([leaf for _, leaf in sorted(groups[g], key=lambda r: (first(r[0]), r[1]))]) for g in langs}
+    top = levels([trees[g][-1][0] for g in langs])
+    return [
+        (leaf, trees[g][-1][0], top[-1][0], tuple(way(trees[g], place) + way(top, langs.index(g))))
+        for g in langs
+        for place, leaf in enumerate(trees[g][0])
+    ]
+
+
+def made(docs, stride, **more):
+    return write_manifest(
+        docs,
+        row_digest(F.col("doc_id"), F.col("lang"), F.col("text")),
+        group=F.col("lang"),
+        order=[F.col("doc_id")],
+        keep={"doc_id": F.col("doc_id"), "other": F.sha2(F.coalesce("text", F.lit("")), 256)},
+        stride=stride,
+        **more,
+    )
+
+
+def collected(found):
+    rows = found.select("digest", "subroot", "root", siblings(F.col("path")).alias("s"), folded(F.col("digest"), F.col("path")).alias("f"))
+    rows = rows.collect()
+    assert all(r.f == r.root for r in rows)
+    return sorted((r.digest, r.subroot, r.root, tuple(r.s)) for r in rows)
+
+
+@pytest.mark.parametrize("stride", [1, 5])
+def test_awkward_rows_have_the_proofs_of_the_definition(clashing, awkward_rows, stride):
+    assert collected(proofs(made(clashing, stride))) == sorted(brute(awkward_rows))
+
+
+@pytest.mark.parametrize("n", [1, 3, 33])
+def test_trees_of_every_height(spark, n):
+    """One group holds most rows; there are as many groups as make a tall tree of roots."""
+    rows = [(i, f"text {i}", "hot", None) for i in range(n)] + [(i, "x", f"é{i}", None) for i in range(n // 2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(5)
+    assert collected(proofs(made(docs, 2))) == sorted(brute(rows))
+
+
+def test_a_changed_row_does_not_lead_to_the_root(awkward):
+    found = proofs(made(awkward, 3)).withColumn("end", folded(F.col("kept.other"), F.col("path")))
+    assert found.where("end = root").count() == 0
+
+
+def test_the_manifest_is_read_back_and_has_every_few_levels_only(spark, tmp_path):
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("en").alias("lang"))
+    manifest = made(docs, 3, address=str(tmp_path / "kept"))
+    assert [level.select(F.sum(F.size("members"))).first()[0] for level in manifest.groups.levels] == [100, 13, 2]
+    again = read_manifest(spark, str(tmp_path / "kept"))
+    assert collected(proofs(again)) == collected(proofs(manifest))
+
+
+def test_empty_table(empty):
+    assert proofs(made(empty, 5)).collect() == []
+
+
+def test_subtrees_are_bounded_and_hot_groups_are_dealt(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("en").alias("lang"))
+    manifest = made(docs.repartition(7), 4)
+    lowest = manifest.groups.levels[0]
+    assert lowest.select(F.max(F.size("members"))).first()[0] == 16
+    assert lowest.count() == 188
+    assert sorted(r.pos for r in proofs(manifest).select("pos").collect()) == list(range(3000))
