@@ -263,4 +263,29 @@ FROM leaves l JOIN ends USING (r)
 JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang, (SELECT digest AS root FROM tops WHERE n = 1)
 """
 
-SQL = {"op1_url_templates": _op1(), "op2_mix_sources": OP2, "op5_site_lines": OP5, "op8_decontaminate": OP8, "op9_near_duplicates": OP9, "op11_merkle_manifest": OP11}
+OP13 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+  FROM documents),
+counts AS MATERIALIZED (
+  SELECT lang, w[p:p + k - 1] AS g, count(*) AS a
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS k))
+  GROUP BY ALL HAVING count(*) >= 30),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+candidates AS MATERIALIZED (SELECT * FROM counts WHERE len(g) > 1),
+inside AS (
+  SELECT lang, g[p:p + k - 1] AS g, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, len(g) - k + 2)) AS p FROM candidates, (SELECT unnest([2, 3]) AS k) WHERE len(g) > k) GROUP BY ALL),
+cuts AS (
+  SELECT c.lang, c.g, c.a, k, f.a AS l, r.a AS r, (2000000::HUGEINT * c.a // (f.a::HUGEINT + r.a))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, len(g))) AS k FROM candidates) c
+  JOIN counts f ON f.lang = c.lang AND f.g = c.g[1:k] JOIN counts r ON r.lang = c.lang AND r.g = c.g[k + 1:]),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM (SELECT o.lang, array_to_string(o.g, ' ') AS phrase, o.a, l, r, score FROM lowest o
+  LEFT JOIN inside i ON o.lang = i.lang AND o.g = i.g WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * o.a)
+JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+SQL = {"op1_url_templates": _op1(), "op2_mix_sources": OP2, "op5_site_lines": OP5, "op8_decontaminate": OP8, "op9_near_duplicates": OP9, "op11_merkle_manifest": OP11, "op13_collocations": OP13}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aliasmith.llm import oracles
+from aliasmith.llm.collocations import collocations
 from aliasmith.llm.decontaminate import contamination
 from aliasmith.llm.fingerprints import fingerprints
 from aliasmith.llm.language import fit, identified, remainder, training_rows
@@ -126,8 +127,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of each language by the share of their parts that they make up."""
+    return collocations(table(spark, sf_dir, "documents")).drop("words")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_url_templates, op2_mix_sources, op3_token_counts, op4_fingerprints, op5_site_lines, op6_pii, op7_token_store, op8_decontaminate, op9_near_duplicates, op10_language_id, op11_merkle_manifest)
+    found = (op1_url_templates, op2_mix_sources, op3_token_counts, op4_fingerprints, op5_site_lines, op6_pii, op7_token_store, op8_decontaminate, op9_near_duplicates, op10_language_id, op11_merkle_manifest, op13_collocations)
     return {query.__name__: query for query in found}
 
 
