@@ -12,6 +12,7 @@ from aliasmith.llm.collocations import collocations
 from aliasmith.llm.decontaminate import contamination
 from aliasmith.llm.fingerprints import fingerprints
 from aliasmith.llm.language import fit, identified, remainder, training_rows
+from aliasmith.llm.licenses import labels_of, license_scan
 from aliasmith.llm.manifest import folded, joined_digest, proofs, row_digest, siblings, write_manifest
 from aliasmith.llm.mixing import mix_counts, plan_mix
 from aliasmith.llm.near_duplicates import near_duplicates
@@ -127,13 +128,28 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and, with edits allowed, license notices in every document."""
+    starts = F.transform("base", lambda s: s.first_word)
+    return license_scan(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("bigint").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        labels_of(F.col("base")).alias("base_labels"),
+        labels_of(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s.likeness)), F.lit(0.0)).alias("score"),
+    )
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2000 best phrases of each language by the share of their parts that they make up."""
     return collocations(table(spark, sf_dir, "documents")).drop("words")
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_url_templates, op2_mix_sources, op3_token_counts, op4_fingerprints, op5_site_lines, op6_pii, op7_token_store, op8_decontaminate, op9_near_duplicates, op10_language_id, op11_merkle_manifest, op13_collocations)
+    found = (op1_url_templates, op2_mix_sources, op3_token_counts, op4_fingerprints, op5_site_lines, op6_pii, op7_token_store, op8_decontaminate, op9_near_duplicates, op10_language_id, op11_merkle_manifest, op12_license_scan, op13_collocations)
     return {query.__name__: query for query in found}
 
 
