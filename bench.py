@@ -66,11 +66,17 @@ def main() -> None:
     queries = all_queries()
     spark.range(1000).selectExpr("sum(id)").collect()
     neighbours = tables.neighbour_pairs(spark, sf_dir).count()
-    seconds, rows, rates = {}, {}, {}
+    seconds, rows, rates, failed = {}, {}, {}, {}
     for name in wanted.split(",") if wanted else HEADLINES:
         started = time.perf_counter()
-        rows[name] = counted(queries[name](spark, sf_dir))
+        try:
+            rows[name] = counted(queries[name](spark, sf_dir))
+        except Exception as error:  # the figures of the other queries are kept
+            failed[name] = str(error).splitlines()[0][:200]
+            print(f"{name} failed: {error}", file=sys.stderr, flush=True)
+            continue
         seconds[name] = round(time.perf_counter() - started, 3)
+        print(f"{name} {seconds[name]} s, {rows[name]} rows", file=sys.stderr, flush=True)
         if name in PAIRS:
             rates[name] = round(neighbours / seconds[name])
     line = {
@@ -81,6 +87,7 @@ def main() -> None:
         "sf": Path(sf_dir).name.removeprefix("sf"),
         "cores": cpus,
         "result_rows": rows,
+        "failed": failed,
         "candidate_pairs": {"neighbours": neighbours},
         "pairs_per_second": rates,
         "input_rows": {
@@ -90,8 +97,8 @@ def main() -> None:
     print(json.dumps(line), flush=True)
     spark.stop()
     empty = [name for name, n in rows.items() if not n]
-    if empty:
-        sys.exit(f"no rows: {', '.join(empty)}")
+    if empty or failed:
+        sys.exit(f"no rows: {', '.join([*empty, *failed])}")
 
 
 if __name__ == "__main__":

@@ -3,6 +3,8 @@ import random
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
 from aliasmith.operators import evaluate, models, sampling
 
@@ -21,6 +23,15 @@ def test_named_estimators_learn(data, name):
     assert evaluate.auc_hard_labels(model.transform(data)).first().auc > 0.6
 
 
+@pytest.mark.parametrize("name", ["RandomForest", "LOGREGRESS", "linearsvm", "NaiveBayes"])
+def test_models_score_after_something_was_observed(data, name):
+    """An observation stays with the session, and the session must not be shipped with a model."""
+    seen = Observation()
+    assert data.observe(seen, F.count(F.lit(1)).alias("rows")).count() == seen.get["rows"]
+    model = models.build_model(data, [models.estimator(name)])
+    assert model.transform(data).where("prediction = 1.0").count() > 0
+
+
 def test_unknown_estimator():
     with pytest.raises(models.UnsupportedAlgorithm):
         models.estimator("PERCEPTRON")
