@@ -1,4 +1,4 @@
-"""Runs a job from a file of settings: ``python -m aliasmith prepare|train|match FILE``.
+"""Runs a job from a file of settings: ``python -m aliasmith prepare|train|index|match FILE``.
 
 Settings of the message queue are those of the file that begin with ``kafka.``.
 """
@@ -16,7 +16,7 @@ from aliasmith.session import ship_package
 
 
 def main(arguments: list[str]) -> int:
-    if len(arguments) != 2 or arguments[0] not in ("prepare", "train", "match"):
+    if len(arguments) != 2 or arguments[0] not in ("prepare", "train", "index", "match"):
         print(__doc__, file=sys.stderr)
         return 2
     job, path = arguments
@@ -28,6 +28,8 @@ def main(arguments: list[str]) -> int:
             jobs.prepare_job(spark, conf)
         elif job == "train":
             jobs.train_job(spark, conf)
+        elif job == "index":
+            jobs.index_job(spark, conf)
         else:
             queue = {k: v for k, v in conf.items() if k.startswith("kafka.")}
             jobs.match_stream_job(spark, conf, queue).start().awaitTermination()

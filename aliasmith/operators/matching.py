@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aliasmith.functions.binding import explode_if
@@ -19,6 +20,7 @@ from aliasmith.operators.profiles import FEATURES, pair_features
 from aliasmith.operators.simjoin import EPSILON, gram_order, ordered_grams, similar_texts
 from aliasmith.operators.skew import salted_join
 from aliasmith.session import cut_lineage
+from aliasmith.sources.manifests import latest, publish, read_version
 
 BLOCK = "citizenship"
 # Fixed value: the weighted similarity from which the rule calls two names a match.
@@ -59,6 +61,23 @@ def build_index(aliases: DataFrame) -> NameIndex:
     return NameIndex(rows, cut_lineage(parts.join(firsts, "first")), cut_lineage(lasts), grams)
 
 
+def publish_index(index: NameIndex, root: str) -> int:
+    """Writes the tables of an index below ``root`` and publishes them as its next version."""
+    folder = f"indexes/{uuid.uuid4().hex}"
+    for name, table in vars(index).items():
+        table.write.parquet(f"{root}/{folder}/{name}")
+    return publish(index.aliases.sparkSession, f"{root}/versions", lambda _: {"folder": folder})
+
+
+def open_index(spark: SparkSession, root: str, version: int | None = None) -> NameIndex:
+    """A published version of an index, by default the latest."""
+    number = latest(spark, f"{root}/versions") if version is None else version
+    if number is None:
+        raise ValueError(f"there is no index in {root}")
+    folder = f"{root}/{read_version(spark, f'{root}/versions', number)['folder']}"
+    return NameIndex(*[spark.read.parquet(f"{folder}/{name}") for name in NameIndex.__dataclass_fields__])
+
+
 def block_pairs(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     """Every query name with every valid name of its block; heavy blocks are split.
 

@@ -13,16 +13,24 @@ from pyspark.sql.types import StringType, StructField, StructType
 from aliasmith.operators.aliases import clean_table, explode_aliases
 from aliasmith.operators.datasets import LABEL_COLUMN, assemble_features
 from aliasmith.operators.filters import drop_short_aliases, keep_categories, keep_natural_persons, valid_names
-from aliasmith.operators.matching import BLOCK, build_index, match_by_model, to_match_lines
+from aliasmith.operators.matching import (
+    BLOCK,
+    NameIndex,
+    build_index,
+    match_by_model,
+    open_index,
+    publish_index,
+    to_match_lines,
+)
 from aliasmith.operators.models import UnsupportedAlgorithm, build_model, estimator, load_model, ngram_floor, save_model
 from aliasmith.operators.pairs import false_pairs, name_table, training_features, true_pairs
 from aliasmith.operators.profiles import FEATURES
 from aliasmith.operators.sampling import balance_classes, union_labelled
 from aliasmith.plans.config import JobConfigError, as_list, require
-from aliasmith.session import cut_lineage
+from aliasmith.session import cut_lineage, temporary_tables
 from aliasmith.sources.files import WATCH_LIST, read_delimited, write_delimited
 from aliasmith.sources.kafka import stream_messages, write_messages
-from aliasmith.streaming.match_stream import match_stream
+from aliasmith.streaming.match_stream import match_stream, match_stream_refreshed
 
 ALIAS_COLUMNS = ("aliases", "low_quality_aliases", "alternative_spelling")
 FEATURE_TABLE = StructType(
@@ -146,12 +154,12 @@ def match_stream_job(
 ) -> DataStreamWriter:
     """Match messages of the input topic against a watch-list file; matches go to the output topic.
 
-    ``messages`` and ``sink`` replace the topics, for other transports. The writer
-    is returned unstarted, so that the caller sets its trigger.
+    ``messages`` and ``sink`` replace the topics, for other transports. With ``index.location``
+    each micro-batch takes the newest index that ``index_job`` has published there; otherwise the
+    watch list is read when the job starts. The writer is returned unstarted, so that the caller
+    sets its trigger.
     """
-    model_path, aliases_path, checkpoint = require(
-        conf, "matching.model.destination", "dataset.aliases.file", "checkpoint.location"
-    )
+    model_path, checkpoint = require(conf, "matching.model.destination", "checkpoint.location")
     if messages is None:
         (topic,) = require(conf, "input.topic")
         limit = conf.get("input.max.per.batch")
@@ -163,11 +171,26 @@ def match_stream_job(
             write_messages(to_match_lines(matches), str(output), kafka)
 
     model = load_model(str(model_path))
-    index = build_index(explode_aliases(read_delimited(spark, str(aliases_path), WATCH_LIST)))
     features = trained_features(conf)
     floor = ngram_floor(model, features)
 
-    def matched(asked: DataFrame) -> DataFrame:
+    def matched(asked: DataFrame, index: NameIndex) -> DataFrame:
         return match_by_model(asked, index, model, floor, features)
 
-    return match_stream(messages, matched, sink, str(checkpoint))
+    root = conf.get("index.location")
+    if root:
+        return match_stream_refreshed(messages, str(root), open_index, matched, sink, str(checkpoint))
+    index = _index_of_file(spark, conf)
+    return match_stream(messages, lambda asked: matched(asked, index), sink, str(checkpoint))
+
+
+def _index_of_file(spark: SparkSession, conf: Mapping[str, object]) -> NameIndex:
+    (path,) = require(conf, "dataset.aliases.file")
+    return build_index(explode_aliases(read_delimited(spark, str(path), WATCH_LIST)))
+
+
+def index_job(spark: SparkSession, conf: Mapping[str, object]) -> int:
+    """Publish the watch-list file as the next version of the index; running streams go over to it."""
+    (root,) = require(conf, "index.location")
+    with temporary_tables(spark):
+        return publish_index(_index_of_file(spark, conf), str(root))

@@ -282,6 +282,12 @@ def all_oracles() -> dict[str, str]:
               <= (SELECT min(n) FROM (SELECT count(*) AS n FROM labelled GROUP BY label))""",
         "match_threshold": f"WITH {MATCHES}",
         "stream_match": f"WITH {MATCHES}",
+        "stream_match_plain": f"WITH {MATCHES}",
+        "stream_match_once": f"WITH {MATCHES}",
+        "match_store": f"WITH {MATCHES}",
+        "match_metrics": f"""
+            SELECT (SELECT count(*) FROM (WITH {NAMES},{INCOMING} SELECT DISTINCT * FROM incoming)) AS n_asked,
+              (SELECT count(*) FROM (WITH {MATCHES})) AS n_matches""",
         # Aggregates, orders, samples
         "token_frequency": """
             SELECT token, count(*) AS count FROM (

@@ -25,11 +25,13 @@ from aliasmith.operators.matching import (
     match_by_model,
     match_by_rule,
 )
+from aliasmith.operators.metrics import StepCounts
+from aliasmith.operators.name_store import add_to_store, open_store, store_matches, write_store
 from aliasmith.operators.profiles import FEATURES, pair_features
 from aliasmith.plans import jobs, tables
 from aliasmith.session import cut_lineage, scratch_folder
 from aliasmith.sources import files, kafka
-from aliasmith.streaming.match_stream import folder_sink, match_stream, parse_messages
+from aliasmith.streaming.match_stream import folder_sink, match_stream, once, parse_messages, plain_matches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -634,3 +636,59 @@ def stream_match(spark, sf_dir):
     _run_stream(spark, writer)
     found = spark.read.parquet(target)
     return found.select("string1", "string2", "uid", BLOCK, *rounded("similarity"))
+
+
+def _watch_store(spark, sf_dir):
+    root = scratch_folder(spark, "name-store")
+    write_store(tables.watch_names(spark, sf_dir), root, MATCH_THRESHOLD)
+    return open_store(spark, root)
+
+
+@query
+def match_store(spark, sf_dir):
+    """The rule match against a stored watch list, half of which came as a delta; as ``match_threshold``."""
+    root = scratch_folder(spark, "name-store")
+    listed = cut_lineage(tables.watch_names(spark, sf_dir))
+    later = F.pmod(F.xxhash64("uid"), F.lit(2)) == 1
+    write_store(listed.where(~later), root, MATCH_THRESHOLD)
+    add_to_store(listed.where(later), root)
+    asked = tables.incoming_names(spark, sf_dir).distinct()
+    found = store_matches(asked, open_store(spark, root))
+    return found.select(F.col("name").alias("string1"), "string2", "uid", BLOCK, *rounded("similarity"))
+
+
+@query
+def match_metrics(spark, sf_dir):
+    """How many names were asked and how many matches found, counted while the matches are written."""
+    counts, target = StepCounts(), scratch_folder(spark, "matches")
+    asked = tables.incoming_names(spark, sf_dir).distinct()
+    store_matches(asked, _watch_store(spark, sf_dir), watch=counts).write.parquet(target)
+    rows = counts.get()
+    return spark.range(1).select(F.lit(rows["asked0"]).cast("bigint").alias("n_asked"), F.lit(rows["matches"]).cast("bigint").alias("n_matches"))
+
+
+@query
+def stream_match_plain(spark, sf_dir):
+    """The match as a streaming plan into a plain sink; the same rows as ``match_threshold``."""
+    target = scratch_folder(spark, "matches")
+    stream = _message_stream(spark, tables.incoming_messages(spark, sf_dir))
+    matches = plain_matches(stream, _watch_store(spark, sf_dir))
+    writer = matches.writeStream.format("parquet").option("path", target)
+    _run_stream(spark, writer.option("checkpointLocation", scratch_folder(spark, "matches-state")))
+    return spark.read.parquet(target).select("string1", "string2", "uid", BLOCK, *rounded("similarity"))
+
+
+@query
+def stream_match_once(spark, sf_dir):
+    """Messages that are delivered twice, the second time after a restart; the same rows as ``match_threshold``."""
+    folder, target, state = (scratch_folder(spark, name) for name in ("messages", "matches", "matches-state"))
+    arrived = F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.xxhash64("value"), F.lit(3600)))
+    messages = cut_lineage(tables.incoming_messages(spark, sf_dir).select("value", arrived.alias("arrived")))
+    store = _watch_store(spark, sf_dir)
+    for _ in ("first", "again"):
+        messages.write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(messages.schema).parquet(folder).withColumn("message", F.sha2("value", 256))
+        matches = once(plain_matches(stream, store), ["message", "string2", "uid"], "arrived", "1 day")
+        writer = matches.writeStream.format("parquet").option("path", target)
+        _run_stream(spark, writer.option("checkpointLocation", state))
+    return spark.read.parquet(target).select("string1", "string2", "uid", BLOCK, *rounded("similarity"))
