@@ -52,6 +52,8 @@ _KINDS = {"starts": "<u8", "levels": "<u8", "bits": "<u8", "ranks": "<u8", "prin
 _FOOTER = struct.Struct("<8sQ" + "Q" * len(_SECTIONS))
 _FINGERPRINT_SEED = 1 << 20
 _ROWS = 1024
+# Ids that are read from a shard at once.
+_RUN_IDS = 1 << 20
 _MANIFEST = "partition int, shard int, path string, low bigint, high bigint, n_docs bigint, n_ids bigint"
 
 
@@ -195,14 +197,14 @@ def write_tokens(
             return record_batch({k: [v] for k, v in values.items()}, types)
 
         for batch in slices(batches, _ROWS):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for key, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
+            ids, bounds = encoder.encode_column(batch.column(1))
+            for key, start, stop in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 if writer is not None and writer.n_ids >= shard_ids:
                     yield row()
                     shard, writer = shard + 1, None
                 if writer is None:
                     writer = ShardWriter(address, encoder.kind)
-                writer.add(key, ids + end)
+                writer.add(key, ids[start:stop].tobytes() + end)
         if writer is not None:
             yield row()
 
@@ -225,6 +227,42 @@ def _shards(store: TokenStore) -> dict[str, np.ndarray]:
     }
 
 
+def _runs(shard: Shard, row: np.ndarray, n_rows: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Neighbouring rows of a shard that hold the rows of the keys, in runs of bounded size.
+
+    A run ends where the next wanted row is not the next row, and after ``_RUN_IDS`` ids or ``_ROWS``
+    rows; so each run is one read, and a key with very many rows takes several.
+    """
+    wanted = np.repeat(row - np.cumsum(n_rows) + n_rows, n_rows) + np.arange(n_rows.sum())
+    starts, at = shard.starts.astype(np.int64), 0
+    gaps = np.flatnonzero(np.diff(wanted) != 1) + 1
+    while at < len(wanted):
+        a = wanted[at]
+        together = np.searchsorted(starts, starts[a] + _RUN_IDS, "right") - 1 - a
+        gap = gaps[np.searchsorted(gaps, at, "right")] if len(gaps) and gaps[-1] > at else len(wanted)
+        stop = min(at + max(1, int(together)), int(gap), at + _ROWS)
+        yield int(a), int(a) + stop - at
+        at = stop
+
+
+def _run(
+    shard: Shard, before: int, a: int, b: int, keys: np.ndarray, row: np.ndarray, n_rows: np.ndarray, use: Callable, types: dict
+) -> dict[str, list]:
+    """The columns of the rows from ``a`` to ``b`` of a shard, read at once."""
+    starts = shard.starts[a : b + 1].astype(np.int64)
+    ids = np.frombuffer(shard.read(int(starts[0]), int(starts[-1])), shard.kind)
+    found = [use(ids[start:end]) for start, end in zip(starts[:-1] - starts[0], starts[1:] - starts[0], strict=True)]
+    # Rows of a shard are in the order of their keys.
+    own = np.flatnonzero(n_rows)
+    owner = keys[own[np.searchsorted(row[own], np.arange(a, b), "right") - 1]].tolist()
+    out = {
+        "doc_id": [None if key == NULL_ID else key for key in owner],
+        "start": (before + starts[:-1]).tolist(),
+        "n_tokens": np.diff(starts).tolist(),
+    }
+    return out | {name: [f[name] for f in found] for name in types if name not in out}
+
+
 def read_documents(
     store: TokenStore, keys: DataFrame, use: Callable[[np.ndarray], dict], schema: str, types: dict[str, pa.DataType]
 ) -> DataFrame:
@@ -253,16 +291,9 @@ def read_documents(
                     if opened is not None:
                         opened.close()
                     opened, number = Shard(address, known["path"][at]), at
-                out: dict[str, list] = {name: [] for name in types}
-                for key, row, count in zip(mine.tolist(), *map(np.ndarray.tolist, opened.find(mine)), strict=True):
-                    for start, end in zip(opened.starts[row : row + count], opened.starts[row + 1 :], strict=False):
-                        ids = np.frombuffer(opened.read(int(start), int(end)), opened.kind)
-                        out["doc_id"].append(None if key == NULL_ID else key)
-                        out["start"].append(int(known["before"][at]) + int(start))
-                        out["n_tokens"].append(len(ids))
-                        for name, value in use(ids).items():
-                            out[name].append(value)
-                yield record_batch(out, types)
+                row, n_rows = opened.find(mine)
+                for a, b in _runs(opened, row, n_rows):
+                    yield record_batch(_run(opened, int(known["before"][at]), a, b, mine, row, n_rows, use, types), types)
         if opened is not None:
             opened.close()
 

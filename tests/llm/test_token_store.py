@@ -10,7 +10,7 @@ from aliasmith.llm.vocabularies import WORD_PAIRS, vocabulary
 from aliasmith.llm.wordpieces import WordEncoder
 
 tokenizers = pytest.importorskip("tokenizers")
-PARTS = ["a", "The", "'s", "'", " ", "  ", "\n", "É", "日本", "😀", "12", "!!", "<|endoftext|>", "<|ENDOFTEXT|>", "\x1c", " ", "Σ", "İ", "é", ",", ".", ", ", "ﬁ"]
+PARTS = ["a", "The", "'s", "'", " ", "  ", "\n", "É", "日本", "😀", "12", "!!", "<|endoftext|>", "<|ENDOFTEXT|>", "\x1c", " ", "Σ", "İ", "é", ",", ".", ", ", "ﬁ", "\x0b", "\x0c", "word.", "Word,", "İ.", "ΑΣ.", "ΑΣ", "ΑΣ,x", "\u0958.", "\u0301", "q'll,", "\u2003", "\x85"]
 
 
 @pytest.fixture(scope="module")
@@ -57,6 +57,33 @@ def test_round_trip_of_awkward_documents(clashing, awkward_rows, library):
     assert sums == {(r.start, crc32(np.array(r.ids, "<u4").tobytes())) for r in rows}
 
 
+def test_a_store_is_read_in_runs(spark, monkeypatch):
+    """Neighbouring documents are one read, and a key with many rows is read in parts."""
+    from aliasmith.llm import token_store
+    from aliasmith.llm.token_store import Shard, _runs
+
+    rows = [(i, "one two three") for i in range(50)] + [(50, f"again {i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    store = write_tokens(docs, vocabulary(WORD_PAIRS))
+    shards = [Shard(store.address, r.path) for r in store.manifest.orderBy("partition", "shard").collect()]
+    for shard in shards:
+        keys = np.arange(51)
+        row, n_rows = shard.find(keys)
+        runs = list(_runs(shard, row, n_rows))
+        assert runs == [(0, len(shard.starts) - 1)]
+        monkeypatch.setattr(token_store, "_RUN_IDS", 9)
+        monkeypatch.setattr(token_store, "_ROWS", 7)
+        runs = list(_runs(shard, row, n_rows))
+        assert [a for a, _ in runs[1:]] == [b for _, b in runs[:-1]] and runs[-1][1] == len(shard.starts) - 1
+        assert all(b - a == 1 or shard.starts[b] - shard.starts[a] <= 9 for a, b in runs)
+        odd, n_odd = shard.find(keys[1::2])
+        assert sum(b - a for a, b in _runs(shard, odd, n_odd)) == n_odd.sum()
+        monkeypatch.undo()
+    assert sum(len(s.starts) - 1 for s in shards) == 90
+    found = stored_checksums(store, docs).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in found} == {**dict.fromkeys(range(50), 1), 50: 40}
+
+
 def test_unknown_keys_are_not_found(spark, clashing):
     store = write_tokens(clashing, vocabulary(WORD_PAIRS))
     keys = spark.createDataFrame([(1,), (-77,), (6,), (10**12,)], "doc_id bigint")
