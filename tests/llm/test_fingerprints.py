@@ -1,3 +1,4 @@
+import random
 from hashlib import sha256
 
 import pytest
@@ -17,6 +18,104 @@ def brute_likeness(one, two):
     return 1 - table[-1] / (len(one) + len(two))
 
 
+# The method once more, byte by byte, from its fixed values alone.
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+
+def slow_crc32(data):
+    value = 0xFFFFFFFF
+    for byte in data:
+        value ^= byte
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+    return value ^ 0xFFFFFFFF
+
+
+def slow_pieces(data, exponent):
+    """The window slides by one byte and ends a piece where its hash is small; the 64th piece takes the rest."""
+    window, pieces, piece = [0] * 8, [], b""
+    for byte in data:
+        window = [*window[1:], byte]
+        piece += bytes([byte])
+        rolled = sum(b << 8 * i for i, b in enumerate(window)) * 0x9E3779B97F4A7C15 % (1 << 64)
+        if rolled < 1 << (64 - exponent) and len(pieces) < 63:
+            pieces.append(piece)
+            piece = b""
+    return pieces + ([piece] if piece else [])
+
+
+def slow_signature(data, exponent, longest):
+    pieces = slow_pieces(data, exponent)
+    pieces = pieces if len(pieces) <= longest else [*pieces[: longest - 1], b"".join(pieces[longest - 1 :])]
+    return "".join(LETTERS[slow_crc32(p) % 64] for p in pieces)
+
+
+def slow_fingerprint(data):
+    if not data:
+        return "0::"
+    exponent = 0
+    while 64 << exponent < len(data):
+        exponent += 1
+    while exponent and len(slow_pieces(data, exponent)) < 32:
+        exponent -= 1
+    return f"{exponent}:{slow_signature(data, exponent, 64)}:{slow_signature(data, exponent + 1, 32)}"
+
+
+def slow_alike(one, two):
+    if one == two:
+        return 1.0
+    run = min(4, max(1, 2 * min(len(one), len(two)) // 3))
+    shared = any(one[i : i + run] in two for i in range(len(one) - run + 1))
+    if not one or not two or not shared:
+        return 0.0
+    table = list(range(len(two) + 1))
+    for i, a in enumerate(one, 1):
+        before, table[0] = table[0], i
+        for j, b in enumerate(two, 1):
+            before, table[j] = table[j], before if a == b else 1 + min(table[j], table[j - 1])
+    return 1 - table[-1] / (len(one) + len(two))
+
+
+def slow_likeness(one, two):
+    if one == two:
+        return 1.0
+    (size1, fine1, coarse1), (size2, fine2, coarse2) = one.split(":"), two.split(":")
+    at = {int(size1): fine1, int(size1) + 1: coarse1}
+    other = {int(size2): fine2, int(size2) + 1: coarse2}
+    return max([slow_alike(at[k], other[k]) for k in at if k in other], default=0.0)
+
+
+def slow_texts():
+    rng = random.Random(4)
+    texts = ["", "a", "é", "ab" * 40, "same " * 300, "x" * 3000, prose(4, 300), prose(4, 300) + " more", prose(4, 299)]
+    texts += ["".join(rng.choices("ab \né日", k=rng.randint(1, 900))) for _ in range(12)]
+    return texts + [prose(i, rng.randint(1, 200)) for i in range(8)]
+
+
+def test_fingerprints_equal_the_method_byte_by_byte():
+    texts = slow_texts()
+    prints = [fingerprint(t.encode()) for t in texts]
+    assert prints == [slow_fingerprint(t.encode()) for t in texts]
+    for one in prints:
+        for two in prints:
+            assert likeness(one, two) == pytest.approx(slow_likeness(one, two), abs=1e-12)
+
+
+def test_the_operator_equals_the_method_byte_by_byte(spark):
+    texts = slow_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    rows = {r.doc_id: r for r in fingerprints(docs).collect()}
+    assert len(rows) == len(texts)
+    for i, text in enumerate(texts):
+        following = texts[i - 1]
+        changed = (text[: len(text) - len(text) // 3] + following[: len(text) // 3]).encode()
+        own, other, after = slow_fingerprint(text.encode()), slow_fingerprint(changed), slow_fingerprint(following.encode())
+        assert (rows[i].n_chars, rows[i].edited_sha256) == (len(text), sha256(changed).hexdigest())
+        assert (rows[i].fingerprint, rows[i].edited_fingerprint) == (own, other)
+        wanted = (slow_likeness(own, other), slow_likeness(own, after))
+        assert (rows[i].near_edited, rows[i].near_next) == pytest.approx(wanted, abs=1e-12)
+
+
 def test_an_insertion_changes_few_pieces():
     text = prose(3, 400)
     changed = text[:700] + " something new " + text[700:]
