@@ -171,8 +171,8 @@ WITH split AS (
 placed AS (
   SELECT r, host, i, lines[i] AS line, trim(lines[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS plain
   FROM (SELECT r, host, lines, unnest(range(1, len(lines) + 1)) AS i FROM split)),
-totals AS (SELECT host, count(*) AS pages FROM split GROUP BY host HAVING count(*) >= 3),
-counts AS (SELECT host, plain, count(DISTINCT r) AS n FROM placed WHERE plain <> '' GROUP BY host, plain HAVING count(DISTINCT r) >= 3),
+totals AS (SELECT host, count(*) AS pages FROM split GROUP BY host),
+counts AS (SELECT host, plain, count(DISTINCT r) AS n FROM placed WHERE plain <> '' GROUP BY host, plain),
 frequent AS (
   SELECT c.host, c.plain FROM counts c JOIN totals t ON c.host IS NOT DISTINCT FROM t.host WHERE n > pages * 0.1::DOUBLE),
 kept AS (

@@ -6,8 +6,8 @@ host. Counting is combined before it is shuffled; the join with the pages deals
 out over ``SPLITS`` tasks.
 
 Defined results: a null text is one empty line; a null host is a host of its own; rows that repeat
-are pages of their own; empty lines are kept and not counted; hosts of few pages lose no line;
-an empty table gives an empty result; other columns are not read.
+are pages of their own; empty lines are kept and not counted; a host of fewer pages than
+one by the ratio loses every line, unless ``fewest_pages`` is raised; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from aliasmith.llm.words import BLANKS
 from aliasmith.session import stored
 
 RATIO = 0.1
-FEWEST_PAGES = 3
+# Pages that must hold a line, and that a host must have; 1 leaves the ratio alone to decide.
+FEWEST_PAGES = 1
 SPLITS = 16
 # Tags that end a line of a page.
 LINE_END = r"(</(?:p|div|li|ul|nav|article|head|title|style|script|h[1-6])>|<br>)"

@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from aliasmith.llm.words import lower_ascii
 from aliasmith.session import stored
 
-MAX_DEPTH = 6
 MANY_KINDS = 12
 KINDS_PER_PAGE = 0.1
 SIMILAR_BELOW = 1.96
@@ -88,13 +87,6 @@ def whole_path(path: Column) -> Column:
     return F.transform(plain, lambda s: F.regexp_replace(s, "[0-9]+", "#"))
 
 
-def segments(path: Column) -> Column:
-    """The first ``MAX_DEPTH`` segments of a path and ``**`` for deeper ones; for looks at the data, not for verdicts."""
-    general = whole_path(path)
-    deep = F.when(F.size(general) > MAX_DEPTH, F.array(F.lit("**"))).otherwise(F.array().cast("array<string>"))
-    return F.concat(F.slice(general, 1, MAX_DEPTH), deep)
-
-
 def _starred(depth: int) -> Column:
     """The template with the segment at a depth replaced by the wildcard."""
     return F.transform("template", lambda s, i: F.when(i == depth, WILDCARD).otherwise(s))

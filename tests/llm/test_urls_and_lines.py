@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aliasmith.llm.site_lines import page_text, without_boilerplate
-from aliasmith.llm.url_templates import RULES, best_rule, host_and_path, judged, segments, templates
+from aliasmith.llm.url_templates import RULES, best_rule, host_and_path, judged, templates, whole_path
 
 URLS = [
     "https://Example.ORG/es/1",
@@ -50,10 +50,10 @@ def test_hosts_paths_and_rules(spark):
         assert ((row.best.rule, row.best.verdict) if row.best else (None, None)) == rule_of(row.host, row.path)
 
 
-def test_segments(spark):
+def test_paths_are_whole(spark):
     df = spark.createDataFrame([("/a/12/b3.html",), ("",), ("//",), ("/1/2/3/4/5/6/7/8",)], "path string")
-    found = [r[0] for r in df.select(segments(F.col("path"))).collect()]
-    assert found == [["a", "#", "b#.html"], [], [], ["#"] * 6 + ["**"]]
+    found = [r[0] for r in df.select(whole_path(F.col("path"))).collect()]
+    assert found == [["a", "#", "b#.html"], [], [], ["#"] * 8]
 
 
 def test_many_kinds_become_a_wildcard_and_unlike_branches_stay(spark):
@@ -110,14 +110,14 @@ def brute_lines(rows, ratio, fewest):
     return out
 
 
-@pytest.mark.parametrize("ratio", [0.1, 0.5])
-def test_lines_equal_the_brute_force(spark, ratio):
+@pytest.mark.parametrize(("ratio", "fewest"), [(0.1, 1), (0.1, 3), (0.5, 2)])
+def test_lines_equal_the_brute_force(spark, ratio, fewest):
     rows = [(i, "hot" if i % 3 else f"h{i % 5}", f"menu {i % 4}\n\n  body {i}\nbody {i}\n{'footer' if i % 2 else ' footer '}") for i in range(120)]
     rows += [(500, None, "menu 0\nx"), (501, None, "menu 0\ny"), (502, None, "menu 0"), (503, "hot", None), (504, "hot", ""), (1, "hot", "menu 1\n" * 3000)]
     rows += [(600, "tiny", "same"), (601, "tiny", "same")]
     pages = spark.createDataFrame([(*r, "own") for r in rows], "page_id bigint, host string, text string, lines string").repartition(6)
-    found = without_boilerplate(pages, ratio, 3).collect()
-    assert sorted(map(str, map(tuple, found))) == sorted(map(str, brute_lines(rows, ratio, 3)))
+    found = without_boilerplate(pages, ratio, fewest).collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, brute_lines(rows, ratio, fewest)))
 
 
 def test_page_text_ends_lines_after_blocks(spark):
