@@ -68,6 +68,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[counted(F.col("base"), kind).alias(f"n_{kind}") for kind in KINDS],
         F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
         listed(F.concat("base", "added")).alias("spans"),
+        F.size(F.concat("base", "added")).cast("bigint").alias("n_spans"),
     )
 
 
