@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -13,11 +15,11 @@ PREFIX_LENGTH = 4
 BOOST_ABOVE = 0.7
 
 # Code points beyond Unicode, so padding never equals a character or other padding.
-_PAD_LEFT, _PAD_RIGHT = 0x110000, 0x110001
+PAD_LEFT, PAD_RIGHT = 0x110000, 0x110001
 _CELLS_PER_SLICE = 4_000_000
 
 
-def _matrix(texts: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
+def text_matrix(texts: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
     fixed = texts.astype(str)
     width = max(fixed.dtype.itemsize // 4, 1)
     lengths = np.char.str_len(fixed)
@@ -32,8 +34,8 @@ def _matched_first(chars: np.ndarray, matched: np.ndarray) -> np.ndarray:
 
 
 def _score_slice(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    a, len_a = _matrix(left, _PAD_LEFT)
-    b, len_b = _matrix(right, _PAD_RIGHT)
+    a, len_a = text_matrix(left, PAD_LEFT)
+    b, len_b = text_matrix(right, PAD_RIGHT)
     rows = np.arange(len(a))
     reach = np.maximum(np.maximum(len_a, len_b) // 2 - 1, 0)
     widest = int(reach.max())
@@ -62,8 +64,8 @@ def _score_slice(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.where(jaro > BOOST_ABOVE, jaro + prefix * PREFIX_WEIGHT * (1.0 - jaro), jaro)
 
 
-def jaro_winkler_scores(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Scores of aligned texts; null on either side gives null."""
+def scores_of(left: pd.Series, right: pd.Series, score: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> pd.Series:
+    """``score`` of aligned texts; null on either side gives null."""
     known = (left.notna() & right.notna()).to_numpy()
     result = np.full(len(left), np.nan)
     pairs = pd.DataFrame({"a": left.to_numpy()[known], "b": right.to_numpy()[known]})
@@ -82,12 +84,16 @@ def jaro_winkler_scores(left: pd.Series, right: pd.Series) -> pd.Series:
             while stop > start + 1 and (stop - start) * int(size[order[stop - 1]]) > 2 * _CELLS_PER_SLICE:
                 stop = start + (stop - start) // 2
             part = order[start:stop]
-            scores[part] = _score_slice(a[part], b[part])
+            scores[part] = score(a[part], b[part])
             start = stop
         result[known] = scores[which]
     return pd.Series(result).where(pd.Series(known), None).astype("Float64")
 
 
+def jaro_winkler_scores(left: pd.Series, right: pd.Series) -> pd.Series:
+    return scores_of(left, right, _score_slice)
+
+
 @F.pandas_udf(T.DoubleType())
 def jaro_winkler(left: pd.Series, right: pd.Series) -> pd.Series:
     return jaro_winkler_scores(left, right)

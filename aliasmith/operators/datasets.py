@@ -13,6 +13,8 @@ from aliasmith.operators.ranking import exact_quantiles
 
 FEATURES_COLUMN = "features"
 LABEL_COLUMN = "label"
+# Values kept at the top level of a sketch: a rank is then off by less than 0.002 with 99 percent chance.
+SKETCH_SIZE = 4096
 
 
 def assemble_features(
@@ -47,9 +49,60 @@ def discretize(df: DataFrame, column: str, output: str, n_bins: int, relative_er
     return binner.fit(df).transform(df)
 
 
+def quantile_sketches(df: DataFrame, column: str, keys: Sequence[str] = (), size: int = SKETCH_SIZE) -> DataFrame:
+    """``(*keys, sketch)``: a KLL sketch of the values of each group, made in tasks and merged.
+
+    Sketches are binary values of a few times ``size`` numbers. They can be stored, and merged
+    with those of later rows. Rows whose value is missing or NaN are skipped.
+    """
+    value = F.col(column).cast("double")
+    usable = df.where(value.isNotNull() & ~F.isnan(value))
+    return usable.groupBy(*keys).agg(F.kll_sketch_agg_double(value, F.lit(size)).alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, probabilities: Sequence[float]) -> list[float]:
+    """Quantiles of all rows behind stored sketches, which are merged; none where there are no rows."""
+    merged = sketches.agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+    merged = merged.where(F.col("sketch").isNotNull() & (F.kll_sketch_get_n_double("sketch") > 0))
+    ranks = F.array(*[F.lit(float(p)) for p in probabilities])
+    rows = merged.select(F.kll_sketch_get_quantile_double("sketch", ranks)).collect()
+    return list(rows[0][0]) if rows else []
+
+
+def discretize_by_sketch(df: DataFrame, sketches: DataFrame, column: str, output: str, n_bins: int) -> DataFrame:
+    """Bins of about equal size bounded by the quantiles of stored sketches; rows as in ``discretize_exact``."""
+    return _binned(df, column, output, sketch_quantiles(sketches, [i / n_bins for i in range(1, n_bins)]))
+
+
+def rank_errors(df: DataFrame, column: str, edges: Sequence[float], probabilities: Sequence[float]) -> DataFrame:
+    """``(probability, edge, n, error)``: how far each edge is from its place among all values, as a share of them.
+
+    A value that repeats has all places from its first to its last; the error is to the nearest.
+    """
+    value = F.col(column).cast("double")
+    usable = df.where(value.isNotNull() & ~F.isnan(value))
+    counts = [
+        F.struct(
+            F.lit(float(p)).alias("probability"),
+            F.lit(float(edge)).alias("edge"),
+            F.count_if(value < edge).alias("below"),
+            F.count_if(value <= edge).alias("upto"),
+        )
+        for p, edge in zip(probabilities, edges, strict=True)
+    ]
+    rows = usable.agg(F.count("*").alias("n"), F.array(*counts).alias("edges")).select("n", F.inline("edges"))
+    place = F.col("probability") * F.col("n")
+    error = F.greatest(F.col("below") - place, place - F.col("upto"), F.lit(0.0)) / F.col("n")
+    return rows.select("probability", "edge", "n", error.alias("error"))
+
+
 def discretize_exact(df: DataFrame, column: str, output: str, n_bins: int) -> DataFrame:
     """Bins bounded by exact quantiles; rows whose value is missing or NaN are skipped, infinite ones are not."""
-    inner = sorted(set(exact_quantiles(df, column, [i / n_bins for i in range(1, n_bins)])))
+    return _binned(df, column, output, exact_quantiles(df, column, [i / n_bins for i in range(1, n_bins)]))
+
+
+def _binned(df: DataFrame, column: str, output: str, edges: Iterable[float]) -> DataFrame:
+    inner = sorted(set(edges))
     value = F.col(column).cast("double")
     reached = F.filter(F.array(*map(F.lit, inner)).cast("array<double>"), lambda edge: edge <= value)
     kept = df.where(value.isNotNull() & ~F.isnan(value))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aliasmith.functions.binding import explode_if
-from aliasmith.functions.hashing import seeded_hash
+from aliasmith.functions.hashing import HASH_DIGITS, seeded_hash
 from aliasmith.functions.ngrams import dice
 from aliasmith.functions.text import (
     FALSE_MARK,
@@ -19,11 +20,17 @@ from aliasmith.functions.text import (
 )
 from aliasmith.operators.filters import BAND_BOUNDS, similarity_band
 from aliasmith.operators.profiles import pair_features
+from aliasmith.operators.ranking import running_totals
 from aliasmith.operators.sampling import seeded_sample
 from aliasmith.operators.simjoin import gram_order, ordered_grams, similar_texts
 from aliasmith.operators.skew import top_n_per_group
 from aliasmith.session import cut_lineage
 
+# Rounds after which a Feistel network of a random function is a pseudorandom permutation (Luby and Rackoff).
+FEISTEL_ROUNDS = 4
+# Places of the first round for each pair that a band asks for.
+PLACES_PER_PAIR = 64
+
 
 @dataclass(frozen=True)
 class NameTable:
@@ -58,17 +65,41 @@ def true_pairs(aliases: DataFrame | NameTable, min_similarity: float) -> DataFra
     return found.where(F.col("similarity") >= min_similarity).select("string1", "string2", "similarity").distinct()
 
 
-def random_pairs(names: DataFrame, n_names: int, round_: int, seed: int) -> DataFrame:
-    """Random pairs of names: names meet in hashed slots, of about two names in round 0.
+def _half_bits(n_pairs: int) -> int:
+    """Bits of each half of a place: the fewest that make at least as many places as pairs."""
+    return max(((max(n_pairs, 1) - 1).bit_length() + 1) // 2, 1)
+
+
+def _permuted(place: Column, half: int, seed: int) -> Column:
+    """A keyed permutation of the numbers of ``2 * half`` bits: a Feistel network of md5 rounds."""
+    mask = F.lit((1 << half) - 1).cast("bigint")
+    halves = F.struct(F.shiftright(place, half).alias("left"), place.bitwiseAND(mask).alias("right"))
+
+    def mix(held: Column, turn: Column) -> Column:
+        digest = F.md5(F.concat(held["right"].cast("string"), F.lit("|"), turn))
+        bits = F.conv(F.substring(digest, 1, HASH_DIGITS), 16, 10).cast("bigint").bitwiseAND(mask)
+        return F.struct(held["right"].alias("left"), held["left"].bitwiseXOR(bits).alias("right"))
+
+    turns = F.array(*[F.lit(f"{seed}mix{turn}") for turn in range(FEISTEL_ROUNDS)])
+    return F.aggregate(turns, halves, mix, lambda held: F.shiftleft(held["left"], half) + held["right"])
+
 
-    Slots hold twice as many names in each further round, so that the last round, with one slot,
-    forms all pairs.
+def random_pairs(names: DataFrame, n_names: int, start: int, stop: int, seed: int) -> DataFrame:
+    """The pairs at the places ``start`` to ``stop`` of a random order of all pairs of different names.
+
+    ``names`` has a ``row``, numbers from 0 without gaps. Pair ``p`` is row ``p % n`` and the one ``p
+    div n + 1`` rows after it, round the table, which gives each pair once. A keyed permutation deals
+    pairs to places, so that draws of different places are disjoint and together form all pairs, by
+    equi joins on row numbers. There are up to four times as many places as pairs; ``turn`` is a
+    pair's place.
     """
-    n_slots = max(n_names >> (round_ + 1), 1)
-    placed = names.withColumn("_slot", seeded_hash(["name"], seed + round_) % n_slots)
-    one = placed.withColumnsRenamed({c: f"{c}1" for c in names.columns})
-    two = placed.withColumnsRenamed({c: f"{c}2" for c in names.columns})
-    return one.join(two, "_slot").where(F.col("name1") < F.col("name2")).drop("_slot")
+    n_pairs, n_rows = n_names * (n_names - 1) // 2, max(n_names, 1)
+    pair = explode_if(_permuted(F.col("id"), _half_bits(n_pairs), seed), lambda p: p < n_pairs)
+    drawn = names.sparkSession.range(start, stop).select(F.col("id").alias("turn"), pair.alias("_pair"))
+    rows = drawn.selectExpr("turn", f"_pair % {n_rows} AS row1", f"(_pair % {n_rows} + _pair div {n_rows} + 1) % {n_rows} AS row2")
+    one = names.withColumnsRenamed({c: f"{c}1" for c in names.columns})
+    two = names.withColumnsRenamed({c: f"{c}2" for c in names.columns})
+    return rows.join(one, "row1").join(two, "row2").drop("row1", "row2")
 
 
 def false_pairs(
@@ -77,7 +108,7 @@ def false_pairs(
     """``n_pairs / 3`` pairs of names of different entities from each similarity band.
 
     ``sample_size`` first draws that many entities. Pairs come in turns. In the lower bands these
-    are rounds of random pairs, each with more pairs than the one before; similar names are
+    are places of a random order of all pairs; similar names are
     too rare for that, so in the top band they are names in random order with all their
     partners, found by an exact similarity join. Turns are added until every band is full
     or all pairs have been looked at, and a band holds the pairs of its earliest turns, so the
@@ -112,21 +143,30 @@ def _banded(pairs: DataFrame, turn: Column) -> DataFrame:
 
 
 def _unlike(names: DataFrame, n_names: int, per_band: int, seed: int) -> DataFrame:
-    """Pairs of the lower bands with the first round that formed them."""
-    top, lower = BAND_BOUNDS[-2], len(BAND_BOUNDS) - 2
+    """The first pairs of the lower bands in a random order of all pairs, at least ``per_band`` of each if there are.
+
+    Each round draws four times as many places as the one before, and keeps the bands not yet full.
+    """
+    top = BAND_BOUNDS[-2]
     similarity = explode_if(dice(F.col("grams1"), F.col("grams2")), lambda s: s < top).alias("similarity")
-    found, round_ = None, 0
-    while True:
-        pairs = random_pairs(names, n_names, round_, seed).where(_apart()).select("name1", "name2", similarity)
-        drawn = _banded(pairs, F.lit(round_))
-        if found is not None:
-            keys = ["string1", "string2", "similarity", "band"]
-            drawn = found.unionByName(drawn).groupBy(*keys).agg(F.min("turn").alias("turn"))
-        found = cut_lineage(drawn)
-        full = found.groupBy("band").count().where(F.col("count") >= per_band).count()
-        if full == lower or n_names >> (round_ + 1) <= 1:
-            return found
-        round_ += 1
+    ranked = running_totals(names.withColumn("_one", F.lit(1)), "name", ["_one"])
+    numbered = cut_lineage(ranked.select(*names.columns, (F.col("_one_upto") - 1).alias("row")))
+    places = 1 << 2 * _half_bits(n_names * (n_names - 1) // 2)
+    missing = {band: per_band for band in range(1, len(BAND_BOUNDS) - 1)}
+    rounds: list[DataFrame] = []
+    start, stop = 0, min(max(PLACES_PER_PAIR * per_band, 1), places)
+    while start < places and (not rounds or missing):
+        one, two = F.col("name1"), F.col("name2")
+        pairs = random_pairs(numbered, n_names, start, stop, seed).where(_apart()).select(
+            F.least(one, two).alias("name1"), F.greatest(one, two).alias("name2"), similarity, "turn"
+        )
+        drawn = _banded(pairs, F.col("turn"))
+        rounds.append(cut_lineage(drawn.where(F.col("band").isin(list(missing)))))
+        for band, found in rounds[-1].groupBy("band").count().collect():
+            missing[band] -= found
+        missing = {band: count for band, count in missing.items() if count > 0}
+        start, stop = stop, min(stop + 4 * (stop - start), places)
+    return reduce(DataFrame.unionByName, rounds)
 
 
 def _alike(names: DataFrame, n_names: int, per_band: int, seed: int) -> DataFrame:

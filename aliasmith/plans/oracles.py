@@ -6,6 +6,8 @@ from aliasmith.operators.stopwords import SHORT_WORDS
 from aliasmith.plans.queries import ASKED, FALSE_PAIRS, SAMPLE_SIZE, SEED, STOPWORDS, TRUE_PAIR_SIMILARITY
 from aliasmith.plans.tables import LONG_FORM, LOW_QUALITY, PAGE_LANGUAGE
 
+# Places of random pairs that the SQL looks at.
+PLACES = 400_000
 MENTION = r"[a-z]+, ?[a-z]+|\| [a-z]+"
 
 
@@ -101,18 +103,28 @@ true_pairs AS (
   JOIN gram ga ON ga.name = a.name JOIN gram gb ON gb.name = b.name
   WHERE {dice('ga.g', 'gb.g')} >= {TRUE_PAIR_SIMILARITY}e0)"""
 
-# Four rounds and all names as anchors: a band holds the pairs of its earliest turns, so
-# more turns than the operator makes change nothing.
+# The first places, far more than needed, and all names as anchors: a band holds the pairs of its
+# earliest turns, so more turns than the operator makes change nothing.
 FALSE_PAIRS_SQL = f"""
 owned AS (SELECT name, min(uid) AS low, max(uid) AS high FROM held GROUP BY name),
-placed AS (
-  {' UNION ALL '.join(
-      f"SELECT name, low, high, {r} AS round, {draw('name', SEED + r)} "
-      f"% greatest((SELECT count(*) FROM owned) >> {r + 1}, 1) AS slot FROM owned" for r in range(4))}),
+numbered AS (SELECT *, row_number() OVER (ORDER BY name) - 1 AS row FROM owned),
+extent AS (SELECT count(*)::BIGINT AS n, (count(*) * (count(*) - 1) // 2)::BIGINT AS n_pairs FROM owned),
+network AS (
+  SELECT n, n_pairs, (SELECT min(h) FROM range(1, 31) t(h) WHERE (1::BIGINT << (2 * h)::INT) >= n_pairs)::INT AS half FROM extent),
+mix0 AS (
+  SELECT turn, n, n_pairs, half, (turn >> half)::BIGINT AS l, (turn & ((1::BIGINT << half) - 1))::BIGINT AS r
+  FROM network, range(0, {PLACES}) t(turn) WHERE turn < (1::BIGINT << (2 * half))),
+{','.join(f"""
+mix{k + 1} AS (
+  SELECT turn, n, n_pairs, half, r AS l, xor(l, ({draw('r', f'{SEED}mix{k}')}) & ((1::BIGINT << half) - 1)) AS r FROM mix{k})"""
+  for k in range(4))},
+pair_rows AS (
+  SELECT turn, p % n AS row1, (p % n + p // n + 1) % n AS row2
+  FROM (SELECT turn, n, n_pairs, (l << half) + r AS p FROM mix4) WHERE p < n_pairs),
 drawn AS (
-  SELECT a.name AS string1, b.name AS string2, min(a.round) AS turn
-  FROM placed a JOIN placed b ON a.round = b.round AND a.slot = b.slot AND a.name < b.name
-  WHERE NOT (a.low = a.high AND b.low = b.high AND a.low = b.low) GROUP BY 1, 2),
+  SELECT least(a.name, b.name) AS string1, greatest(a.name, b.name) AS string2, turn
+  FROM pair_rows JOIN numbered a ON a.row = row1 JOIN numbered b ON b.row = row2
+  WHERE NOT (a.low = a.high AND b.low = b.high AND a.low = b.low)),
 scored AS (
   SELECT string1, string2, {dice('ga.g', 'gb.g')} AS similarity, turn::BIGINT AS turn
   FROM drawn JOIN gram ga ON ga.name = string1 JOIN gram gb ON gb.name = string2
@@ -338,6 +350,21 @@ def all_oracles() -> dict[str, str]:
         # Similarities
         "ngram_similarity_pairs": pair_score.format(dice(grams(strip("string1")), grams(strip("string2")))),
         "jaro_winkler_pairs": pair_score.format("jaro_winkler_similarity(string1, string2)"),
+        "ngram_alignment_pairs": f"""WITH RECURSIVE {PAIRS},
+            steps AS (
+              SELECT string1, string2, 0 AS i, list_transform(range(0, len(string2) + 1), lambda j: 0) AS best FROM pairs
+              UNION ALL
+              SELECT string1, string2, i + 1, list_transform(range(0, len(string2) + 1),
+                lambda j: CASE WHEN j = 0 THEN 0 ELSE list_max(gained[1:j]) END)
+              FROM (
+                SELECT *, list_transform(range(1, len(string2) + 1), lambda j: greatest(best[j + 1], best[j]
+                  + (substr(string1, i + 1, 1) = substr(string2, j, 1))::INT
+                  + CASE WHEN i = 0 AND j = 1 THEN (substr(string1, 1, 1) = substr(string2, 1, 1))::INT
+                    WHEN i = 0 OR j = 1 THEN 0
+                    ELSE (substr(string1, i, 1) = substr(string2, j - 1, 1))::INT END)) AS gained
+                FROM steps WHERE i < len(string1)))
+            SELECT string1, string2, round(best[len(string2) + 1] / (2e0 * greatest(len(string1), len(string2))), 6) AS similarity
+            FROM steps WHERE i = len(string1)""",
         "levenshtein_pairs": pair_score.format(
             "1e0 - levenshtein(string1, string2) / greatest(len(string1), len(string2))::DOUBLE"
         ),
@@ -390,6 +417,9 @@ def all_oracles() -> dict[str, str]:
             SELECT l_orderkey, l_linenumber, l_quantity,
               CASE WHEN l_quantity < 10 THEN 0e0 WHEN l_quantity < 20 THEN 1e0 ELSE 2e0 END AS bin
             FROM lineitem WHERE l_quantity >= 0 AND l_quantity <= 45""",
+        "sketch_bins": """
+            SELECT unnest([0.1e0, 0.2e0, 0.3e0, 0.4e0, 0.5e0, 0.6e0, 0.7e0, 0.8e0, 0.9e0]) AS probability, n, true AS within
+            FROM (SELECT count(l_extendedprice) AS n FROM lineitem)""",
         # Metrics
         "auc_hard_labels": f"""WITH {SCORED}
             SELECT round((avg((prediction = 1)::INT) FILTER (label = 1)

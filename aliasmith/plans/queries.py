@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aliasmith.functions import text
+from aliasmith.functions.alignment import ngram_alignment
 from aliasmith.functions.jaro import jaro_winkler
 from aliasmith.functions.ngrams import dice, ngram_similarity, skip_grams
 from aliasmith.functions.phonetic import double_metaphone, phonetic_similarity
@@ -43,6 +44,7 @@ ACCEPT_PROBABILITY = 0.9
 FALSE_PAIRS = 600
 SAMPLE_SIZE = 100
 STOPWORDS = 20
+SKETCH_ERROR = 0.005
 ASKED = ("ofthe,and", "en")
 PAIR_KEY = ["string1", "string2"]
 EVENT_MESSAGE = "event_id bigint, who struct<user_id: bigint, event_type: string>, what struct<value: double>"
@@ -322,6 +324,11 @@ def jaro_winkler_pairs(spark, sf_dir):
     return _pair_query(spark, sf_dir, similarity=jaro_winkler(F.col("string1"), F.col("string2")))
 
 
+@query
+def ngram_alignment_pairs(spark, sf_dir):
+    return _pair_query(spark, sf_dir, similarity=ngram_alignment(F.col("string1"), F.col("string2")))
+
+
 @query
 def levenshtein_pairs(spark, sf_dir):
     return _pair_query(spark, sf_dir, similarity=levenshtein_similarity(F.col("string1"), F.col("string2")))
@@ -459,6 +466,17 @@ def approximate_bins(spark, sf_dir):
     return datasets.discretize(lines, "l_extendedprice", "bin", 10)
 
 
+@query
+def sketch_bins(spark, sf_dir):
+    """Edges of bins from stored sketches of each return flag, and whether their ranks are as exact as promised."""
+    lines = tables.table(spark, sf_dir, "lineitem")
+    sketches = cut_lineage(datasets.quantile_sketches(lines, "l_extendedprice", ["l_returnflag"]))
+    shares = [i / 10 for i in range(1, 10)]
+    edges = datasets.sketch_quantiles(sketches, shares)
+    errors = datasets.rank_errors(lines, "l_extendedprice", edges, shares)
+    return errors.select("probability", "n", (F.col("error") <= SKETCH_ERROR).alias("within"))
+
+
 # Metrics
 
 

@@ -108,3 +108,33 @@ def test_training_features_drop_incomplete_pairs(spark):
     expected = 0.3 * brute.jaro_winkler("john", "jon") + 0.7 * brute.jaro_winkler("smith", "smyth")
     assert row.jaro_winkler == pytest.approx(expected)
     assert row.phonetic == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 40, 41])
+def test_places_hold_every_pair_once_and_draws_are_disjoint(spark, n):
+    names = spark.createDataFrame([(f"n{i:02d}", i) for i in range(n)], "name string, row bigint")
+    places = 1 << 2 * pairs._half_bits(n * (n - 1) // 2)
+    cut = places // 3
+    drawn = [
+        [(r.turn, tuple(sorted((r.name1, r.name2)))) for r in pairs.random_pairs(names, n, a, b, 42).collect()]
+        for a, b in ((0, cut), (cut, places))
+    ]
+    assert all(turn < cut for turn, _ in drawn[0]) and all(turn >= cut for turn, _ in drawn[1])
+    found = [pair for part in drawn for _, pair in part]
+    assert Counter(found) == Counter(tuple(sorted(p)) for p in combinations([f"n{i:02d}" for i in range(n)], 2))
+    assert len({turn for part in drawn for turn, _ in part}) == len(found)
+
+
+def test_a_permutation_of_large_numbers_keeps_them_apart(spark):
+    half = 31
+    numbers = spark.range((1 << 62) - 5000, 1 << 62).union(spark.range(5000))
+    mixed = [r[0] for r in numbers.select(pairs._permuted(numbers.id, half, 1)).collect()]
+    assert len(set(mixed)) == 10_000 and all(0 <= m < 1 << 62 for m in mixed)
+    other = [r[0] for r in numbers.select(pairs._permuted(numbers.id, half, 2)).collect()]
+    assert len(set(mixed) & set(other)) == 0
+
+
+def test_random_pairs_join_on_row_numbers_only(spark):
+    names = spark.createDataFrame([(f"n{i}", i) for i in range(50)], "name string, row bigint")
+    plan = pairs.random_pairs(names, 50, 0, 100, 42)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan and plan.count("Join") == 2
