@@ -1,4 +1,7 @@
-"""Message queues: everything after the connector works on a string column ``value``."""
+"""Message queues: everything after the connector works on a string column ``value``.
+
+``source`` names the connector: the queue's own, or ``record_log``, a queue in a shared folder.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +14,10 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
 from aliasmith.operators.projections import flatten_struct
+from aliasmith.sources import record_log
 
+# Fixed value: the name of the queue's connector.
+QUEUE = "kafka"
 
 # Client settings that the connector sets itself and refuses.
 _REFUSED = (
@@ -45,17 +51,32 @@ def offset_ranges(topic: str, until: Iterable[tuple[int, int]]) -> dict[str, str
     return {"assign": assigned, "startingOffsets": json.dumps({topic: starts}), "endingOffsets": json.dumps({topic: ends})}
 
 
+def _connector(spark: SparkSession, source: str) -> str:
+    if source == record_log.SOURCE:
+        spark.dataSource.register(record_log.RecordLog)
+    return source
+
+
 def read_messages(
-    spark: SparkSession, topic: str, until: Iterable[tuple[int, int]], params: Mapping[str, object]
+    spark: SparkSession,
+    topic: str,
+    until: Iterable[tuple[int, int]],
+    params: Mapping[str, object],
+    source: str = QUEUE,
 ) -> DataFrame:
-    reader = spark.read.format("kafka").options(**connector_options(params), **offset_ranges(topic, until))
+    reader = spark.read.format(_connector(spark, source)).options(**connector_options(params), **offset_ranges(topic, until))
     return message_text(reader.load())
 
 
 def stream_messages(
-    spark: SparkSession, topic: str, params: Mapping[str, object], max_per_batch: int | None = None
+    spark: SparkSession,
+    topic: str,
+    params: Mapping[str, object],
+    max_per_batch: int | None = None,
+    source: str = QUEUE,
 ) -> DataFrame:
-    reader = spark.readStream.format("kafka").options(**connector_options(params), **starting_offsets(params))
+    reader = spark.readStream.format(_connector(spark, source))
+    reader = reader.options(**connector_options(params), **starting_offsets(params))
     reader = reader.option("subscribe", topic)
     if max_per_batch is not None:
         reader = reader.option("maxOffsetsPerTrigger", max_per_batch)
@@ -72,11 +93,14 @@ def json_values(messages: DataFrame, schema: StructType, column: str = "value")
     return flatten_struct(parsed)
 
 
-def write_messages(lines: DataFrame, topic: str, params: Mapping[str, object]) -> None:
-    writer = lines.select("value").write.format("kafka").options(**connector_options(params))
-    writer.option("topic", topic).save()
+def write_messages(lines: DataFrame, topic: str, params: Mapping[str, object], source: str = QUEUE) -> None:
+    writer = lines.select("value").write.format(_connector(lines.sparkSession, source)).mode("append")
+    writer.options(**connector_options(params)).option("topic", topic).save()
 
 
-def stream_to_topic(lines: DataFrame, topic: str, params: Mapping[str, object], checkpoint: str) -> DataStreamWriter:
-    writer = lines.select("value").writeStream.format("kafka").options(**connector_options(params))
+def stream_to_topic(
+    lines: DataFrame, topic: str, params: Mapping[str, object], checkpoint: str, source: str = QUEUE
+) -> DataStreamWriter:
+    writer = lines.select("value").writeStream.format(_connector(lines.sparkSession, source))
+    writer = writer.options(**connector_options(params))
     return writer.option("topic", topic).option("checkpointLocation", checkpoint)
