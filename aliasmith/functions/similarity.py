@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 # Weights of the two name parts.
 FIRST_WEIGHT = 0.3
 LAST_WEIGHT = 0.7
+# The most that the phonetic similarity of two names can be if no codes of their last names agree:
+# such words have half the similarity of their codes. The slack is for rounding.
+UNLIKE_PHONETIC = FIRST_WEIGHT + LAST_WEIGHT * 0.5 + 1e-9
 
 
 def full_name(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from aliasmith.functions.binding import explode_if
 from aliasmith.functions.ngrams import dice
+from aliasmith.functions.phonetic import double_metaphone
 from aliasmith.functions.similarity import FIRST_WEIGHT, LAST_WEIGHT, full_name
 from aliasmith.functions.text import first_name, last_name
 from aliasmith.operators.datasets import assemble_features
@@ -140,6 +141,29 @@ def _similar_in_blocks(asked: DataFrame, index: NameIndex, min_similarity: float
     return scored.where(F.col("similarity") >= min_similarity).select("string1", "string2", BLOCK, "similarity")
 
 
+def _code_keys(table: DataFrame, side: int) -> DataFrame:
+    """One row per phonetic code of the last name; ``_codes`` holds them all."""
+    codes = cut_lineage(table.select("last").distinct().withColumn("_code", double_metaphone(F.col("last"))))
+    both = F.array_compact(F.array("_code.primary", "_code.alternate"))
+    keys = codes.select("last", F.array_distinct(both).alias(f"_codes{side}"))
+    placed = table.join(keys, "last").select("name", BLOCK, f"_codes{side}", F.explode(f"_codes{side}").alias("_key"))
+    return placed.withColumnRenamed("name", f"string{side}")
+
+
+def like_sounding_names(queries: DataFrame, index: NameIndex) -> DataFrame:
+    """Distinct ``string1, string2, citizenship`` of a block whose last names share a phonetic code.
+
+    For all other pairs the last names' phonetic similarity is at most 0.5, and that of the full
+    names at most ``UNLIKE_PHONETIC``.
+    """
+    asked = _with_parts(valid_names(queries).select("name", BLOCK).distinct())
+    one, two = _code_keys(asked, 1), _code_keys(index.names.select("name", BLOCK, "last"), 2)
+    met = salted_join(two, one, [BLOCK, "_key"])
+    # A pair meets once per shared code; it is kept at the least.
+    at_least = F.array_min(F.array_intersect("_codes1", "_codes2")) == F.col("_key")
+    return met.where(at_least).select("string1", "string2", BLOCK)
+
+
 def match_by_rule(queries: DataFrame, index: NameIndex, min_similarity: float = MATCH_THRESHOLD) -> DataFrame:
     """Matches by weighted n-gram similarity: string1, string2, uid, citizenship, similarity."""
     pairs = similar_names(queries, index, min_similarity)
@@ -153,17 +177,24 @@ def match_by_model(
     model: PipelineModel,
     ngram_floor: float = 0.0,
     features: Sequence[str] = FEATURES,
+    unlike_floor: float = 0.0,
 ) -> DataFrame:
     """Matches by a trained model: string1, string2, uid, citizenship.
 
     The model sees one row per distinct pair of names in a block. ``ngram_floor`` is a
     proven lower bound of the n-gram feature of any pair the model accepts (see
     ``models.ngram_floor``): pairs below it are rejected without being formed.
+    ``unlike_floor`` bounds it for pairs whose last names share no phonetic code: a model that only
+    has this bound is asked about the pairs that share one and those above the bound. With
+    neither, whole blocks are compared.
     ``features`` are those the model was trained on, in their order.
     """
     asked = valid_names(queries).select("name", BLOCK).distinct()
     if ngram_floor > FIRST_WEIGHT + EPSILON:
         candidates = similar_names(asked, index, ngram_floor - EPSILON).drop("similarity")
+    elif unlike_floor > FIRST_WEIGHT + EPSILON:
+        similar = similar_names(asked, index, unlike_floor - EPSILON).drop("similarity")
+        candidates = similar.unionByName(like_sounding_names(asked, index)).distinct()
     else:
         offered = index.names.select(BLOCK, F.col("name").alias("string2"))
         candidates = salted_join(offered, asked.withColumnRenamed("name", "string1"), [BLOCK])

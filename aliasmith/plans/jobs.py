@@ -22,14 +22,14 @@ from aliasmith.operators.matching import (
     publish_index,
     to_match_lines,
 )
-from aliasmith.operators.models import UnsupportedAlgorithm, build_model, estimator, load_model, ngram_floor, save_model
+from aliasmith.operators.models import UnsupportedAlgorithm, build_model, estimator, load_model, ngram_floor, save_model, unlike_floor
 from aliasmith.operators.pairs import false_pairs, name_table, training_features, true_pairs
 from aliasmith.operators.profiles import FEATURES
 from aliasmith.operators.sampling import balance_classes, union_labelled
 from aliasmith.plans.config import JobConfigError, as_list, require
 from aliasmith.session import cut_lineage, temporary_tables
 from aliasmith.sources.files import WATCH_LIST, read_delimited, write_delimited
-from aliasmith.sources.kafka import stream_messages, write_messages
+from aliasmith.sources.kafka import QUEUE, stream_messages, write_messages
 from aliasmith.streaming.match_stream import match_stream, match_stream_refreshed
 
 ALIAS_COLUMNS = ("aliases", "low_quality_aliases", "alternative_spelling")
@@ -157,25 +157,26 @@ def match_stream_job(
     ``messages`` and ``sink`` replace the topics, for other transports. With ``index.location``
     each micro-batch takes the newest index that ``index_job`` has published there; otherwise the
     watch list is read when the job starts. The writer is returned unstarted, so that the caller
-    sets its trigger.
+    sets its trigger. ``queue.source`` names another connector of the topics, such as ``record_log``.
     """
     model_path, checkpoint = require(conf, "matching.model.destination", "checkpoint.location")
+    source = str(conf.get("queue.source", QUEUE))
     if messages is None:
         (topic,) = require(conf, "input.topic")
         limit = conf.get("input.max.per.batch")
-        messages = stream_messages(spark, str(topic), kafka, int(limit) if limit else None)
+        messages = stream_messages(spark, str(topic), kafka, int(limit) if limit else None, source)
     if sink is None:
         (output,) = require(conf, "output.topic")
 
         def sink(matches: DataFrame, batch_id: int) -> None:
-            write_messages(to_match_lines(matches), str(output), kafka)
+            write_messages(to_match_lines(matches), str(output), kafka, source)
 
     model = load_model(str(model_path))
     features = trained_features(conf)
-    floor = ngram_floor(model, features)
+    floor, apart = ngram_floor(model, features), unlike_floor(model, features)
 
     def matched(asked: DataFrame, index: NameIndex) -> DataFrame:
-        return match_by_model(asked, index, model, floor, features)
+        return match_by_model(asked, index, model, floor, features, apart)
 
     root = conf.get("index.location")
     if root:

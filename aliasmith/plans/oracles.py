@@ -438,4 +438,9 @@ def all_oracles() -> dict[str, str]:
         "stream_lines": f"WITH {INCOMING} SELECT DISTINCT name, citizenship FROM incoming",
         "stream_json_flat": """
             SELECT event_id, user_id AS who_user_id, event_type AS who_event_type, value AS what_value FROM events""",
+        "queue_stream": """
+            SELECT event_id, user_id AS who_user_id, event_type AS who_event_type, value AS what_value FROM events""",
+        "queue_range": """
+            SELECT event_id, user_id AS who_user_id, event_type AS who_event_type, value AS what_value FROM events
+            WHERE event_id % 2 = 0""",
     }

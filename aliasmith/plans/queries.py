@@ -31,7 +31,7 @@ from aliasmith.operators.name_store import add_to_store, open_store, store_match
 from aliasmith.operators.profiles import FEATURES, pair_features
 from aliasmith.plans import jobs, tables
 from aliasmith.session import cut_lineage, scratch_folder
-from aliasmith.sources import files, kafka
+from aliasmith.sources import files, kafka, record_log
 from aliasmith.streaming.match_stream import folder_sink, match_stream, once, parse_messages, plain_matches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -631,8 +631,7 @@ def stream_lines(spark, sf_dir):
 @query
 def stream_json_flat(spark, sf_dir):
     schema = T.StructType.fromDDL(EVENT_MESSAGE)
-    nested = F.struct("event_id", F.struct("user_id", "event_type").alias("who"), F.struct("value").alias("what"))
-    messages = tables.table(spark, sf_dir, "events").select(F.to_json(nested).alias("value"))
+    messages = _event_messages(spark, sf_dir).select("value")
     target = scratch_folder(spark, "events")
     stream = kafka.json_values(_message_stream(spark, messages), schema)
     writer = stream.writeStream.format("parquet").option("path", target)
@@ -640,6 +639,47 @@ def stream_json_flat(spark, sf_dir):
     return spark.read.parquet(target)
 
 
+def _record_log(spark):
+    return {"log.dir": scratch_folder(spark, "queue"), "auto.offset.reset": "earliest"}
+
+
+def _event_messages(spark, sf_dir):
+    nested = F.struct("event_id", F.struct("user_id", "event_type").alias("who"), F.struct("value").alias("what"))
+    return tables.table(spark, sf_dir, "events").select("event_id", F.to_json(nested).alias("value"))
+
+
+@query
+def queue_range(spark, sf_dir):
+    """The offsets of a topic up to its ends before more was written: the messages of even events."""
+    params = _record_log(spark)
+    messages = _event_messages(spark, sf_dir)
+    later = F.col("event_id") % 2 == 1
+    kafka.write_messages(messages.where(~later), "events", params, record_log.SOURCE)
+    until = record_log.topic_ends(params["log.dir"], "events").items()
+    kafka.write_messages(messages.where(later), "events", params, record_log.SOURCE)
+    found = kafka.read_messages(spark, "events", until, params, record_log.SOURCE)
+    return kafka.json_values(found, T.StructType.fromDDL(EVENT_MESSAGE))
+
+
+@query
+def queue_stream(spark, sf_dir):
+    """From topic to topic in limited batches and back; the same rows as ``stream_json_flat``."""
+    params = _record_log(spark)
+    messages = cut_lineage(_event_messages(spark, sf_dir))
+    kafka.write_messages(messages, "in", params, record_log.SOURCE)
+    limit = messages.count() // 3 + 1
+    stream = kafka.stream_messages(spark, "in", params, limit, record_log.SOURCE)
+    writer = kafka.stream_to_topic(stream, "out", params, scratch_folder(spark, "queue-state"), record_log.SOURCE)
+    running = writer.start()
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    until = record_log.topic_ends(params["log.dir"], "out").items()
+    found = kafka.read_messages(spark, "out", until, params, record_log.SOURCE)
+    return kafka.json_values(found, T.StructType.fromDDL(EVENT_MESSAGE))
+
+
 @query
 def stream_match(spark, sf_dir):
     """The rule match of a stream of messages; the same rows as ``match_threshold``."""

@@ -4,12 +4,12 @@ import pytest
 
 import brute
 from aliasmith.operators.aliases import explode_aliases
-from aliasmith.operators.matching import build_index, match_by_model, match_by_rule
+from aliasmith.operators.matching import build_index, match_by_model, match_by_rule, to_match_lines
 from aliasmith.operators.models import load_model, ngram_floor
 from aliasmith.operators.profiles import FEATURES
 from aliasmith.plans import jobs
 from aliasmith.plans.config import JobConfigError, as_list, read_properties, require
-from aliasmith.sources import files
+from aliasmith.sources import files, kafka, record_log
 from aliasmith.streaming.match_stream import folder_sink, match_stream, parse_messages
 
 TRAIN = {
@@ -149,6 +149,21 @@ def test_stream_job_gives_the_batch_matches(spark, trained, tmp_path):
     assert found and sorted(found) == sorted(expected.collect())
 
 
+def test_stream_job_from_topic_to_topic(spark, trained, tmp_path):
+    folder, conf = trained
+    _, batch = messages(spark, tmp_path / "in")
+    params = {"log.dir": str(tmp_path / "queue"), "auto.offset.reset": "earliest"}
+    kafka.write_messages(batch, "names", params, record_log.SOURCE)
+    conf = {**conf, "queue.source": record_log.SOURCE, "input.topic": "names", "output.topic": "matches"}
+    drain(jobs.match_stream_job(spark, {**conf, "checkpoint.location": str(tmp_path / "state")}, params))
+    until = record_log.topic_ends(params["log.dir"], "matches").items()
+    found = kafka.read_messages(spark, "matches", until, params, record_log.SOURCE).collect()
+    model = load_model(conf["matching.model.destination"])
+    aliases = explode_aliases(files.read_delimited(spark, str(folder / "aliases"), files.WATCH_LIST))
+    expected = match_by_model(parse_messages(batch), build_index(aliases), model, ngram_floor(model, FEATURES))
+    assert found and sorted(found) == sorted(to_match_lines(expected).collect())
+
+
 def test_micro_batches_leave_no_tables_behind(spark, tmp_path):
     made = []
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 
 import brute
+from aliasmith.functions.metaphone import metaphone_codes
 from aliasmith.operators import matching, models
 from aliasmith.operators.profiles import FEATURES, pair_features
 
@@ -68,20 +69,29 @@ def vectors(spark, decide):
 def trained(spark, name):
     sharp = vectors(spark, lambda p: p[0] > 0.75)
     mixed = vectors(spark, lambda p: p[0] + p[1] > 1.2)
+    sounding = vectors(spark, lambda p: p[0] + p[FEATURES.index("phonetic")] > 1.15)
     return {
         "regression": lambda: models.build_model(sharp, [models.logistic_regression(threshold=0.8)]),
         "multinomial": lambda: models.build_model(mixed, [models.logistic_regression(family="multinomial")]),
         "forest": lambda: models.build_model(sharp, [models.random_forest(trees=5, depth=4)]),
         "mixed forest": lambda: models.build_model(mixed, [models.random_forest(trees=5, depth=4)]),
         "bayes": lambda: models.build_model(mixed, [models.naive_bayes()]),
+        "svm": lambda: models.build_model(sharp, [models.linear_svm()]),
+        "sounding svm": lambda: models.build_model(sounding, [models.linear_svm()]),
+        "sounding regression": lambda: models.build_model(sounding, [models.logistic_regression()]),
+        "sounding forest": lambda: models.build_model(sounding, [models.random_forest(trees=5, depth=4)]),
     }[name]()
 
 
-@pytest.mark.parametrize("name", ["regression", "multinomial", "forest", "mixed forest", "bayes"])
+SOUNDING = ["sounding svm", "sounding regression"]
+
+
+@pytest.mark.parametrize("name", ["regression", "multinomial", "forest", "mixed forest", "bayes", "svm", "sounding forest", *SOUNDING])
 def test_model_match_equals_the_whole_comparison(spark, rows, index, name):
     model = trained(spark, name)
     floor = models.ngram_floor(model, FEATURES)
-    found = matching.match_by_model(asked(spark, rows), index, model, floor).collect()
+    apart = models.unlike_floor(model, FEATURES)
+    found = matching.match_by_model(asked(spark, rows), index, model, floor, unlike_floor=apart).collect()
     pairs = spark.createDataFrame(sorted({p[:2] for p in all_pairs(rows)}), "string1 string, string2 string")
     scored = matching.assemble_features(pair_features(pairs), ignored=["string1", "string2"])
     accepted = {(r.string1, r.string2) for r in model.transform(scored).where("prediction = 1").collect()}
@@ -90,7 +100,47 @@ def test_model_match_equals_the_whole_comparison(spark, rows, index, name):
     assert len(found) == len(expected)
 
 
-@pytest.mark.parametrize("name", ["regression", "multinomial", "forest", "mixed forest"])
+@pytest.mark.parametrize("name", SOUNDING)
+def test_models_that_accept_like_sounding_names_do_not_compare_whole_blocks(spark, rows, index, name, monkeypatch):
+    model = trained(spark, name)
+    floor, apart = models.ngram_floor(model, FEATURES), models.unlike_floor(model, FEATURES)
+    assert floor <= 0.3 < apart
+    keys = []
+    joined = matching.salted_join
+
+    def watched(left, right, on, *more):
+        keys.append(list(on))
+        return joined(left, right, on, *more)
+
+    monkeypatch.setattr(matching, "salted_join", watched)
+    matching.match_by_model(asked(spark, rows), index, model, floor, unlike_floor=apart)
+    assert keys and [matching.BLOCK] not in keys
+
+
+def test_like_sounding_names_equal_all_pairs_with_a_common_code(spark, rows, index):
+    table = [(str(i), "xx", "i", n) for i, n in enumerate(["smith,a", "schmidt,b", "smyth,c", "12,d", "34,e", "jones,f"])]
+    queries = [("smith,x", "xx"), ("9,y", "xx"), ("smith,x", "a"), ("yones,z", "xx")]
+    for listed, given, known in ((rows[0], rows[1], index), (table, queries, None)):
+        known = known or matching.build_index(aliases(spark, (listed, given)))
+        found = matching.like_sounding_names(asked(spark, (listed, given)), known).collect()
+
+        def codes(name):
+            return set(metaphone_codes(name.split(",")[0]))
+
+        expected = {(a, b, c) for a, b, _, c in all_pairs((listed, given)) if codes(a) & codes(b)}
+        assert {tuple(r) for r in found} == expected and len(found) == len(expected) > 0
+
+
+@pytest.mark.parametrize("name", ["regression", "multinomial", "forest", "mixed forest", "bayes", "svm", *SOUNDING])
+def test_unlike_floor_is_below_every_accepted_input_of_unlike_names(spark, name):
+    model = trained(spark, name)
+    draws = random.Random(7)
+    grid = [(Vectors.dense([draws.random(), draws.random(), draws.random() * 0.65]),) for _ in range(3000)]
+    accepted = model.transform(spark.createDataFrame(grid, ["features"])).where("prediction = 1").collect()
+    assert models.unlike_floor(model, FEATURES) <= min((r.features[0] for r in accepted), default=1.0)
+
+
+@pytest.mark.parametrize("name", ["regression", "multinomial", "forest", "mixed forest", "bayes", "svm", *SOUNDING])
 def test_floor_is_below_every_accepted_input(spark, name):
     model = trained(spark, name)
     floor = models.ngram_floor(model, FEATURES)
@@ -99,7 +149,7 @@ def test_floor_is_below_every_accepted_input(spark, name):
     accepted = model.transform(spark.createDataFrame(grid, ["features"])).where("prediction = 1").collect()
     lowest = min(r.features[0] for r in accepted)
     assert floor <= lowest
-    if name in ("regression", "forest"):
+    if name in ("regression", "forest", "svm"):
         assert floor > 0.4
 
 
