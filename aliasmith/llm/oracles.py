@@ -87,9 +87,8 @@ WITH RECURSIVE parsed AS (
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
   FROM (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)),
 shaped AS (
-  SELECT *, list_concat(general[1:6], CASE WHEN len(general) > 6 THEN ['**'] ELSE [] END) AS shape
-  FROM (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''),
-    lambda s: regexp_replace(s, '[0-9]+', '#', 'g')) AS general FROM parsed)),
+  SELECT *, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''),
+    lambda s: regexp_replace(s, '[0-9]+', '#', 'g')) AS shape FROM parsed),
 known AS (
   SELECT page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad
   FROM parsed JOIN labels ON try_cast(regexp_extract(path, '([0-9]+)[^0-9]*$', 1) AS BIGINT) = doc_id GROUP BY page_id),
@@ -97,40 +96,39 @@ t0 AS MATERIALIZED (
   SELECT host, shape, shape AS template, count(*) AS n, count(bad) AS labels, coalesce(sum(bad), 0)::BIGINT AS bad
   FROM shaped LEFT JOIN known USING (page_id) GROUP BY host, shape)"""
 
-_OP1_GENERAL = r""",
-nodes{new} AS (
-  SELECT host, node FROM (
-    SELECT host, template[1:{depth}] AS node, template[{at}] AS kind, sum(n) AS n FROM {old}
-    WHERE len(template) > {depth} GROUP BY ALL)
-  GROUP BY host, node HAVING count(*) >= 12 AND count(*) > sum(n) * 0.1::DOUBLE),
-{new} AS MATERIALIZED (
-  SELECT t.host, t.shape, CASE WHEN s.node IS NOT NULL
-    THEN list_concat(list_append(template[1:{depth}], '*'), template[{at} + 1:]) ELSE template END AS template, n, labels, bad
-  FROM {old} t LEFT JOIN nodes{new} s ON t.host = s.host AND len(template) > {depth} AND template[1:{depth}] = s.node)"""
-
-_OP1_MERGE = r""",
-branches{new} AS (
-  SELECT host, template, list_concat(list_append(template[1:{depth}], '*'), template[{at} + 1:]) AS shared,
-    sum(labels)::BIGINT AS labels, sum(bad)::BIGINT AS bad FROM {old} WHERE len(template) > {depth} GROUP BY host, template),
-whole{new} AS (
-  SELECT host, shared, sum(labels)::BIGINT AS l, sum(bad)::BIGINT AS b FROM branches{new} GROUP BY host, shared HAVING count(*) > 1),
-tested{new} AS (
-  SELECT r.host, r.template, r.shared, labels, l - labels AS others,
-    (b / l) * (1 - b / l) * (1 / labels + 1 / (l - labels)) AS spread, abs(bad / labels - (b - bad) / (l - labels)) AS gap
-  FROM branches{new} r JOIN whole{new} w ON r.host = w.host AND r.shared = w.shared),
-alike{new} AS (
-  SELECT host, template, shared FROM tested{new}
-  WHERE CASE WHEN labels = 0 OR others = 0 THEN true WHEN spread = 0 THEN true ELSE gap < sqrt(spread) * 1.96::DOUBLE END),
-{new} AS MATERIALIZED (
-  SELECT t.host, t.shape, coalesce(a.shared, t.template) AS template, n, labels, bad
-  FROM {old} t LEFT JOIN alike{new} a ON t.host = a.host AND t.template = a.template)"""
+# The levels of the tree one after the other, down for kinds and up again for branches.
+_OP1_LEVELS = r""",
+deep AS (SELECT max(len(shape)) AS deepest FROM t0),
+levels AS (
+  SELECT 0 AS step, host, shape, template, n, labels, bad FROM t0
+  UNION ALL
+  SELECT step + 1, host, shape, CASE WHEN len(template) > depth AND (CASE
+      WHEN step < deepest THEN kinds >= 12 AND kinds > all_n * 0.1::DOUBLE
+      WHEN branches = 1 THEN false
+      WHEN l = 0 OR others = 0 THEN true
+      WHEN spread = 0 THEN true
+      ELSE gap < sqrt(spread) * 1.96::DOUBLE END) THEN shared ELSE template END, n, labels, bad
+  FROM (
+    SELECT *, all_l - l AS others, (all_b / all_l) * (1 - all_b / all_l) * (1 / l + 1 / (all_l - l)) AS spread,
+      abs(b / l - (all_b - b) / (all_l - l)) AS gap
+    FROM (
+      SELECT *, count(DISTINCT template[depth + 1]) OVER node AS kinds, (sum(n) OVER node)::BIGINT AS all_n,
+        count(DISTINCT template) OVER sibling AS branches, (sum(labels) OVER sibling)::BIGINT AS all_l,
+        (sum(bad) OVER sibling)::BIGINT AS all_b, (sum(labels) OVER own)::BIGINT AS l, (sum(bad) OVER own)::BIGINT AS b
+      FROM (
+        SELECT *, list_concat(list_append(template[1:depth], '*'), template[depth + 2:]) AS shared
+        FROM (SELECT *, CASE WHEN step < deepest THEN step ELSE 2 * deepest - 1 - step END AS depth
+          FROM levels, deep WHERE step < 2 * deepest))
+      WINDOW node AS (PARTITION BY host, len(template) > depth, template[1:depth]),
+        sibling AS (PARTITION BY host, len(template) > depth, shared), own AS (PARTITION BY host, template)))),
+last_level AS MATERIALIZED (SELECT host, shape, template, n, labels, bad FROM levels, deep WHERE step = 2 * deepest)"""
 
 _OP1_END = r""",
-every AS (SELECT (sum(bad) + 1) / (sum(labels) + 2) AS share FROM {old}),
-hosts AS (SELECT host, sum(labels) AS l, sum(bad) AS b FROM {old} GROUP BY host),
+every AS (SELECT (sum(bad) + 1) / (sum(labels) + 2) AS share FROM last_level),
+hosts AS (SELECT host, sum(labels) AS l, sum(bad) AS b FROM last_level GROUP BY host),
 rated AS (
   SELECT f.host, f.template, (f.b + (h.b + share * 5.0::DOUBLE) / (h.l + 5.0::DOUBLE) * 5.0::DOUBLE) / (f.l + 5.0::DOUBLE) AS bad_share
-  FROM (SELECT host, template, sum(labels) AS l, sum(bad) AS b FROM {old} GROUP BY host, template) f
+  FROM (SELECT host, template, sum(labels) AS l, sum(bad) AS b FROM last_level GROUP BY host, template) f
   JOIN hosts h ON f.host = h.host, every),
 rules(verdict, rule_host, rule_path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'),
   ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
@@ -142,22 +140,13 @@ fitting AS (
 SELECT page_id, s.host, s.path, f.rule,
   coalesce(f.verdict, CASE WHEN bad_share > 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
   array_to_string(t.template, '/') AS template, bad_share
-FROM shaped s JOIN {old} t ON s.host = t.host AND s.shape = t.shape
+FROM shaped s JOIN last_level t ON s.host = t.host AND s.shape = t.shape
 JOIN rated r ON t.host = r.host AND t.template = r.template
 LEFT JOIN fitting f ON s.host = f.host AND s.path = f.path
 """
 
 
-def _op1(max_depth: int = 6) -> str:
-    """The levels of the tree one after the other, down and up again; ``**`` is a level of its own."""
-    depths = [*range(max_depth + 1)]
-    parts, old = [_OP1_START], "t0"
-    for number, (depth, form) in enumerate(
-        [(d, _OP1_GENERAL) for d in depths] + [(d, _OP1_MERGE) for d in reversed(depths)], start=1
-    ):
-        parts.append(form.format(depth=depth, at=depth + 1, old=old, new=f"t{number}"))
-        old = f"t{number}"
-    return "".join([*parts, _OP1_END.format(old=old)])
+OP1 = _OP1_START + _OP1_LEVELS + _OP1_END
 
 
 OP5 = r"""
@@ -288,4 +277,4 @@ FROM (SELECT o.lang, array_to_string(o.g, ' ') AS phrase, o.a, l, r, score FROM
 JOIN totals USING (lang) QUALIFY rank <= 2000
 """
 
-SQL = {"op1_url_templates": _op1(), "op2_mix_sources": OP2, "op5_site_lines": OP5, "op8_decontaminate": OP8, "op9_near_duplicates": OP9, "op11_merkle_manifest": OP11, "op13_collocations": OP13}
+SQL = {"op1_url_templates": OP1, "op2_mix_sources": OP2, "op5_site_lines": OP5, "op8_decontaminate": OP8, "op9_near_duplicates": OP9, "op11_merkle_manifest": OP11, "op13_collocations": OP13}

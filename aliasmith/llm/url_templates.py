@@ -2,7 +2,8 @@
 
 Paths are generalised into templates, all with DataFrame operations:
 
-* digits in a segment become ``#``; paths are as deep as they are;
+* digits in a segment become ``#``; paths are as deep as they are, and a level of the tree costs work
+  only for the paths that reach it, and a job only if a host has paths there that could be joined;
 * from the root down, the children of a node become ``*`` where there are many kinds of them;
 * from the leaves up, a branch is merged with its siblings of the same shape, as ``*``, unless its
   share of bad labels differs from theirs (two-proportion test).
@@ -22,8 +23,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aliasmith.llm.words import lower_ascii
@@ -100,20 +102,18 @@ def _with_star(table: DataFrame, chosen: DataFrame, keys: list[str], depth: int)
 
 
 def _generalised(table: DataFrame, depth: int) -> DataFrame:
-    """Wildcards at a depth under the nodes that have many kinds of children."""
-    reaching = table.where(F.size("template") > depth)
-    node = F.slice("template", 1, depth).alias("node")
-    kinds = reaching.groupBy("host", node, F.get("template", F.lit(depth)).alias("kind")).agg(F.sum("n").alias("n"))
+    """Wildcards at a depth, which all rows reach, under the nodes that have many kinds of children."""
+    node = F.slice("template", 1, depth)
+    placed = table.withColumn("node", node)
+    kinds = placed.groupBy("host", "node", F.get("template", F.lit(depth)).alias("kind")).agg(F.sum("n").alias("n"))
     nodes = kinds.groupBy("host", "node").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
     many = (F.col("kinds") >= MANY_KINDS) & (F.col("kinds") > F.col("n") * KINDS_PER_PAGE)
-    long_enough = table.withColumn("node", F.when(F.size("template") > depth, F.slice("template", 1, depth)))
-    return _with_star(long_enough, nodes.where(many).select("host", "node"), ["host", "node"], depth)
+    return _with_star(placed, nodes.where(many).select("host", "node"), ["host", "node"], depth)
 
 
 def _merged(table: DataFrame, depth: int) -> DataFrame:
-    """Wildcards at a depth for branches that resemble the rest of their siblings."""
-    reaching = table.where(F.size("template") > depth)
-    branches = reaching.groupBy("host", "template").agg(F.sum("labels").alias("labels"), F.sum("bad").alias("bad"))
+    """Wildcards at a depth, which all rows reach, for branches that resemble the rest of their siblings."""
+    branches = table.groupBy("host", "template").agg(F.sum("labels").alias("labels"), F.sum("bad").alias("bad"))
     branches = branches.withColumn("shared", _starred(depth))
     whole = branches.groupBy("host", "shared").agg(
         F.count("*").alias("branches"), F.sum("labels").alias("all_labels"), F.sum("bad").alias("all_bad")
@@ -128,6 +128,39 @@ def _merged(table: DataFrame, depth: int) -> DataFrame:
     return _with_star(table, alike.select("host", "template"), ["host", "template"], depth)
 
 
+def _levels(table: DataFrame) -> tuple[int, int]:
+    """Above which depths a node can have many kinds, and a branch a sibling.
+
+    Children of many kinds need as many shapes of the host that are longer than the node's depth;
+    siblings are of one length, so they need two shapes of it.
+    """
+    lengths = table.groupBy("host", F.size("shape").alias("length")).agg(F.count("*").alias("shapes"))
+    longer = Window.partitionBy("host").orderBy(F.desc("length"))
+    reaching = lengths.withColumn("reaching", F.sum("shapes").over(longer))
+    row = reaching.agg(
+        F.max(F.when(F.col("reaching") >= MANY_KINDS, F.col("length"))),
+        F.max(F.when(F.col("shapes") > 1, F.col("length"))),
+    ).first()
+    return row[0] or 0, row[1] or 0
+
+
+def _wildcards(table: DataFrame) -> DataFrame:
+    """Down and up again over the levels; each level rewrites only the rows that reach it."""
+    size = F.size("template")
+    down, up = _levels(table)
+    complete, deeper = [], table
+    for depth in range(down):
+        complete.append(deeper.where(size == depth))
+        deeper = _generalised(deeper.where(size > depth), depth)
+    # What is shorter than a segment or longer than any pair of siblings is done.
+    done = [deeper.where((size == 0) | (size > up)), *[rows for n, rows in enumerate(complete) if n == 0 or n > up]]
+    for depth in reversed(range(up)):
+        joining = complete[depth + 1] if depth + 1 < down else deeper.where(size == depth + 1)
+        rising = joining if depth == up - 1 else rising.unionByName(joining)
+        rising = _merged(rising, depth)
+    return stored(reduce(DataFrame.unionByName, done if up == 0 else [*done, rising]), "templates")
+
+
 def templates(labelled: DataFrame) -> DataFrame:
     """``(host, shape, template, bad_share)`` from ``labelled (host, path, bad)``, ``bad`` null where not known."""
     table = labelled.groupBy("host", whole_path(F.col("path")).alias("shape")).agg(
@@ -136,11 +169,7 @@ def templates(labelled: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.col("bad").cast("bigint")), F.lit(0)).alias("bad"),
     )
     table = stored(table.withColumn("template", F.col("shape")), "templates")
-    deepest = table.agg(F.max(F.size("shape"))).first()[0] or 0
-    for depth in range(deepest):
-        table = _generalised(table, depth)
-    for depth in reversed(range(deepest)):
-        table = _merged(table, depth)
+    table = _wildcards(table)
     every = table.agg((F.sum("bad") + 1) / (F.sum("labels") + 2)).first()[0] or 0.0
     hosts = table.groupBy("host").agg(F.sum("labels").alias("host_labels"), F.sum("bad").alias("host_bad"))
     found = table.groupBy("host", "template").agg(F.sum("labels").alias("all_labels"), F.sum("bad").alias("all_bad"))

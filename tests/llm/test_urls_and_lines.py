@@ -1,9 +1,12 @@
 import re
+import time
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from aliasmith.llm.oracles import OP1
 from aliasmith.llm.site_lines import page_text, without_boilerplate
 from aliasmith.llm.url_templates import RULES, best_rule, host_and_path, judged, templates, whole_path
 
@@ -67,6 +70,41 @@ def test_many_kinds_become_a_wildcard_and_unlike_branches_stay(spark):
     assert found["fair", "#"][0] == "*/#"
 
 
+def _deep_rows():
+    """Paths of many lengths: many kinds below deep nodes, like and unlike siblings, and one path of 200 segments."""
+    rows = [(f"https://a.net/x/y/z/u/v/w/{chr(97 + i % 5)}{chr(97 + i // 5)}/t/{i}", None) for i in range(30)]
+    rows += [(f"https://a.net/1/2/3/4/5/6/7/8/{('spam', 'ham')[i % 2]}/{i}", i % 2 == 0) for i in range(60)]
+    rows += [(f"https://b.net/p/q/r/s/t/u/v/{'abc'[i % 3]}/{i}", i % 4 == 0) for i in range(40)]
+    rows += [("https://b.net/" + "/".join("abcd"[i % 4] for i in range(200)), None), ("https://c.net/", None), (None, None)]
+    return rows + [(f"https://d.net/{'k' * (i + 1)}", None) for i in range(14)]
+
+
+def test_deep_paths_equal_the_sql(spark, tmp_path):
+    rows = _deep_rows()
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id bigint, url string")
+    last = {i: re.search(r"([0-9]+)[^0-9]*$", parts(u)[1]) for i, (u, _) in enumerate(rows)}
+    numbered = {int(last[i].group(1)): bad for i, (u, bad) in enumerate(rows) if bad is not None}
+    labels = spark.createDataFrame([(k, int(not b), 0) for k, b in numbered.items()], "doc_id bigint, quality int, toxic int")
+    known = pages.select("page_id", F.regexp_extract(host_and_path(F.col("url"))[1], "([0-9]+)[^0-9]*$", 1).try_cast("bigint").alias("doc_id"))
+    bad = known.join(labels, "doc_id").select("page_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    start = time.monotonic()
+    found = judged(pages, bad).collect()
+    assert time.monotonic() - start < 90
+    con = duckdb.connect()
+    for name, table in (("pages", pages), ("labels", labels)):
+        con.register(name, table.toArrow())
+    cursor = con.execute(OP1)
+    columns = [c[0] for c in cursor.description]
+    expected = {row[0]: dict(zip(columns, row, strict=True)) for row in cursor.fetchall()}
+    assert len(found) == len(rows) == len(expected)
+    for row in found:
+        want = expected[row.page_id]
+        assert (row.host, row.path, row.rule, row.verdict, row.template) == tuple(want[c] for c in ("host", "path", "rule", "verdict", "template"))
+        assert row.bad_share == pytest.approx(want["bad_share"])
+    made = {row.template for row in found}
+    assert "x/y/z/u/v/w/*/t/#" in made and "#/#/#/#/#/#/#/#/spam/#" in made and "*" in made
+
+
 def test_verdicts_come_from_the_rule_or_the_purity(spark):
     rows = [(i, f"https://x.net/spam/{i}") for i in range(20)] + [(100 + i, f"https://x.net/good/{i}") for i in range(20)]
     rows += [(200, "https://x.com/fr/1"), (201, None), (200, "https://x.com/fr/1")]
