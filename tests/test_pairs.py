@@ -138,3 +138,11 @@ def test_random_pairs_join_on_row_numbers_only(spark):
     names = spark.createDataFrame([(f"n{i}", i) for i in range(50)], "name string, row bigint")
     plan = pairs.random_pairs(names, 50, 0, 100, 42)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan and plan.count("Join") == 2
+
+
+def test_names_of_small_entities_are_not_repeated_per_gram(spark):
+    rows = [(str(i % 7), n) for i, n in enumerate(brute.names(60, seed=4))]
+    found = pairs.true_pairs(spark.createDataFrame(rows, "uid string, name string"), 0.3)
+    assert "posexplode" not in found._jdf.queryExecution().toString()
+    expected = {(a, b) for u, a in rows for v, b in rows if u == v and a < b and brute.dice(a, b) >= 0.3}
+    assert {(r.string1, r.string2) for r in found.collect()} == expected

@@ -2,6 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
+from aliasmith.functions.ngrams import char_grams
+from aliasmith.functions.text import strip_special
 from aliasmith.operators.simjoin import gram_order, ordered_grams, similar_texts
 
 
@@ -44,6 +46,33 @@ def test_join_within_keys_and_with_row_thresholds(spark):
     assert len(found) == len(expected) and {(r.k, r.a, r.b) for r in found} == expected
 
 
+@pytest.mark.parametrize("compared_per_row", [0, 20, 1000])
+def test_crowded_keys_go_by_prefixes_with_the_same_pairs(spark, compared_per_row):
+    left = [("few" if i % 9 == 0 else "many", t) for i, t in enumerate(TEXTS)] + [(None, "abc")]
+    right = left[::2]
+    a, b = sides(spark, left, right, ["k"])
+    found = similar_texts(a, b, 0.4, keys=["k"], compared_per_row=compared_per_row).collect()
+    expected = [(k, x, y) for k, x in left for k2, y in right if k and k == k2 and brute.dice(x, y) >= 0.4 - 1e-9]
+    assert sorted((r.k, r.a, r.b) for r in found) == sorted(expected)
+
+
+def test_few_left_rows_find_the_same_pairs(spark):
+    a, b = sides(spark, [(t,) for t in TEXTS[:20]], [(t,) for t in TEXTS])
+    one, two = (sorted(map(tuple, similar_texts(a, b, 0.5, few_left=few).collect())) for few in (True, False))
+    assert one == two and one
+
+
+def test_grams_of_a_text_by_their_order(spark):
+    texts = [*TEXTS, "Aé B-b", "aaaa", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    order = gram_order(df.where("length(text) > 3"), "text")
+    ids = {r.gram: r.gram_id for r in order.collect()}
+    found = {r.text: r for r in df.join(ordered_grams(df, "text", order), "text").select("text", "grams", char_grams(strip_special(F.col("text"))).alias("plain")).collect()}
+    assert set(found) == set(texts) - {None}
+    for row in found.values():
+        assert row.grams == sorted(ids.get(g, sum(128 ** (2 - i) * ord(c) for i, c in enumerate(g))) for g in row.plain)
+
+
 def test_threshold_must_bound_something(spark):
     a, b = sides(spark, [("ab",)], [("ab",)])
     with pytest.raises(ValueError):
