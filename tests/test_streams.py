@@ -12,7 +12,7 @@ from aliasmith.operators.filters import valid_names
 from aliasmith.operators.matching import block_pairs, build_index, match_by_rule, open_index, publish_index
 from aliasmith.operators.metrics import StepCounts, batch_counts, compare_with_blocks, stream_counts
 from aliasmith.operators.name_store import add_to_store, open_store, store_matches, write_store
-from aliasmith.streaming.match_stream import folder_sink, match_stream_refreshed, once, plain_matches
+from aliasmith.streaming.match_stream import folder_sink, match_stream, match_stream_refreshed, once, plain_matches
 
 ALIASES = "uid string, citizenship string, person_type string, name string"
 NAMES = brute.names(60, seed=5)
@@ -137,3 +137,18 @@ def test_counts_of_micro_batches(spark, tmp_path):
     (rows,) = batch_counts(query)
     assert rows["asked0"] == 6 and rows["matches"] == spark.read.parquet(target).count()
     assert rows["candidates0"] >= rows["matches"]
+
+
+def test_a_micro_batch_is_planned_like_a_batch(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text('"meyer,anna";de\n')
+    settings, names = [], []
+
+    def matcher(asked):
+        settings.append(asked.sparkSession.conf.get("spark.sql.adaptive.enabled"))
+        return asked
+
+    stream = spark.readStream.text(str(tmp_path / "in"))
+    writer = match_stream(stream, matcher, lambda df, _: names.extend(map(tuple, df.collect())), str(tmp_path / "state"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    assert settings == ["true"] and names == [("meyer,anna", "de")]
