@@ -139,7 +139,7 @@ def similar_names(queries: DataFrame, index: NameIndex, min_similarity: float) -
 def _similar_in_blocks(asked: DataFrame, index: NameIndex, min_similarity: float) -> DataFrame:
     offered = index.names.select(BLOCK, F.col("name").alias("string2"))
     pairs = salted_join(offered, asked.withColumnRenamed("name", "string1"), [BLOCK])
-    scored = pair_features(cut_lineage(pairs), phonetic=False).withColumnRenamed("ngram", "similarity")
+    scored = pair_features(pairs, phonetic=False).withColumnRenamed("ngram", "similarity")
     return scored.where(F.col("similarity") >= min_similarity).select("string1", "string2", BLOCK, "similarity")
 
 
@@ -200,7 +200,7 @@ def match_by_model(
     else:
         offered = index.names.select(BLOCK, F.col("name").alias("string2"))
         candidates = salted_join(offered, asked.withColumnRenamed("name", "string1"), [BLOCK])
-    scored = pair_features(cut_lineage(candidates), phonetic="phonetic" in features)
+    scored = pair_features(candidates, phonetic="phonetic" in features)
     vectors = assemble_features(scored.select(*candidates.columns, *features), ignored=candidates.columns)
     scored = model.transform(vectors)
     accepted = scored.where(F.col("prediction") == 1.0).select("string1", "string2", BLOCK)

@@ -10,8 +10,8 @@ from aliasmith.functions.ngrams import char_grams, dice
 from aliasmith.functions.phonetic import compared_codes, double_metaphone, phonetic_similarity
 from aliasmith.functions.similarity import full_name
 from aliasmith.functions.text import first_name, last_name, strip_special
-from aliasmith.operators.skew import salted_join
-from aliasmith.session import cut_lineage
+from aliasmith.operators.skew import spread_join
+from aliasmith.session import cut_lineage, stored
 
 # Pairs of one name in a task before they are split.
 ROWS_PER_SPLIT = 1_000_000
@@ -80,10 +80,15 @@ def pair_features(pairs: DataFrame, phonetic: bool = True) -> DataFrame:
     All texts of a pair are scored in one pass. The profiles are one row per name; both
     joins split a name that stands in very many pairs.
     """
+    pairs = stored(pairs, "pairs")
     both = pairs.select(F.explode(F.array("string1", "string2")).alias("name"))
     profiles = cut_lineage(name_profiles(both, phonetic))
-    joined = salted_join(pairs, _as_side(profiles, 1), ["string1"], ROWS_PER_SPLIT)
-    joined = salted_join(joined, _as_side(profiles, 2), ["string2"], ROWS_PER_SPLIT)
+    joined = pairs
+    for side in (1, 2):
+        # One row per name is joined, so the pairs of a name can be counted before either join.
+        name = pairs.groupBy(f"string{side}").agg(F.count("*").alias("_many")).where(F.col("_many") > ROWS_PER_SPLIT)
+        heavy = stored(name.withColumn("_few", F.lit(1)), "heavy-names")
+        joined = spread_join(joined, _as_side(profiles, side), [f"string{side}"], heavy, heavy.count(), ROWS_PER_SPLIT)
     lefts, rights = zip(*_compared_texts(phonetic), strict=True)
     scored = joined.withColumn("_scores", jaro_winkler_all(*lefts, *rights))
     features = [c.alias(n) for n, c in feature_columns(phonetic).items()]

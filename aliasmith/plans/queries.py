@@ -167,7 +167,7 @@ def blocked_pairs(spark, sf_dir):
     """One given name compared with its whole block."""
     first = spark.createDataFrame([ASKED], ["name", BLOCK])
     names = cut_lineage(tables.watch_names(spark, sf_dir))
-    scored = pair_features(cut_lineage(block_pairs(first, names)), phonetic=False)
+    scored = pair_features(block_pairs(first, names), phonetic=False)
     return scored.select("string1", "string2", "uid", "person_type", BLOCK, *rounded("ngram", "jaro_winkler"))
 
 

@@ -2,6 +2,7 @@ import random
 
 import pytest
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
 import brute
 from aliasmith.functions.metaphone import metaphone_codes
@@ -156,3 +157,11 @@ def test_floor_is_below_every_accepted_input(spark, name):
 def test_match_lines(spark):
     df = spark.createDataFrame([("q", "a,b", "7", "gb")], "string1 string, string2 string, uid string, citizenship string")
     assert matching.to_match_lines(df).first().value == "a,b,7,gb"
+
+
+def test_features_form_the_pairs_once(spark):
+    names = brute.names(12, seed=6)
+    pairs = spark.range(10).select(F.lit(names[0]).alias("string1"), F.element_at(F.array(*map(F.lit, names)), (F.col("id") + 1).cast("int")).alias("string2"))
+    scored = pair_features(pairs, phonetic=False)
+    assert "Range" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.string2 for r in scored.collect()} == set(names[:10])
