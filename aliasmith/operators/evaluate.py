@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator, Transformer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aliasmith.operators.datasets import FEATURES_COLUMN, LABEL_COLUMN, slice_features
+from aliasmith.operators.models import build_model, save_model
 from aliasmith.operators.ranking import running_totals
 from aliasmith.session import cut_lineage
 
@@ -57,9 +57,9 @@ def evaluate_setup(
 
     Not a number where the test table lacks a class.
     """
-    model: PipelineModel = Pipeline(stages=list(stages)).fit(train)
+    model = build_model(train, stages)
     if destination is not None:
-        model.write().overwrite().save(destination)
+        save_model(model, destination)
     score = auc_hard_labels(model.transform(test)).first()["auc"]
     return float("nan") if score is None else score
 

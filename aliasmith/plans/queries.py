@@ -195,8 +195,7 @@ def false_pairs_banded(spark, sf_dir):
 
 
 def _labelled(spark, sf_dir):
-    names = cut_lineage(tables.watch_names(spark, sf_dir))
-    return jobs.label_pairs(names, TRUE_PAIR_SIMILARITY, FALSE_PAIRS, SEED, balance=False)
+    return jobs.label_pairs(tables.watch_names(spark, sf_dir), TRUE_PAIR_SIMILARITY, FALSE_PAIRS, SEED, balance=False)
 
 
 @query
@@ -504,8 +503,7 @@ def confusion_matrix(spark, sf_dir):
 
 
 def _feature_vectors(spark, sf_dir):
-    names = cut_lineage(tables.watch_names(spark, sf_dir))
-    labelled = jobs.label_pairs(names, MODEL_PAIR_SIMILARITY, FALSE_PAIRS, SEED)
+    labelled = jobs.label_pairs(tables.watch_names(spark, sf_dir), MODEL_PAIR_SIMILARITY, FALSE_PAIRS, SEED)
     scored = pairs.training_features(labelled)
     return cut_lineage(datasets.assemble_features(scored, "label", PAIR_KEY))
 
