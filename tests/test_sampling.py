@@ -96,3 +96,14 @@ def test_top_n_per_group(spark):
     found = skew.top_n_per_group(df, ["g"], [F.col("v")], 5).collect()
     expected = {(g, v) for g in "abc" for v in sorted(v for k, v in rows if k == g)[:5]}
     assert {tuple(r) for r in found} == expected and len(found) == 11
+
+
+def test_a_join_has_as_many_tasks_as_its_pairs_ask_for(spark, monkeypatch):
+    """Small tables of many pairs: by their bytes the planner would take one task."""
+    monkeypatch.setattr(skew, "PAIRS_PER_TASK", 1000)
+    left = spark.range(300).select((F.col("id") % 10).alias("k"), F.col("id").alias("a"))
+    right = left.select("k", F.col("a").alias("b"))
+    for split in (1_000_000, 100):
+        joined = skew.salted_join(left, right, ["k"], pairs_per_split=split)
+        assert joined.rdd.getNumPartitions() == 9
+        assert joined.count() == 9000

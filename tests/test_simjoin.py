@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 import brute
 from aliasmith.functions.ngrams import char_grams
 from aliasmith.functions.text import strip_special
-from aliasmith.operators.simjoin import gram_order, ordered_grams, similar_texts
+from aliasmith.operators.simjoin import gram_array, gram_bounds, gram_ids, gram_order, ordered_grams, similar_texts
 
 
 def sides(spark, left, right, keys=()):
@@ -84,3 +84,20 @@ def test_gram_order_puts_rare_grams_first(spark):
     order = gram_order(df, "text")
     common = order.where("gram = 'ab'").first().gram_id
     assert order.where(F.col("gram_id") >= common).count() == 1
+
+
+@pytest.mark.parametrize("compared_per_row", [0, 20, 1000])
+def test_pairs_by_bounds_are_the_same_and_shuffle_no_grams(spark, compared_per_row):
+    rows = [(str(i % 3), t) for i, t in enumerate(TEXTS)] + [("1", None), (None, "abc")]
+    df = spark.createDataFrame(rows, "k string, text string")
+    ids = gram_ids(gram_order(df, "text"))
+    one, two = (df.select("k", F.col("text").alias(n), gram_bounds(F.col("text"), ids).alias(f"bounds{i}")) for i, n in ((1, "a"), (2, "b")))
+    grams = tuple(gram_array(F.col(n), ids, ranks=True) for n in ("a", "b"))
+    similar = similar_texts(one, two, 0.4, keys=["k"], compared_per_row=compared_per_row, grams=grams)
+    found = similar.collect()
+    known = [(k, t) for k, t in rows if k and t is not None]
+    expected = [(k, x, y) for k, x in known for k2, y in known if k == k2 and brute.dice(x, y) >= 0.4 - 1e-9]
+    assert sorted((r.k, r.a, r.b) for r in found) == sorted(expected)
+    if compared_per_row == 1000:
+        plan = similar._jdf.queryExecution().optimizedPlan().toString()
+        assert "grams(" in plan and "grams(" not in plan[plan.index("Join Inner") :]
