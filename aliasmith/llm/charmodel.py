@@ -17,9 +17,10 @@ from functools import cache
 import numpy as np
 
 ORDER = 4
-# A text is looked at in parts of at most this many characters, and parts are put together up
-# to this many, so that memory does not grow with the texts.
+# A text is looked at in parts of at most this many characters, and parts of short texts are put
+# together up to so many, so that memory does not grow with the texts. Small groups also sort faster.
 PART = 1 << 19
+GROUP = 1 << 16
 # So many characters are scored by one reading of the shards, and so many sums are held for them.
 SLAB = 1 << 23
 BLOCK = 1 << 21
@@ -40,12 +41,12 @@ def has_letter(text: str) -> bool:
 
 
 def parts(texts: Sequence[str]) -> Iterator[tuple[list[int], list[str]]]:
-    """Numbers of texts and parts of them, together at most ``PART`` characters or one part."""
+    """Numbers of texts and parts of them, together at most ``GROUP`` characters or one part."""
     numbers, held, size = [], [], 0
     for number, text in enumerate(texts):
         for start in range(0, max(1, len(text)), PART):
             part = text[start : start + PART]
-            if held and size + len(part) > PART:
+            if held and size + len(part) > GROUP:
                 yield numbers, held
                 numbers, held, size = [], [], 0
             numbers.append(number)
@@ -65,7 +66,7 @@ class Characters:
         lead = " " * (ORDER - 1)
         padded = [f"{lead}{text.lower()} " for text in texts]
         codes = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), "<u4")
-        part = np.repeat(np.arange(len(padded)), [len(p) for p in padded])
+        part = np.repeat(np.arange(len(padded), dtype=np.int32), [len(p) for p in padded])
         letter = _letters()[codes]
         first = np.concatenate([[0], np.cumsum([len(p) for p in padded])[:-1]]).astype(np.int64)
         leading = np.zeros(len(codes), bool)
@@ -77,26 +78,34 @@ class Characters:
         self.codes = np.where(letter, codes, _SPACE)[keep]
         self.part = part[keep]
         self.scored = ~leading[keep]
-        self._hashes: dict[int, np.ndarray] = {}
-
-    def hashes(self, order: int) -> np.ndarray:
-        """The hash of the ``order`` characters that end at each place; places near the start are wrong."""
-        if order not in self._hashes:
-            if order == 0:
-                found = np.zeros(len(self.codes), np.uint64)
-            else:
-                found = self.hashes(order - 1).copy()
-                factor = np.uint64(pow(_MULTIPLIER, order, 1 << 64))
-                back = order - 1
-                found[back:] += (self.codes[: len(self.codes) - back].astype(np.uint64) + np.uint64(1)) * factor
-            self._hashes[order] = found
-        return self._hashes[order]
-
-    def keys(self, places: np.ndarray) -> np.ndarray:
-        """For each place the keys of the grams that end there and of their contexts."""
-        grams = [self.hashes(order)[places] for order in range(1, ORDER + 1)]
-        contexts = [self.hashes(order)[places - 1] ^ _CONTEXT for order in range(ORDER)]
-        return np.stack([*grams, *contexts], axis=1).view(np.int64)
+
+    def hashes(self) -> np.ndarray:
+        """The hash of the ``ORDER`` characters that end at each place; places near the start are wrong."""
+        found = np.zeros(len(self.codes), np.uint64)
+        numbers = self.codes.astype(np.uint64) + np.uint64(1)
+        for back in range(ORDER):
+            found[back:] += numbers[: len(numbers) - back] * np.uint64(pow(_MULTIPLIER, back + 1, 1 << 64))
+        return found
+
+    def grams(self, places: np.ndarray) -> np.ndarray:
+        """For each place the ``ORDER`` characters that end there, the last one last."""
+        return np.stack([self.codes[places - back] for back in range(ORDER - 1, -1, -1)], axis=1)
+
+
+def keys_at(grams: np.ndarray) -> np.ndarray:
+    """For each row of ``ORDER`` characters the keys of the grams that end with it and of their contexts."""
+
+    def hashes(codes: np.ndarray) -> Iterator[np.ndarray]:
+        found = np.zeros(len(codes), np.uint64)
+        yield found
+        for back in range(codes.shape[1]):
+            factor = np.uint64(pow(_MULTIPLIER, back + 1, 1 << 64))
+            found = found + (codes[:, -1 - back].astype(np.uint64) + np.uint64(1)) * factor
+            yield found
+
+    _, *ending = hashes(grams)
+    contexts = [found ^ _CONTEXT for found in hashes(grams[:, :-1])]
+    return np.stack([*ending, *contexts], axis=1).view(np.int64)
 
 
 def keys_of(grams: Sequence[str], context: bool) -> np.ndarray:
@@ -112,7 +121,7 @@ def keys_of(grams: Sequence[str], context: bool) -> np.ndarray:
 class GramCounts:
     """Counts of grams of ``ORDER`` characters by language, in arrays."""
 
-    LIMIT = 1 << 20
+    LIMIT = 1 << 19
 
     def __init__(self) -> None:
         self.held: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
@@ -123,11 +132,9 @@ class GramCounts:
             characters = Characters(some)
             places = np.flatnonzero(characters.scored)
             keys, example, counts = np.unique(
-                characters.hashes(ORDER)[places], return_index=True, return_counts=True
+                characters.hashes()[places], return_index=True, return_counts=True
             )
-            ends = places[example]
-            grams = np.stack([characters.codes[ends - back] for back in range(ORDER - 1, -1, -1)], axis=1)
-            self.held.setdefault(language, []).append((keys, counts, grams))
+            self.held.setdefault(language, []).append((keys, counts, characters.grams(places[example])))
             self.size += len(keys)
             if self.size > self.LIMIT:
                 self.merge()
@@ -240,12 +247,15 @@ class Model:
             places = np.flatnonzero(characters.scored)
             if not len(places):
                 continue
-            grams, example, place = np.unique(
-                characters.hashes(ORDER)[places], return_index=True, return_inverse=True
-            )
-            text = np.array(numbers, np.int32)[characters.part[places]]
-            sizes += np.bincount(text, minlength=len(texts))
-            held.append((grams, characters.keys(places[example]), place.astype(np.int32), text))
+            hashes, example, place = np.unique(characters.hashes()[places], return_index=True, return_inverse=True)
+            # The places of a text follow each other, so that it is known where each text begins.
+            part = characters.part[places]
+            first = np.flatnonzero(np.diff(part, prepend=-1))
+            text = np.array(numbers, np.int64)[part[first]]
+            np.add.at(sizes, text, np.diff(first, append=len(places)))
+            # A small group has few different grams, and their numbers are kept short.
+            place = place.astype(np.min_scalar_type(len(hashes)))
+            held.append((hashes, characters.grams(places[example]), place, first, text))
             size += len(places)
             if size >= SLAB:
                 self._add(held, sums)
@@ -258,22 +268,25 @@ class Model:
     def _add(self, held: list[tuple[np.ndarray, ...]], sums: np.ndarray) -> None:
         """Add to ``sums``, by text and language, what the shards have for the held places."""
         distinct, example, number = np.unique(
-            np.concatenate([grams for grams, *_ in held]), return_index=True, return_inverse=True
+            np.concatenate([hashes for hashes, *_ in held]), return_index=True, return_inverse=True
         )
-        keys = np.concatenate([k for _, k, _, _ in held])[example]
+        grams = np.concatenate([g for _, g, *_ in held])[example]
+        number = number.astype(np.int32)
         step = max(1, BLOCK // len(self.languages)) if self.languages else len(distinct)
         for start in range(0, len(distinct), step):
-            logs = self._logs(keys[start : start + step])
+            logs = self._logs(keys_at(grams[start : start + step]))
             upto = 0
-            for grams, _, place, text in held:
-                mine = number[upto : upto + len(grams)][place] - start
-                upto += len(grams)
-                inside = (mine >= 0) & (mine < len(logs))
-                mine, mine_text = mine[inside], text[inside]
+            for hashes, _, place, first, text in held:
+                mine = number[upto : upto + len(hashes)][place] - start
+                upto += len(hashes)
+                of = np.repeat(text, np.diff(first, append=len(place)))
+                if len(distinct) > step:
+                    inside = (mine >= 0) & (mine < len(logs))
+                    mine, of = mine[inside], of[inside]
                 for begin in range(0, len(mine), step):
-                    some_text = mine_text[begin : begin + step]
-                    first = np.flatnonzero(np.diff(some_text, prepend=-1))
-                    np.add.at(sums, some_text[first], np.add.reduceat(logs[mine[begin : begin + step]], first, axis=0))
+                    some = of[begin : begin + step]
+                    runs = np.flatnonzero(np.diff(some, prepend=-1))
+                    np.add.at(sums, some[runs], np.add.reduceat(logs[mine[begin : begin + step]], runs, axis=0))
 
     def _logs(self, keys: np.ndarray) -> np.ndarray:
         """By row of keys and language the sum of what the shards have for them."""

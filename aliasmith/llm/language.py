@@ -41,7 +41,7 @@ UNDETERMINED = "und"
 REJECTION = 0.5
 QUANTILE = 0.95
 _ROWS = 1024
-_SCORED_ROWS, _SCORED_BYTES = 4096, 1 << 23
+_SCORED_ROWS, _SCORED_BYTES = 2048, 1 << 22
 _SHARD_ROWS = 1 << 18
 _HELD_ROWS = 1 << 22
 _TEMPERATURES = 2.0 ** np.arange(-10, 3)

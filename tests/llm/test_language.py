@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -189,3 +190,15 @@ def test_limits_come_from_all_labelled_texts(spark):
     found = identified(docs.unionAll(spark.createDataFrame(fresh, docs.schema)), model).collect()
     rejected = {r.doc_id for r in found if r.rejected}
     assert rejected >= {i for i, _, _ in fresh} and min(rejected) > 9001
+
+
+def test_memory_of_scoring_stays_below_its_texts():
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(97, 105, 2000))) for _ in range(1500)]
+    model = Model.fit(["x", "y"], {gram: np.array([1.0, 2.0]) for gram in {texts[0][i : i + ORDER] for i in range(1000)}})
+    model.entropies(texts[:2])
+    tracemalloc.start()
+    model.entropies(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60 << 20
