@@ -21,7 +21,7 @@ from aliasmith.functions.text import (
 )
 from aliasmith.operators.filters import BAND_BOUNDS, similarity_band
 from aliasmith.operators.profiles import pair_features
-from aliasmith.operators.ranking import running_totals
+from aliasmith.operators.ranking import row_numbers
 from aliasmith.operators.sampling import seeded_sample
 from aliasmith.operators.simjoin import gram_array, gram_bounds, gram_ids, gram_order, similar_texts
 from aliasmith.operators.skew import top_n_per_group
@@ -33,6 +33,8 @@ FEISTEL_ROUNDS = 4
 PLACES_PER_PAIR = 64
 # Names up to which those that look for similar ones are broadcast.
 BROADCAST_ANCHORS = 50_000
+# Places up to which the names are looked up for broadcast rows.
+BROADCAST_PLACES = 100_000
 
 
 @dataclass(frozen=True)
@@ -109,7 +111,9 @@ def random_pairs(names: DataFrame, n_names: int, start: int, stop: int, seed: in
     rows = drawn.selectExpr("turn", f"_pair % {n_rows} AS row1", f"(_pair % {n_rows} + _pair div {n_rows} + 1) % {n_rows} AS row2")
     one = names.withColumnsRenamed({c: f"{c}1" for c in names.columns})
     two = names.withColumnsRenamed({c: f"{c}2" for c in names.columns})
-    return rows.join(one, "row1").join(two, "row2").drop("row1", "row2")
+    # Few places are sent to the names, which then need not be shuffled.
+    sent = F.broadcast if stop - start <= BROADCAST_PLACES else lambda df: df
+    return sent(sent(rows).join(one, "row1")).join(two, "row2").drop("row1", "row2")
 
 
 def false_pairs(
@@ -161,12 +165,7 @@ def _unlike(table: NameTable, n_names: int, per_band: int, seed: int) -> DataFra
     top, names = BAND_BOUNDS[-2], table.names
     similarity = explode_if(dice(F.col("grams1"), F.col("grams2")), lambda s: s < top).alias("similarity")
 
-
-    def numbers() -> DataFrame:
-        ranked = running_totals(names.withColumn("_one", F.lit(1)), "name", ["_one"])
-        return ranked.select(*names.columns, (F.col("_one_upto") - 1).alias("row"))
-
-    numbered = stored_alone(names.sparkSession, numbers)
+    numbered = row_numbers(names, "name", n_names, "row")
     places = 1 << 2 * _half_bits(n_names * (n_names - 1) // 2)
     missing = {band: per_band for band in range(1, len(BAND_BOUNDS) - 1)}
     rounds: list[DataFrame] = []
@@ -191,7 +190,7 @@ def _alike(table: NameTable, n_names: int, per_band: int, seed: int) -> DataFram
     """Pairs of the top band; a pair's turn is the hash of that of its names that comes first."""
     top, asked = BAND_BOUNDS[-2], max(10 * per_band, 1)
     while True:
-        anchors = seeded_sample(table.names.select("name"), ["name"], asked, seed)
+        anchors = seeded_sample(table.names.select("name"), ["name"], asked, seed, kept=True)
         similar = _similar_partners(anchors, table, top, asked <= BROADCAST_ANCHORS)
         turn = F.least(seeded_hash(["name1"], seed), seeded_hash(["name2"], seed))
         found = cut_lineage(_banded(similar, turn))
@@ -213,7 +212,8 @@ def _similar_partners(anchors: DataFrame, table: NameTable, threshold: float, fe
     """Similar names of other entities for each anchor, each pair once and in text order."""
     made = {"grams": table.grams("name"), "bounds": table.bounds("name")}
     names = table.names.withColumns(made)
-    left = cut_lineage(table.names.join(anchors.select("name"), "name", "left_semi")).withColumns(made)
+    asked = F.broadcast(anchors.select("name")) if few else anchors.select("name")
+    left = cut_lineage(table.names.join(asked, "name", "left_semi")).withColumns(made)
     found = similar_texts(
         left.withColumnsRenamed({c: f"{c}1" for c in names.columns}),
         names.withColumnsRenamed({c: f"{c}2" for c in names.columns}),

@@ -35,6 +35,22 @@ def running_totals(
     )
 
 
+def row_numbers(df: DataFrame, order: str, n_rows: int, name: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """The rows with their numbers from 0 by ``order``, of which ``df`` has one row per value; stored.
+
+    Rows are dealt into ranges of the order and numbered where they are sorted, so that they are
+    shuffled and stored once; the rows of the ranges before are added when they are read.
+    """
+    n_ranges = max(n_rows // rows_per_range, 8)
+    inside = df.repartitionByRange(n_ranges, order).sortWithinPartitions(order).withColumn("_place", F.monotonically_increasing_id())
+    dealt = stored(inside, "ranges")
+    # Spark puts the number of the partition before the lower 33 bits, which number its rows from 0.
+    dealt = dealt.withColumns({"_range": F.shiftright("_place", 33), "_place": F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))})
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = dealt.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return dealt.join(F.broadcast(before), "_range").select(*df.columns, (F.col("_place") + F.col("_before")).alias(name))
+
+
 def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> list[float]:
     """The smallest values that at least the given shares of rows do not exceed; null and NaN are no values."""
     value = F.col(column).cast("double")

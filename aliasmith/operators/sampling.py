@@ -18,19 +18,23 @@ def seeded_shuffle(df: DataFrame, keys: list[str], seed: int) -> DataFrame:
     return df.withColumn("shuffle_key", seeded_hash(keys, seed)).orderBy("shuffle_key", *keys)
 
 
-def seeded_sample(df: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
-    """``n`` rows drawn by hash order; ranked in parts, so that a large sample needs no single task."""
+def seeded_sample(df: DataFrame, keys: list[str], n: int, seed: int, *, kept: bool = False) -> DataFrame:
+    """``n`` rows drawn by hash order; ranked in parts, so that a large sample needs no single task.
+
+    ``kept``: the rows are read from a stored table, so that they are not stored again with their hashes.
+    """
     order = [seeded_hash(keys, seed), *[F.col(k) for k in keys]]
-    return _first_rows(df, order, n)
+    return _first_rows(df, order, n, kept)
 
 
-def _first_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+def _first_rows(df: DataFrame, order: list[Column], n: int, kept: bool = False) -> DataFrame:
     """The first ``n`` rows of an order whose first column is a hash.
 
     A histogram of hash prefixes finds the bucket in which the ``n``-th row lies; the buckets
     before it are taken whole, and only the rows of that bucket are ranked.
     """
-    drawn = cut_lineage(df.withColumn("_draw", order[0]))
+    drawn = df.withColumn("_draw", order[0])
+    drawn = drawn if kept else cut_lineage(drawn)
     bucket = F.shiftright("_draw", HASH_BITS - _BUCKET_BITS)
     histogram = drawn.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_n"))
     upto = F.sum("_n").over(Window.orderBy("_bucket"))

@@ -2,6 +2,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 import brute
 from aliasmith.operators import pairs
@@ -146,3 +147,9 @@ def test_names_of_small_entities_are_not_repeated_per_gram(spark):
     assert "posexplode" not in found._jdf.queryExecution().toString()
     expected = {(a, b) for u, a in rows for v, b in rows if u == v and a < b and brute.dice(a, b) >= 0.3}
     assert {(r.string1, r.string2) for r in found.collect()} == expected
+
+
+def test_few_drawn_rows_do_not_shuffle_the_names(spark):
+    names = spark.range(200_000).select(F.concat(F.lit("name"), "id").alias("name"), F.col("id").alias("row"))
+    plan = pairs.random_pairs(names, 200_000, 0, 1000, 42)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "hashpartitioning" not in plan

@@ -78,3 +78,14 @@ def test_hard_label_metrics(spark):
     assert evaluate.accuracy(df).first().accuracy == pytest.approx(0.7)
     counts = {(r.label, r.prediction): r["count"] for r in evaluate.confusion_matrix(df).collect()}
     assert counts == {(1.0, 1.0): 3, (1.0, 0.0): 1, (0.0, 0.0): 4, (0.0, 1.0): 2}
+
+
+def test_row_numbers_follow_the_order_and_are_read_without_a_shuffle_of_rows(spark):
+    df = spark.range(5000).select(F.sha1(F.col("id").cast("string")).alias("v"), "id").repartition(7)
+    found = ranking.row_numbers(df, "v", 5000, "row", rows_per_range=400)
+    rows = found.collect()
+    assert [r.v for r in sorted(rows, key=lambda r: r.row)] == sorted(r.v for r in rows)
+    assert sorted(r.row for r in rows) == list(range(5000)) and found.columns == ["v", "id", "row"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "monotonically" not in plan
+    assert ranking.row_numbers(df.limit(0), "v", 0, "row").collect() == []

@@ -107,3 +107,9 @@ def test_a_join_has_as_many_tasks_as_its_pairs_ask_for(spark, monkeypatch):
         joined = skew.salted_join(left, right, ["k"], pairs_per_split=split)
         assert joined.rdd.getNumPartitions() == 9
         assert joined.count() == 9000
+
+
+def test_a_sample_of_a_stored_table_stores_nothing(spark, rows, monkeypatch):
+    wanted = {r.k for r in sampling.seeded_sample(rows, ["k"], 20, 5).collect()}
+    monkeypatch.setattr(sampling, "cut_lineage", lambda df: pytest.fail("stored again"))
+    assert {r.k for r in sampling.seeded_sample(rows, ["k"], 20, 5, kept=True).collect()} == wanted
