@@ -32,9 +32,11 @@ CUT_CONTRACTIONS = ("'re", "'ve", "'ll")
 # White space before a space: here pieces do not begin at the space.
 _BLANK_AND_SPACE = re.compile(r"\s ")
 _NEVER = 1 << 60
-_SHORT = (2, 1)
+# By how many last bytes tokens are looked for, and bits that hold the number of any token.
+_ENDING = 5
+_BITS = 32
 # Bounds of a worker's memory; what does not fit is computed again.
-CACHED_PIECES = 300_000
+CACHED_PIECES = 1_000_000
 CACHED_PAIRS = 500_000
 CACHED_LENGTH = 64
 
@@ -56,19 +58,50 @@ def _pieces(chunk: str) -> list[str]:
 
 
 class PieceCounts(dict):
-    """The number of tokens of a piece or chunk, computed when first asked for."""
+    """The number of tokens of a piece or chunk, computed when first asked for.
+
+    Half of the places are for the newest ones. When these are full, the other half is given up for
+    them, so that those asked for again and again stay.
+    """
 
     def __init__(self, compute: Callable[[str], int]) -> None:
         super().__init__()
         self.compute = compute
+        self.older: dict[str, int] = {}
 
     def __missing__(self, piece: str) -> int:
-        count = self.compute(piece)
+        count = self.older.get(piece)
+        if count is None:
+            count = self.compute(piece)
+        self.keep(piece, count)
+        return count
+
+    def keep(self, piece: str, count: int) -> None:
         if len(piece) <= CACHED_LENGTH:
-            if len(self) >= CACHED_PIECES:
+            if len(self) >= CACHED_PIECES // 2:
+                self.older = dict(self)
                 self.clear()
             self[piece] = count
-        return count
+
+
+class TokenLengths(dict):
+    """The lengths that tokens at the end of a text may have, the longest first, by its last bytes."""
+
+    def __init__(self, tokens: Iterable[bytes]) -> None:
+        super().__init__()
+        self.tokens = tokens
+        self.longer: dict[bytes, set[int]] = {}
+        for token in tokens:
+            if len(token) > _ENDING:
+                self.longer.setdefault(token[-_ENDING:], set()).add(len(token))
+
+    def __missing__(self, ending: bytes) -> tuple[int, ...]:
+        short = [size for size in range(len(ending), 0, -1) if ending[-size:] in self.tokens]
+        found = (*sorted(self.longer.get(ending, ()), reverse=True), *short)
+        if len(self) >= CACHED_PAIRS:
+            self.clear()
+        self[ending] = found
+        return found
 
 
 class BytePairs:
@@ -86,15 +119,12 @@ class BytePairs:
         self.ids = {raw(token): number for token, number in model["vocab"].items()}
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.ranks = {(raw(a), raw(b)): rank for rank, (a, b) in enumerate(merges)}
-        # Which lengths tokens with the same last three bytes have, the longest first.
-        by_end: dict[bytes, set[int]] = {}
-        for token in self.ids:
-            by_end.setdefault(token[-3:], set()).add(len(token))
-        self._lengths = {end: (*sorted({*found, *_SHORT}, reverse=True),) for end, found in by_end.items()}
+        self._lengths = TokenLengths(self.ids)
         special = sorted((t["content"] for t in content["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self._spines: tuple[dict, dict] = ({}, {})
-        self._compatible: dict[tuple[bytes, bytes], bool] = {}
+        # By the numbers of both tokens in one; the left one's is one higher, and nothing is 0.
+        self._compatible: dict[int, bool] = {}
         self.counts = PieceCounts(self.count_piece)
         self.chunks = PieceCounts(self.count_chunk)
 
@@ -127,7 +157,7 @@ class BytePairs:
         tokens stay apart if no meeting pair merges before one of the two is merged inwards.
         Of equal ranks the leftmost pair merges first.
         """
-        key = (left, right)
+        key = (self.ids[left] + 1 if left else 0) << _BITS | self.ids[right]
         known = self._compatible.get(key)
         if known is None:
             if len(self._compatible) >= CACHED_PAIRS:
@@ -154,26 +184,29 @@ class BytePairs:
 
     def _programs(self, pieces: Iterable[bytes]) -> Iterator[list[int]]:
         """The counts at every prefix of each piece; neighbours share the program of their common prefix."""
-        ids, lengths, compatible = self.ids, self._lengths, self._compatible
-        earlier, last, counts = b"", [b""], [0]
+        number_of, lengths, compatible = self.ids.get, self._lengths, self._compatible.get
+        # By end: the token that the encoding ends in, and its number as the left side of a pair.
+        earlier, last, left, counts = b"", [b""], [0], [0]
         for piece in pieces:
             same = 0
             for one, two in zip(earlier, piece, strict=False):
                 if one != two:
                     break
                 same += 1
-            del last[same + 1 :], counts[same + 1 :]
+            del last[same + 1 :], left[same + 1 :], counts[same + 1 :]
             for end in range(same + 1, len(piece) + 1):
-                for length in lengths.get(piece[max(0, end - 3) : end], _SHORT):
-                    if length > end:
-                        continue
+                for length in lengths[piece[end - _ENDING if end > _ENDING else 0 : end]]:
                     start = end - length
-                    token = piece[start:end]
-                    if token in ids:
-                        before = last[start]
-                        fits = compatible.get((before, token))
-                        if fits or (fits is None and self.compatible(before, token)):
-                            last.append(token)
+                    if start < 0:
+                        continue
+                    number = number_of(piece[start:end])
+                    if number is not None:
+                        fits = compatible(left[start] | number)
+                        if fits is None:
+                            fits = self.compatible(last[start], piece[start:end])
+                        if fits:
+                            last.append(piece[start:end])
+                            left.append(number + 1 << _BITS)
                             counts.append(counts[start] + 1)
                             break
             earlier = piece
@@ -185,15 +218,14 @@ class BytePairs:
 
     def learn(self, chunks: set[str]) -> None:
         """Counts many chunks at once, in sorted order, so that equal beginnings are done once."""
-        pieces: set[str] = set()
-        for chunk in chunks:
-            if chunk not in self.chunks:
-                pieces.update(_pieces(chunk))
-        new = sorted(p for p in pieces if len(p) <= CACHED_LENGTH and p not in self.counts)
-        if len(self.counts) + len(new) > CACHED_PIECES:
-            self.counts.clear()
-        for piece, counts in zip(new, self._programs(p.encode() for p in new), strict=True):
-            self.counts[piece] = counts[-1]
+        fresh = {c: _pieces(c) for c in chunks if c not in self.chunks and c not in self.chunks.older}
+        counts = self.counts
+        asked = {p for pieces in fresh.values() for p in pieces if len(p) <= CACHED_LENGTH}
+        new = sorted(p for p in asked if p not in counts and p not in counts.older)
+        for piece, found in zip(new, self._programs(p.encode() for p in new), strict=True):
+            counts.keep(piece, found[-1])
+        for chunk, pieces in fresh.items():
+            self.chunks.keep(chunk, sum(map(counts.__getitem__, pieces)))
 
     def _by_character(self, piece: str) -> list[int]:
         """The counts at the prefixes of a piece that end between characters, without the empty one."""

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from aliasmith.llm import bytepairs
 from aliasmith.llm.bytepairs import BytePairs
 from aliasmith.llm.token_counts import longest_within, prefix_counts, token_counts, tokens_of_prefix
 from aliasmith.llm.vocabularies import BYTE_PAIRS, vocabulary
@@ -56,3 +57,24 @@ def test_stored_counts_answer_questions(awkward, library):
         t = texts[row.doc_id]
         assert row.seven == library(t[:7])
         assert row.five == max(i for i in range(len(t) + 1) if library(t[:i]) <= 5)
+
+
+def test_pieces_asked_for_again_stay_while_others_are_given_up(pairs, library, monkeypatch):
+    monkeypatch.setattr(bytepairs, "CACHED_PIECES", 8)
+    few = bytepairs.BytePairs(vocabulary(BYTE_PAIRS))
+    found = []
+    monkeypatch.setattr(bytepairs, "_pieces", lambda chunk, split=bytepairs._pieces: found.append(chunk) or split(chunk))
+    texts = [f"a common word{chr(97 + i)} and rare{chr(122 - i)}, common" for i in range(20)]
+    assert [few.count(text) for text in texts] == [library(text) for text in texts]
+    assert found.count("common") == 1
+    assert len(few.chunks) + len(few.chunks.older) <= 8 and len(few.counts) + len(few.counts.older) <= 8
+
+
+def test_lengths_tried_at_an_end_are_those_of_tokens(pairs):
+    for text in ("Straße und queeuxier", " aaaaaaaa", "日本語の文", "x = y;\n\n\tz"):
+        raw = text.encode()
+        for end in range(1, len(raw) + 1):
+            tokens = [size for size in range(end, 0, -1) if raw[end - size : end] in pairs.ids]
+            tried = pairs._lengths[raw[max(0, end - bytepairs._ENDING) : end]]
+            assert [size for size in tried if size <= end and raw[end - size : end] in pairs.ids] == tokens
+            assert all(size in tokens for size in tried if size <= bytepairs._ENDING)
