@@ -42,12 +42,12 @@ class NameTable:
     """The names of an alias table and the order of their grams, made once for true and false pairs.
 
     held:  uid, name; one row per entity and name.
-    names: name, low, high; distinct names with the lowest and the highest entity.
+    names: name, low, high; distinct names with the lowest and the highest entity; true pairs do without.
     ids:   the ids of all grams, by which a name's grams are made where they are needed.
     """
 
     held: DataFrame
-    names: DataFrame
+    names: DataFrame | None
     ids: np.ndarray
 
     def grams(self, name: str) -> Column:
@@ -57,9 +57,18 @@ class NameTable:
         return gram_bounds(F.col(name), self.ids)
 
 
+def held_names(aliases: DataFrame) -> DataFrame:
+    """The distinct ``uid, name`` rows of an alias table, stored."""
+    return cut_lineage(aliases.select("uid", "name").distinct())
+
+
 def name_table(aliases: DataFrame) -> NameTable:
     """Prepare ``uid, name`` rows for pair generation."""
-    held = cut_lineage(aliases.select("uid", "name").distinct())
+    return name_table_of(held_names(aliases))
+
+
+def name_table_of(held: DataFrame) -> NameTable:
+    """``name_table`` of rows that ``held_names`` has stored."""
     names = cut_lineage(held.groupBy("name").agg(F.min("uid").alias("low"), F.max("uid").alias("high")))
     named = F.col("name").isNotNull()
     return NameTable(held.where(named), names.where(named), gram_ids(gram_order(names, "name")))
@@ -74,7 +83,8 @@ def true_pairs(aliases: DataFrame | NameTable, min_similarity: float) -> DataFra
     left, right = (table.held.select("uid", F.col("name").alias(f"string{i}"), table.bounds("name").alias(f"bounds{i}")) for i in (1, 2))
     grams = table.grams("string1"), table.grams("string2")
     found = similar_texts(left, right, min_similarity, keys=["uid"], condition=F.col("string1") < F.col("string2"), grams=grams)
-    return found.where(F.col("similarity") >= min_similarity).select("string1", "string2", "similarity").distinct()
+    # Equal pairs have equal similarities, which are not shuffled where they are not asked for.
+    return found.where(F.col("similarity") >= min_similarity).select("string1", "string2", "similarity").dropDuplicates(["string1", "string2"])
 
 
 def _half_bits(n_pairs: int) -> int:

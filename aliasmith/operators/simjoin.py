@@ -68,7 +68,7 @@ def gram_ids(order: DataFrame) -> np.ndarray:
     An order has at most as many rows as there are grams, so it may come to the driver.
     """
     ids = np.array([sum(128 ** (2 - i) * ord(c) for i, c in enumerate(gram)) for gram in _GRAMS], np.int64)
-    for row in order.select("gram", "gram_id").toLocalIterator():
+    for row in stored(order.select("gram", "gram_id"), "gram-order").toLocalIterator():
         ids[_PLACE[row.gram]] = row.gram_id
     return ids
 

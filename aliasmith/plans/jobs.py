@@ -23,11 +23,11 @@ from aliasmith.operators.matching import (
     to_match_lines,
 )
 from aliasmith.operators.models import UnsupportedAlgorithm, build_model, estimator, load_model, ngram_floor, save_model, unlike_floor
-from aliasmith.operators.pairs import false_pairs, name_table, training_features, true_pairs
+from aliasmith.operators.pairs import NameTable, false_pairs, held_names, name_table_of, training_features, true_pairs
 from aliasmith.operators.profiles import FEATURES
 from aliasmith.operators.sampling import balance_classes, union_labelled
 from aliasmith.plans.config import JobConfigError, as_list, require
-from aliasmith.session import cut_lineage, temporary_tables
+from aliasmith.session import cut_lineage, stored_alone, temporary_tables
 from aliasmith.sources.files import WATCH_LIST, read_delimited, write_delimited
 from aliasmith.sources.kafka import QUEUE, stream_messages, write_messages
 from aliasmith.streaming.match_stream import match_stream, match_stream_refreshed
@@ -73,10 +73,20 @@ def prepare_watch_list(raw: DataFrame, citizenships: Sequence[str] | None = None
 def label_pairs(
     aliases: DataFrame, min_similarity: float, n_false: int, seed: int = 42, balance: bool = True
 ) -> DataFrame:
-    """True and false pairs of one alias table with their labels, balanced if asked."""
-    names = name_table(aliases)
-    matches = true_pairs(names, min_similarity).select("string1", "string2")
-    others = false_pairs(names, n_false, seed=seed).select("string1", "string2")
+    """True and false pairs of one alias table with their labels, balanced if asked.
+
+    The distinct names, which only false pairs need, are gone before true pairs are formed.
+    """
+    held, ids = held_names(aliases), []
+
+    def unlike() -> DataFrame:
+        names = name_table_of(held)
+        ids.append(names.ids)
+        return false_pairs(names, n_false, seed=seed).select("string1", "string2")
+
+    others = stored_alone(held.sparkSession, unlike)
+    named = held.where(F.col("name").isNotNull())
+    matches = true_pairs(NameTable(named, None, ids[0]), min_similarity).select("string1", "string2")
     labelled = union_labelled(matches, others)
     return balance_classes(labelled, LABEL_COLUMN, ["string1", "string2"], seed) if balance else labelled
 

@@ -1,14 +1,18 @@
+import time
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import brute
+from aliasmith.operators import pairs
 from aliasmith.operators.aliases import explode_aliases
 from aliasmith.operators.matching import build_index, match_by_model, match_by_rule, to_match_lines
 from aliasmith.operators.models import load_model, ngram_floor
 from aliasmith.operators.profiles import FEATURES
 from aliasmith.plans import jobs
 from aliasmith.plans.config import JobConfigError, as_list, read_properties, require
+from aliasmith.session import SHUFFLE_CLEANUP, shared_dir, stored
 from aliasmith.sources import files, kafka, record_log
 from aliasmith.streaming.match_stream import folder_sink, match_stream, parse_messages
 
@@ -187,3 +191,37 @@ def test_rule_stream_gives_the_batch_matches(spark, trained, tmp_path):
     expected = match_by_rule(parse_messages(batch), index, 0.8)
     found = spark.read.parquet(target).select(expected.columns).collect()
     assert found and sorted(found) == sorted(expected.collect())
+
+
+def test_false_pairs_leave_no_tables_when_true_pairs_are_formed(spark, monkeypatch):
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    before, kept = set(shared.iterdir()), []
+    formed = jobs.true_pairs
+
+    def watched(table, least):
+        kept.extend(p.name.split("-")[0] for p in set(shared.iterdir()) - before)
+        return formed(table, least)
+
+    monkeypatch.setattr(jobs, "true_pairs", watched)
+    rows = [(str(i // 5), name) for i, name in enumerate(brute.names(60, seed=9))]
+    table = spark.createDataFrame(rows, "uid string, name string")
+    labelled = jobs.label_pairs(table, 0.3, 30, balance=False).collect()
+    assert sorted(kept) == ["alone", "table"]
+    whole = jobs.union_labelled(pairs.true_pairs(table, 0.3).drop("similarity"), pairs.false_pairs(table, 30, seed=42).select("string1", "string2"))
+    assert sorted(labelled) == sorted(whole.collect())
+
+
+def test_shuffles_of_a_stored_table_go_with_its_query(spark):
+    def shuffles():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in files.split("\n") if "/shuffle_" in f}
+
+    before = shuffles()
+    table = stored(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count())
+    for _ in range(50):
+        if not shuffles() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert table.count() == 100
+    assert spark.conf.get(SHUFFLE_CLEANUP) == "false"
