@@ -13,38 +13,48 @@ from aliasmith.llm.near_duplicates import deduplicated
 from aliasmith.llm.tables import table
 from aliasmith.llm.token_store import stored_checksums, write_tokens
 from aliasmith.llm.vocabularies import WORD_PAIRS, vocabulary
-from aliasmith.session import ship_package, stored
+from aliasmith.session import ARROW_ROWS, ship_package, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+# Documents that a Python task gets at once; Spark's own number would be some 70 MB of text in each
+# task, and as much in its executor.
+BATCH_ROWS = 1024
+
+
+def prepare(spark: SparkSession) -> None:
+    """What the stages need of the session."""
+    ship_package(spark)
+    spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose language is identified, by models of all that have a label."""
-    ship_package(spark)
+    prepare(spark)
     return accepted(docs, fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the first by id."""
-    ship_package(spark)
+    prepare(spark)
     return deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without any window of a benchmark item."""
-    ship_package(spark)
+    prepare(spark)
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; a document taken twice is two rows."""
-    ship_package(spark)
+    prepare(spark)
     return mixed_documents(docs, plan_mix(docs))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents written as token ids; one row for each, read back from the files."""
-    ship_package(spark)
+    prepare(spark)
     return stored_checksums(write_tokens(docs, vocabulary(WORD_PAIRS)), docs)
 
 

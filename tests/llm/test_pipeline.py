@@ -1,13 +1,17 @@
+import os
 from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from aliasmith.llm import batches
 from aliasmith.llm.mixing import seeded_order
 from aliasmith.llm.vocabularies import WORD_PAIRS, vocabulary
+from aliasmith.session import ARROW_ROWS
 from conftest_llm import CLASHING, prose
 from test_decontaminate import brute as brute_hits
 from test_mixing import size_of, targets_by_hand
@@ -147,3 +151,32 @@ def test_the_seeded_order_is_that_of_md5(spark):
 
     rows = spark.range(5).select("id", seeded_order(F.col("id"), 42).alias("h")).collect()
     assert all(r.h == int(md5(f"{r.id}|42".encode()).hexdigest()[:15], 16) for r in rows)
+
+
+def test_tasks_get_few_documents_at_once(spark):
+    def seen(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    before = spark.conf.get(ARROW_ROWS)
+    try:
+        corpus_pipeline.prepare(spark)
+        rows = spark.range(0, 5000, 1, 1).mapInArrow(seen, "n bigint").collect()
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+    assert sum(r.n for r in rows) == 5000 and max(r.n for r in rows) <= corpus_pipeline.BATCH_ROWS
+
+
+@pytest.mark.skipif(batches._trim() is None, reason="the C library has no malloc_trim")
+def test_memory_of_used_batches_goes_back_to_the_system():
+    def resident():
+        with open("/proc/self/statm") as file:
+            return int(file.read().split()[1]) * os.sysconf("SC_PAGESIZE")
+
+    held = [bytes([i % 256]) * 2000 for i in range(100_000)]
+    # The last one stays, so that the heap cannot shrink by itself.
+    last = held.pop()
+    upto = resident()
+    del held
+    assert len(list(batches.slices([pa.RecordBatch.from_pydict({"text": ["a"]})], 10))) == 1
+    assert last and resident() < upto - 100_000_000
