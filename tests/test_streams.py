@@ -152,3 +152,25 @@ def test_a_micro_batch_is_planned_like_a_batch(spark, tmp_path):
     writer = match_stream(stream, matcher, lambda df, _: names.extend(map(tuple, df.collect())), str(tmp_path / "state"))
     writer.trigger(availableNow=True).start().awaitTermination()
     assert settings == ["true"] and names == [("meyer,anna", "de")]
+
+
+@pytest.fixture
+def few_tables(spark, tmp_path):
+    """Tables of a watch list with a name twice in one entity and many times over, and pages that ask for it."""
+    texts = [(1, "x smith, anna likes jones, bob.", "en"), (2, "smith, anna met smith, anne.", "en"), (2, "smyth, anna", "en"), (3, None, None)]
+    spark.createDataFrame(texts, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1), (2, 0), (2, 1)], "doc_id bigint, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    pages = [("https://a.org/en/1", "smith, anna and jones, bobby"), ("https://a.org/en/2", "smith, anna"), ("https://a.org/de/2", "smith, anna"), (None, None)]
+    spark.createDataFrame(pages, "url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    return str(tmp_path)
+
+
+def test_messages_that_come_twice_keep_their_own_keys_and_not_those_of_their_matches(spark, few_tables, monkeypatch):
+    from aliasmith.plans import queries
+
+    seen, real = [], queries.once
+    monkeypatch.setattr(queries, "once", lambda df, keys, *more: seen.append((df.columns, keys)) or real(df, keys, *more))
+    found = sorted(map(tuple, queries.stream_match_once(spark, few_tables).collect()))
+    assert [keys for _, keys in seen] == [["message"]] * 2 and all("string2" not in columns for columns, _ in seen)
+    assert found == sorted(map(tuple, queries.match_threshold(spark, few_tables).distinct().collect()))
+    assert {(a, b, uid) for a, b, uid, _, _ in found} >= {("smith,anna", "smith,anna", "1"), ("smith,anna", "smith,anna", "2")}
