@@ -170,3 +170,20 @@ def test_code_length_difference(spark):
     rows = {(r.string1, r.string2): r.code_length_diff for r in code_length_difference(pairs).collect()}
     # Distinct texts hold a a b and b: each symbol has share 1/2, so one bit a symbol.
     assert rows == pytest.approx({("aab", "b"): 2.0, ("aab", "aab"): 0.0})
+
+
+def test_scores_of_several_columns_count_each_different_pair_once(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from aliasmith.functions import jaro
+
+    seen, real = [], jaro._score_slice
+    monkeypatch.setattr(jaro, "_score_slice", lambda a, b: seen.append(len(a)) or real(a, b))
+    monkeypatch.setattr(jaro, "pd", None)
+    left, right = ["anna", None, "anna", "", "größe"] * 50, ["anne", "x", "anne", "", "grösse"] * 50
+    found = jaro.jaro_winkler_all.func(pa.array(left), pa.array([None] * 250, pa.string()), pa.array(right), pa.array(right)).to_pylist()
+    expected = [None if a is None else brute.jaro_winkler(a, b) for a, b in zip(left, right, strict=True)]
+    assert sum(seen) == 3 and [r[1] for r in found] == [None] * 250
+    assert [r[0] is None for r in found] == [e is None for e in expected]
+    assert np.allclose([r[0] for r in found if r[0] is not None], [e for e in expected if e is not None])
