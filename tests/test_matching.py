@@ -165,3 +165,17 @@ def test_features_form_the_pairs_once(spark):
     scored = pair_features(pairs, phonetic=False)
     assert "Range" not in scored._jdf.queryExecution().optimizedPlan().toString()
     assert {r.string2 for r in scored.collect()} == set(names[:10])
+
+
+def test_pairs_of_a_rule_match_are_not_joined_with_entities_afterwards(spark, rows, index, monkeypatch):
+    """The pairs, which grow with the square of the names, were shuffled once more to meet their entities."""
+    monkeypatch.setattr(matching, "UIDS_PER_ROW", 7)
+    held = matching.entities(index).collect()
+    assert max(len(r.uids) for r in held) < 40 and sum(len(r.uids) for r in held) == index.aliases.count()
+    matches = matching.match_by_rule(asked(spark, rows), index, 0.8)
+    plan = matches._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any("Generate explode(uids" in line for line in plan[:2])
+    found = matches.collect()
+    expected = {p: brute.full_dice(p[0], p[1]) for p in all_pairs(rows) if brute.full_dice(p[0], p[1]) >= 0.8}
+    assert len(found) == len(expected)
+    assert {(r.string1, r.string2, r.uid, r.citizenship): r.similarity for r in found} == pytest.approx(expected)
